@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP9_SQL, op9_mixing
+from .packing import op7_best_fit_packing
+from .quality import op10_quality_rules
 from .simhash import op4_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": OP9_SQL,
+}
