@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ BROADCAST_ROWS = 20_000
 #: Words are runs of anything but the six ASCII white-space characters, as bytes.split() sees them.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts are worked on together up to so many bytes.
+SLICE_BYTES = 2 << 20
+
 
 def _scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set (tests, local mode)."""
@@ -87,3 +91,17 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         small_star = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         flow = stage(small_star.distinct(), "components")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def text_slices(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Runs of texts that end where they reach SLICE_BYTES; a longer text is in a run of its own or ends one."""
+    part: list[bytes | None] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t or b"")
+        if held >= SLICE_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, small, stage
+from .common import prepare, small, stage, text_slices
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -28,8 +28,6 @@ REPEAT_PERCENT = 30
 HOST_RATE = 0.8
 #: Bounds of the prior's strength, in documents.
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
-#: Texts are measured together up to so many bytes.
-SLICE_BYTES = 2 << 20
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = b"#*$%&|<>"
@@ -82,26 +80,13 @@ def measure_texts(texts: list[bytes | None], window: int = REPEAT_WINDOW) -> dic
     }
 
 
-def _slices(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
-    part: list[bytes | None] = []
-    held = 0
-    for t in texts:
-        part.append(t)
-        held += len(t or b"")
-        if held >= SLICE_BYTES:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, host, the five counts, base_failed): one row per input row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure_texts(part) for part in _slices(batch.column(2).to_pylist())]
+            found = [measure_texts(part) for part in text_slices(batch.column(2).to_pylist())]
             counts = [pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for k in FEATURES]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], ["doc_id", "host", *FEATURES])
 
@@ -159,7 +144,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure_texts(part) for part in _slices(batch.column(at).cast(pa.binary()).to_pylist())]
+            found = [measure_texts(part) for part in text_slices(batch.column(at).cast(pa.binary()).to_pylist())]
             if found:
                 n = np.concatenate([f["n_words"] for f in found])
                 r = np.concatenate([f["n_repeat_words"] for f in found])
@@ -171,3 +156,27 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs).select("doc_id", *FEATURES, "base_failed", "kept")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+m AS (SELECT *, coalesce(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), []) AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT r, unnest(range(1, len(ws) - 6)) AS i, ws FROM m),
+w AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 7], ' ')) AS n FROM p),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM w, range(0, 8) AS o(k) WHERE w.n > 1 GROUP BY r),
+f AS (SELECT m.r, doc_id, host, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM m LEFT JOIN c ON m.r = c.r),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM b WHERE host IS NOT NULL GROUP BY host),
+s AS (SELECT sum(k) / sum(n) AS mu, count(*) AS hosts, sum(1 / n) AS inv, sum((k / n) ** 2) AS sq, sum(k / n) AS rates FROM h),
+v AS (SELECT mu, hosts, (sq - 2 * mu * rates + hosts * mu * mu) / greatest(hosts - 1, 1) - mu * (1 - mu) * inv / hosts AS between_hosts FROM s),
+a AS (SELECT mu, CASE WHEN hosts > 1 AND mu > 0 AND mu < 1 AND between_hosts > 0
+                      THEN least(1000.0, greatest(2.0, mu * (1 - mu) / between_hosts - 1)) ELSE 1000.0 END AS strength FROM v),
+bad AS (SELECT host FROM h, a WHERE (k + mu * strength) / (n + strength) > 0.8)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(host NOT IN (SELECT host FROM bad), true) AS kept
+FROM b
+"""

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op7_best_fit_packing
-from .quality import op10_quality_rules
+from .quality import OP10_SQL, op10_quality_rules
 from .simhash import op4_simhash_near_dedup
+from .substring import OP3_SQL, op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_mixing": op9_mixing,
@@ -19,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
