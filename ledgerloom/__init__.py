@@ -1,0 +1 @@
+"""Analytics over semi-structured business documents, in DataFrame operations."""
