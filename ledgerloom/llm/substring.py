@@ -3,9 +3,11 @@
 Equal windows of `window` words hold equal minimal hashes of their `GRAM`-word grams, so a document is
 indexed by those anchors alone, about one per five words. The index keeps immutable runs of anchors,
 bucketed and sorted by hash, with the first and last document of each. A new batch is merge-joined with
-the runs; wherever an anchor has another document, the windows around it are verified by 128-bit hashes
-of their word sequences, taken from the texts themselves. Verified windows are kept in runs of their own.
-When there are FAN_IN runs they are merged into one.
+the runs; wherever an anchor has another document, the windows around it are verified by 96-bit hashes of
+their word sequences (with the anchor, 160 bits that must agree), taken from the texts themselves. Windows
+repeated among the texts of one slice are settled there, so a passage that is everywhere sends one row per
+slice. Verified windows are kept in runs of their own. When there are FAN_IN runs, the next batch first
+merges them into one.
 
 A batch must have larger ids than those before it. Defined results: null texts have no words; texts
 shorter than a window are left alone; rows with equal ids are one document to the index, so they never
@@ -26,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import prepare, scratch_path, stage, text_slices
+from .common import drop_path, prepare, scratch_path, stage, text_slices
 
 WINDOW = 13
 GRAM = 5
@@ -84,9 +87,9 @@ class Windows:
         return self.owner[new], self.anchor[new]
 
     def identities(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the chosen windows' words."""
+        """Two independent hashes of the chosen windows' words, of 64 and 32 bits."""
         first, second = (_rolled(self._hashes(seed)[self._codes], self._window, _FACTORS[seed])[self._inside][chosen] for seed in (0, 1))
-        return first, second
+        return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -109,7 +112,9 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def verified_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w1, w2, doc, pos) of the windows of docs(doc, t binary, hs array<long>) whose anchor is in hs."""
+    """(w1, w2, doc, pos) of the windows of docs(doc, t binary, hs array<long>) whose anchor is in hs.
+
+    w1 and w2 are null where a smaller document of the same slice has the window: that one is a repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +129,15 @@ def verified_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 # an anchor wanted for another document of the slice only costs a row that nothing matches
                 chosen = wanted[np.minimum(np.searchsorted(wanted, found.anchor), len(wanted) - 1)] == found.anchor
                 w1, w2 = found.identities(chosen)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(w1), _signed(w2), ids.take(pa.array(found.owner[chosen])), pa.array(found.at[chosen].astype(np.int32))],
-                    ["w1", "w2", "doc", "pos"],
-                )
+                doc, pos = np.asarray(ids)[found.owner[chosen]], found.at[chosen].astype(np.int32)
+                order = np.lexsort((pos, doc, w2, w1))
+                w1, w2, doc, pos = w1[order], w2[order], doc[order], pos[order]
+                new = np.ones(len(w1), bool)
+                new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+                repeat = doc != doc[np.nonzero(new)[0]][np.cumsum(new) - 1] if len(doc) else new
+                yield pa.RecordBatch.from_arrays([pa.array(w1, mask=repeat), pa.array(w2, mask=repeat), pa.array(doc), pa.array(pos)], ["w1", "w2", "doc", "pos"])
 
-    return docs.mapInArrow(run, "w1 long, w2 long, doc long, pos int")
+    return docs.mapInArrow(run, "w1 long, w2 int, doc long, pos int")
 
 
 class FingerprintIndex:
@@ -156,13 +164,17 @@ class FingerprintIndex:
             out = out.join(old, "h", "left").select("h", "first", "last", F.least("old_first", "f").alias("old_first"), F.greatest("old_last", "l").alias("old_last"))
         return out
 
-    def add(self, texts: DataFrame, above: int | None = None) -> DataFrame:
+    def add(self, texts: DataFrame, above: int | None = None, last: bool = False) -> DataFrame:
         """Index the rows of texts(doc, t) whose id is over `above`; texts also has all that was indexed before.
 
-        Returns (doc, starts): where the new documents' windows repeat those of a smaller id."""
+        Returns (doc, starts): where the new documents' windows repeat those of a smaller id. After the
+        last batch nothing is kept for a next one."""
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         new = F.lit(True) if above is None else F.col("doc") > above
-        batch = texts.where(new)
-        found = stage(anchors(batch, self.window), "anchors")
+        at = scratch_path(self.spark, "anchors")
+        anchors(texts.where(new), self.window).write.parquet(at)
+        found = self.spark.read.schema("h long, doc long").parquet(at)
         run = self._write_run(found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
         shared = stage(
             self._history(self.spark.table(run)).where("first < last OR old_first IS NOT NULL").select("h", F.when(F.col("old_first") == F.col("old_last"), F.col("old_first")).alias("promoted")),
@@ -170,15 +182,23 @@ class FingerprintIndex:
         )
         hits = found.join(shared.select("h"), "h").select("doc", "h").union(shared.where("promoted IS NOT NULL").select("promoted", "h"))
         wanted = hits.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-        windows = stage(verified_windows(texts.join(wanted, "doc").select("doc", "t", "hs"), self.window), "windows")
-        self.windows.append(windows)
-        seen = reduce(DataFrame.union, [w.select("w1", "w2", "doc") for w in self.windows])
-        repeated = seen.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-        starts = windows.where(new).join(repeated, ["w1", "w2"]).where("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("starts"))
-        out = stage(starts, "repeated-windows")
-        self.runs.append(run)
-        if len(self.runs) >= self.fan_in:
-            self.compact()
+        windows_at = scratch_path(self.spark, "windows")
+        verified_windows(texts.join(wanted, "doc").select("doc", "t", "hs"), self.window).write.parquet(windows_at)
+        drop_path(self.spark, at)
+        windows = self.spark.read.schema("w1 long, w2 int, doc long, pos int").parquet(windows_at)
+
+        open_rows = windows.where("w1 IS NOT NULL")
+        seen = reduce(DataFrame.union, [w.select("w1", "w2", "doc", F.lit(-1).alias("pos")) for w in self.windows], open_rows)
+        # the running minimum over increasing ids streams: no key's rows are held together
+        smallest = F.min("doc").over(W.partitionBy("w1", "w2").orderBy("doc").rowsBetween(W.unboundedPreceding, W.currentRow))
+        repeats = seen.withColumn("first", smallest).where("doc > first AND pos >= 0").select("doc", "pos").union(windows.where("w1 IS NULL").select("doc", "pos"))
+        out = stage(repeats.where(new).groupBy("doc").agg(F.collect_set("pos").alias("starts")), "repeated-windows")
+        if last:
+            self._drop([run])
+        else:
+            self.windows.append(stage(open_rows.groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run"))
+            self.runs.append(run)
+        drop_path(self.spark, windows_at)
         return out
 
     def compact(self) -> None:
@@ -189,13 +209,16 @@ class FingerprintIndex:
             other = self.spark.table(name).select("h", F.col("first").alias("f"), F.col("last").alias("l"))
             merged = merged.join(other, "h", "full").select("h", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
         name = self._write_run(merged)
-        self.windows = [stage(reduce(DataFrame.union, [w.select("w1", "w2", "doc") for w in self.windows]).groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run")]
+        self.windows = [stage(reduce(DataFrame.union, self.windows).groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run")]
         self._drop(self.runs)
         self.runs = [name]
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
+            path = self.spark.table(name).inputFiles()
             self.spark.sql(f"DROP TABLE {name}")
+            if path:
+                drop_path(self.spark, path[0].rpartition("/")[0])
 
     def close(self) -> None:
         self._drop(self.runs)
@@ -227,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     found = []
     for lo, hi in zip(limits, limits[1:], strict=False):
         known = rows if hi is None else rows.where(F.col("doc") <= hi)
-        found.append(index.add(known, lo))
+        found.append(index.add(known, lo, last=hi is None))
     index.close()
     starts = reduce(DataFrame.union, found)
 
