@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -64,6 +64,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body uses it.
+
+    Higher-order functions compute what they capture for every element anew; a variable they computed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(c: Column | str) -> Column:
     """Accented letters without their marks; marks of their own are removed."""
     return F.regexp_replace(F.translate(_col(c), *_accents()), r"\p{Mn}+", "")
@@ -119,8 +126,10 @@ def clean_company(c: Column | str) -> Column:
 
 def looks_like_company(c: Column | str) -> Column:
     """Whether the text ends like a legal company name."""
-    u = normalize(c)
-    return F.coalesce((F.length(u) >= 4) & u.rlike(_LEGAL_END), F.lit(False))
+    return F.coalesce(let(normalize(c), lambda u: (F.length(u) >= 4) & u.rlike(_LEGAL_END)), F.lit(False))
+
+
+_NAMED = r"(?i)([A-ZÀ-Ý0-9&.'\-/ ]{3,}?(?:LTDA|EIRELI|EPP|(?<![A-ZÀ-Ý])S\s*\.?A\s*\.?|(?<![A-ZÀ-Ý])S/A|MEI|(?<![A-ZÀ-Ý])ME))[.,]?(?=\s|$)"
 
 
 def company_candidate(c: Column | str) -> Column:
@@ -128,28 +137,42 @@ def company_candidate(c: Column | str) -> Column:
     line = F.btrim(collapse(_col(c)), F.lit(" :-|_"))
     line = F.regexp_replace(line, r"(?i)^[O0]?\d[\d.\-/]*\d\s+(?=[A-Za-zÀ-ÿ])", "")
     line = F.trim(F.regexp_replace(line, r"(?is)\s+(?:E-?MAIL|EMAIL|CNPJ|CPF|IM|INSCRI[CÇ][AÃ]O)\s*:?.*$", ""))
-    legal = r"(?i)([A-ZÀ-Ý0-9&.'\-/ ]{3,}?(?:LTDA|EIRELI|EPP|(?<![A-ZÀ-Ý])S\s*\.?A\s*\.?|(?<![A-ZÀ-Ý])S/A|MEI|(?<![A-ZÀ-Ý])ME))[.,]?(?=\s|$)"
-    named = F.trim(F.regexp_extract(line, legal, 1))
-    name = clean_company(F.when(named != "", F.regexp_replace(named, r"(?i)^[O0]?\d[\d.\-/() ]*\d\s+(?=[A-Za-zÀ-ÿ])", "")).otherwise(line))
-    u = normalize(name)
-    refused = reduce(lambda a, b: a | b, [F.contains(u, F.lit(x)) for x in NOT_A_COMPANY]) | (F.length(u) < 4) | name.rlike(r"\b\d{2}/\d{2}/\d{4}\b")
-    wordy = (F.size(F.regexp_extract_all(u, F.lit(r"[A-Z]{2,}"), 0)) >= 2) & ~u.rlike(r"@|\bRUA\b|\bPR\b\s*\d{5}")
-    return F.when(~refused & (looks_like_company(name) | wordy), name).otherwise("")
+
+    def name(text: Column) -> Column:
+        named = F.regexp_replace(F.trim(F.regexp_extract(text, _NAMED, 1)), r"(?i)^[O0]?\d[\d.\-/() ]*\d\s+(?=[A-Za-zÀ-ÿ])", "")
+        return let(named, lambda n: clean_company(F.when(n != "", n).otherwise(text)))
+
+    def accepted(n: Column) -> Column:
+        def by_normal(u: Column) -> Column:
+            refused = any_contained(u, NOT_A_COMPANY) | (F.length(u) < 4) | n.rlike(r"\b\d{2}/\d{2}/\d{4}\b")
+            wordy = (F.size(F.regexp_extract_all(u, F.lit(r"[A-Z]{2,}"), 0)) >= 2) & ~u.rlike(r"@|\bRUA\b|\bPR\b\s*\d{5}")
+            return F.when(~refused & (u.rlike(_LEGAL_END) | wordy), n).otherwise("")
+
+        return let(normalize(n), by_normal)
+
+    return let(let(line, name), accepted)
 
 
 def service_line(c: Column | str) -> Column:
     """What a line says about the service rendered, or an empty string for labels, codes and totals."""
-    raw = collapse(F.coalesce(_col(c), F.lit("")))
-    u = compact(raw)
-    label = reduce(lambda a, b: a | b, [F.contains(u, F.lit(x)) for x in NOT_A_DESCRIPTION]) | (F.contains(u, F.lit("RETIDO")) & F.contains(u, F.lit("VALORTOTA")))
-    text = F.trim(F.regexp_replace(raw, r"\s+\d{3,}(?:[./]\d+)*\s*/.*$", ""))
-    numeric = text.rlike(r"^[\d./\-\s]+$") | text.rlike(r"(?i)\b(?:CEP|CNPJ|CPF|E-MAIL|EMAIL|MUNICIPIO|SIGLA UF)\b")
-    text = F.trim(F.regexp_replace(text, r"(?i)\s+R\$\s*[\d.,]+.*$", ""))
-    text = F.trim(F.regexp_replace(text, r"(?iu)\s+(?:SIM|NAO|NÃO)\s+\d+[,.]\d+\s+\d.*$", ""))
-    coded = text.rlike(r"^\s*(?:\d{2}(?:[./]\d{2}){1,3}|\d{3,}(?:[./]\d+)*)(?:\s*/|\s+-|\s+\d)")
-    letters, digits = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ]", "")), F.length(F.regexp_replace(text, "[^0-9]", ""))
-    thin = (letters < 5) | ((digits > letters * 2) & (digits >= 8))
-    return F.when((F.length(normalize_description(raw)) < 5) | label | numeric | coded | thin, "").otherwise(F.btrim(text, F.lit(" |-")))
+
+    def cleaned(raw: Column) -> Column:
+        text = F.trim(F.regexp_replace(raw, r"\s+\d{3,}(?:[./]\d+)*\s*/.*$", ""))
+        address = text.rlike(r"^[\d./\-\s]+$") | text.rlike(r"(?i)\b(?:CEP|CNPJ|CPF|E-MAIL|EMAIL|MUNICIPIO|SIGLA UF)\b")
+        return F.when(~address, F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)\s+R\$\s*[\d.,]+.*$", ""), r"(?iu)\s+(?:SIM|NAO|NÃO)\s+\d+[,.]\d+\s+\d.*$", "")))
+
+    def described(text: Column) -> Column:
+        coded = text.rlike(r"^\s*(?:\d{2}(?:[./]\d{2}){1,3}|\d{3,}(?:[./]\d+)*)(?:\s*/|\s+-|\s+\d)")
+        letters, digits = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÿ]", "")), F.length(F.regexp_replace(text, "[^0-9]", ""))
+        return F.when(~coded & (letters >= 5) & ~((digits > letters * 2) & (digits >= 8)), F.btrim(text, F.lit(" |-")))
+
+    def label(u: Column) -> Column:
+        return any_contained(u, NOT_A_DESCRIPTION) | (F.contains(u, F.lit("RETIDO")) & F.contains(u, F.lit("VALORTOTA")))
+
+    def line(raw: Column) -> Column:
+        return F.when((F.length(normalize_description(raw)) >= 5) & ~let(compact(raw), label), let(cleaned(raw), described))
+
+    return F.coalesce(let(collapse(F.coalesce(_col(c), F.lit(""))), line), F.lit(""))
 
 
 def is_generic_service(c: Column | str) -> Column:

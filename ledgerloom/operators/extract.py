@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import format_number, parse_number
-from ..functions.text import any_contained, clean_company, collapse, compact, company_candidate, digits, is_generic_service, looks_like_company, normalize, normalize_description, service_line
+from ..functions.text import any_contained, clean_company, collapse, compact, company_candidate, digits, is_generic_service, let, looks_like_company, normalize, normalize_description, service_line
 
 NO_NUMBER, NO_COMPANY, NO_SERVICE = "SemNumero", "Empresa não identificada", "Prestacao de servico"
 _DATE = r"\d{2}/\d{2}/\d{4}"
@@ -130,12 +130,9 @@ def goods_items(lines: Column | str) -> Column:
 
     The section runs from its heading to the additional data; quantities that aren't above zero are blank."""
     ls = _col(lines)
-    norm = F.transform(ls, lambda x: normalize(x))
-    start = first_index(norm, lambda u: any_contained(u, ("DADOS DOS PRODUTOS", "DADOS DO PRODUTO")))
-    rest = F.when(start.isNotNull(), F.slice(norm, start + 2, F.size(ls))).otherwise(F.array().cast("array<string>"))
-    length = F.coalesce(first_index(rest, lambda u: any_contained(u, ("DADOS ADICIONAIS", "INFORMACOES COMPLEMENTARES"))), F.size(rest))
     row = rf"(?i)^(\S+)\s+(.*?)\s+(\d{{8}}|\d{{4}}\.\d{{2}}\.\d{{2}})\s+([A-Za-z0-9/.\-]+)\s+(\d{{4}})\s+({UNITS})\s+(\d+(?:[.,]\d+)?)\b"
-    found = F.filter(F.transform(_from(ls, start + 1, length), lambda x: F.trim(x)), lambda x: x.rlike(row))
+    inside = section(ls, lambda u: any_contained(u, ("DADOSDOSPRODUTOS", "DADOSDOPRODUTO")), lambda u: any_contained(u, ("DADOSADICIONAIS", "INFORMACOESCOMPLEMENTARES")))
+    found = F.filter(F.transform(inside, lambda x: F.trim(x)), lambda x: x.rlike(row))
 
     def item(x: Column) -> Column:
         part = [F.regexp_extract(x, row, g) for g in range(8)]
@@ -159,34 +156,50 @@ _SERVICE_LABEL = ("DESCRICAODOSERVICO", "DESCRICAODOSSERVICOS", "DESCRICAOSERVIC
 def distinct_lines(lines: Column) -> Column:
     """Lines whose normalised description wasn't there before, in order."""
     norm = F.transform(lines, lambda x: normalize_description(x))
-    return F.filter(lines, lambda x, i: (F.get(norm, i) != "") & (F.array_position(norm, F.get(norm, i)) == i + 1))
+    pairs = F.zip_with(lines, norm, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+    first = let(pairs, lambda ps: let(F.transform(ps, lambda p: p["n"]), lambda ns: F.filter(ps, lambda p, i: (p["n"] != "") & (F.array_position(ns, p["n"]) == i + 1))))
+    return F.transform(first, lambda p: p["x"])
 
 
 def section(lines: Column, start, end) -> Column:
     """The lines between the first that fits `start` and the next that fits `end`, both left out."""
-    packed = _compacted(lines)
-    first = first_index(packed, start)
-    rest = F.when(first.isNotNull(), F.slice(packed, first + 2, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    return _from(lines, first + 1, F.coalesce(first_index(rest, end), F.size(rest)))
+    def cut(packed: Column) -> Column:
+        first = first_index(packed, start)
+        rest = F.when(first.isNotNull(), F.slice(packed, first + 2, F.size(packed))).otherwise(F.array().cast("array<string>"))
+        return _from(lines, first + 1, F.coalesce(first_index(rest, end), F.size(rest)))
+
+    return let(_compacted(lines), cut)
 
 
 def service_description(lines: Column | str) -> Column:
     """Text of the section on the service rendered: what follows its description label, else what precedes it."""
     ls = _col(lines)
-    inside = section(
-        ls,
-        lambda u: any_contained(u, _SERVICE_START) | (u.startswith("DETALHA") & F.contains(u, F.lit("SERVI"))),
-        lambda u: u.rlike("^TRIBUTA[CG]AO") | any_contained(u, _SERVICE_END),
-    )
-    heading = F.get(F.filter(_compacted(ls), lambda u: any_contained(u, _SERVICE_START) | (u.startswith("DETALHA") & F.contains(u, F.lit("SERVI")))), 0)
-    label = F.when(any_contained(heading, _SERVICE_START[1:]), F.lit(-1)).otherwise(
-        first_index(_compacted(inside), lambda u: any_contained(u, _SERVICE_LABEL) | (u.startswith("DESCRI") & F.contains(u, F.lit("SERVI"))))
-    )
-    cleaned = F.transform(inside, lambda x: service_line(x))
-    after = distinct_lines(F.filter(cleaned, lambda x, i: (x != "") & label.isNotNull() & (i > label)))
-    before = distinct_lines(F.filter(cleaned, lambda x, i: (x != "") & (label.isNull() | (i <= label))))
-    after = F.filter(after, lambda x: ~is_generic_service(x))
-    return F.trim(F.array_join(F.when(F.size(after) > 0, after).otherwise(before), " "))
+
+    def starts(u: Column) -> Column:
+        return any_contained(u, _SERVICE_START) | (u.startswith("DETALHA") & F.contains(u, F.lit("SERVI")))
+
+    inside = section(ls, starts, lambda u: u.rlike("^TRIBUTA[CG]AO") | any_contained(u, _SERVICE_END))
+    heading = F.get(F.filter(_compacted(ls), starts), 0)
+
+    def text(part: Column) -> Column:
+        label = F.when(any_contained(heading, _SERVICE_START[1:]), F.lit(-1)).otherwise(
+            first_index(_compacted(part), lambda u: any_contained(u, _SERVICE_LABEL) | (u.startswith("DESCRI") & F.contains(u, F.lit("SERVI"))))
+        )
+
+        def chosen(at: Column) -> Column:
+            lines = F.filter(F.transform(part, lambda x, i: F.struct(i.alias("i"), service_line(x).alias("x"))), lambda p: p["x"] != "")
+
+            def pick(found: Column) -> Column:
+                after = distinct_lines(F.transform(F.filter(found, lambda p: at.isNotNull() & (p["i"] > at)), lambda p: p["x"]))
+                before = distinct_lines(F.transform(F.filter(found, lambda p: at.isNull() | (p["i"] <= at)), lambda p: p["x"]))
+                own = F.filter(after, lambda x: ~is_generic_service(x))
+                return let(own, lambda o: F.trim(F.array_join(F.when(F.size(o) > 0, o).otherwise(before), " ")))
+
+            return let(lines, pick)
+
+        return let(label, chosen)
+
+    return let(inside, text)
 
 
 _ORDER_ROW = rf"(?i)^{_DATE}\s+\d+\s+(.*?)\s+(\d+(?:[.,]\d+)?)(?:\s+[\d.]+,\d{{2}}){{4}}\s*$"
@@ -227,34 +240,36 @@ def _pure_number(lines: Column) -> Column:
 def service_number(lines: Column | str) -> Column:
     """Number of a service invoice: beside or under its label, inside the 50-digit key, as "n / A", or by other labels."""
     ls = _col(lines)
-    packed = _compacted(ls)
-    at = first_index(packed, lambda u: any_contained(u, ("NUMERODANFSE", "MERODANFSE")))
 
     def dated(x: Column) -> Column:
         plain = F.regexp_extract(x, r"(?<![/\d])(\d{1,8})\s+(?:\d{2}/\d{2}/\d{4}|\d{2}/\d{4})", 1)
         dotted = F.regexp_extract(x, r"(?<![0-9A-Za-z])(\d{2,}\.\d{2,})(?=\s+\d{2}/(?:\d{2}/)?\d{4})", 1)
         return F.coalesce(_whole(plain), _whole(dotted))
 
-    leading = F.transform(_from(ls, at + 1, 4), lambda x: _whole(F.regexp_replace(F.regexp_extract(x, r"^\s*([0-9.]{2,})\s+", 1), r"\.", "")))
-    labelled = F.coalesce(first_of(F.transform(_from(ls, at, 5), dated)), first_of(leading), _whole(_pure_number(_from(ls, at + 1, 10))))
+    def beside(at: Column) -> Column:
+        leading = F.transform(_from(ls, at + 1, 4), lambda x: _whole(F.regexp_replace(F.regexp_extract(x, r"^\s*([0-9.]{2,})\s+", 1), r"\.", "")))
+        return F.coalesce(first_of(F.transform(_from(ls, at, 5), dated)), first_of(leading), _whole(_pure_number(_from(ls, at + 1, 10))))
 
     def inside_key(key: Column) -> Column:
         return F.when(F.coalesce(F.substring(key, 24, 13).try_cast("long"), F.lit(0)) > 0, without_leading_zeros(F.substring(key, 24, 13)))
 
-    alone = first_of(F.transform(F.slice(ls, 1, 55), lambda x: F.when(F.length(digits(x)) == 50, inside_key(digits(x)))))
-    keyed = F.filter(F.transform(F.slice(packed, 1, 45), lambda u, i: F.when(F.contains(u, F.lit("CHAVEDEACESSO")), i)), lambda i: i.isNotNull())
-    joined = F.transform(keyed, lambda i: F.array_join(F.transform(_from(ls, i + 1, 6), lambda x: digits(x)), ""))
-    from_key = F.coalesce(alone, first_of(F.transform(joined, lambda k: F.when(F.length(k) >= 50, inside_key(F.substring(k, 1, 50))))))
-    series = _whole(first_match(F.slice(ls, 1, 90), r"(?<!\d)(\d{3,9})\s*/\s*([A-Z])(?![A-Z])", norm=True))
-    spots = F.filter(F.transform(F.slice(packed, 1, 35), lambda u, i: F.when(any_contained(u, _NUMBER_LABELS), i)), lambda i: i.isNotNull())
-
     def near(i: Column) -> Column:
         text = F.regexp_replace(F.array_join(_from(ls, i, 3), " "), rf"{_DATE}(?:\s+\d{{2}}:\d{{2}}(?::\d{{2}})?)?", " ")
-        found = F.regexp_extract(text, _LABELLED, 1)
-        return F.when(found != "", F.nullif(_whole(found), F.lit("0"))).otherwise(_whole(_pure_number(_from(ls, i + 1, 10))))
+        return let(F.regexp_extract(text, _LABELLED, 1), lambda found: F.when(found != "", F.nullif(_whole(found), F.lit("0"))).otherwise(_whole(_pure_number(_from(ls, i + 1, 10)))))
+
+    def spots(packed: Column, n: int, keys: Sequence[str]) -> Column:
+        return F.filter(F.transform(F.slice(packed, 1, n), lambda u, i: F.when(any_contained(u, keys), i)), lambda i: i.isNotNull())
 
-    short = labelled.isNull() | (F.length(labelled) <= 1)
-    return F.coalesce(F.when(short, from_key), labelled, series, first_of(F.transform(spots, near)), F.lit(NO_NUMBER))
+    def ladder(packed: Column) -> Column:
+        labelled = let(first_index(packed, lambda u: any_contained(u, ("NUMERODANFSE", "MERODANFSE"))), beside)
+        alone = first_of(F.transform(F.slice(ls, 1, 55), lambda x: let(digits(x), lambda d: F.when(F.length(d) == 50, inside_key(d)))))
+        joined = F.transform(spots(packed, 45, ("CHAVEDEACESSO",)), lambda i: F.array_join(F.transform(_from(ls, i + 1, 6), lambda x: digits(x)), ""))
+        from_key = F.coalesce(alone, first_of(F.transform(joined, lambda k: F.when(F.length(k) >= 50, inside_key(F.substring(k, 1, 50))))))
+        series = _whole(first_match(F.slice(ls, 1, 90), r"(?<!\d)(\d{3,9})\s*/\s*([A-Z])(?![A-Z])", norm=True))
+        others = first_of(F.transform(spots(packed, 35, _NUMBER_LABELS), near))
+        return let(labelled, lambda n: F.coalesce(F.when(n.isNull() | (F.length(n) <= 1), from_key), n, series, others, F.lit(NO_NUMBER)))
+
+    return let(_compacted(ls), ladder)
 
 
 _PROVIDER_LABELS = ("EMITENTEDANFSE", "PRESTADORFORNECEDOR", "PRESTADORDESERVICO", "DADOSDOPRESTADOR")
@@ -268,28 +283,47 @@ def _wordy(c: Column) -> Column:
 def service_provider(lines: Column | str) -> Column:
     """Provider of a service invoice, from its own block only; names split over two lines are joined."""
     ls = _col(lines)
-    packed = _compacted(ls)
-    first = F.coalesce(first_index(packed, lambda u: any_contained(u, _PROVIDER_LABELS)), F.lit(0))
-    rest = F.when(F.size(ls) > first + 1, F.slice(packed, first + 2, F.size(ls))).otherwise(F.array().cast("array<string>"))
-    block = _from(ls, first, F.least(F.coalesce(first_index(rest, lambda u: F.contains(u, F.lit("TOMADOR"))), F.lit(39)) + 1, F.size(ls)))
-    named = first_of(F.transform(block, lambda x: company_candidate(F.regexp_extract(x, r"(?i)NOME\s*/?\s*RAZ\S*\s+SOCI\S*\s*[:|-]?\s*(.+)$", 1))))
-
-    start = first_index(packed, lambda u: F.contains(u, F.lit("PRESTADOR")) | F.contains(u, F.lit("EMITENTEDANFSE")))
-    after = F.when(start.isNotNull(), F.slice(packed, start + 2, 23)).otherwise(F.array().cast("array<string>"))
-    inner = _from(ls, start + 1, F.coalesce(first_index(after, lambda u: any_contained(u, ("TOMADORDOSERVICOS", "DADOSDOTOMADOR", "TOMADORADQUIRENTE"))), F.lit(23)))
-
-    def legal(x: Column, i: Column) -> Column:
-        alone = company_candidate(x)
-        pair = company_candidate(F.concat_ws(" ", x, F.get(inner, i + 1)))
-        name = F.when(looks_like_company(alone), alone).when(looks_like_company(pair), pair)
-        prefix = F.get(F.filter(F.transform(F.reverse(F.slice(inner, F.greatest(F.lit(1), i - 6), F.least(i, F.lit(7)))), lambda y: company_candidate(y)), lambda y: (y != "") & ~looks_like_company(y) & (_wordy(y) >= 2)), 0)
-        joined = company_candidate(F.concat_ws(" ", prefix, name))
-        return F.when((_wordy(name) <= 2) & (i > 0) & prefix.isNotNull() & looks_like_company(joined), joined).otherwise(name)
-
-    found = first_of(F.transform(inner, legal))
-    labels = F.transform(inner, lambda x: any_contained(compact(x), _NAME_LABELS) | (F.contains(compact(x), F.lit("NOME")) & any_contained(compact(x), ("RAZ", "SOCIAL", "EMPRES"))))
-    under = first_of(F.transform(inner, lambda x, i: F.when(F.exists(F.slice(labels, F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3))), lambda b: b), company_candidate(x))))
-    return F.coalesce(named, found, under, F.lit(NO_COMPANY))
+    none = F.array().cast("array<string>")
+
+    def named(packed: Column) -> Column:
+        def block(first: Column) -> Column:
+            rest = F.when(F.size(ls) > first + 1, F.slice(packed, first + 2, F.size(ls))).otherwise(none)
+            return _from(ls, first, F.least(F.coalesce(first_index(rest, lambda u: F.contains(u, F.lit("TOMADOR"))), F.lit(39)) + 1, F.size(ls)))
+
+        inside = let(F.coalesce(first_index(packed, lambda u: any_contained(u, _PROVIDER_LABELS)), F.lit(0)), block)
+        return first_of(F.transform(inside, lambda x: company_candidate(F.regexp_extract(x, r"(?i)NOME\s*/?\s*RAZ\S*\s+SOCI\S*\s*[:|-]?\s*(.+)$", 1))))
+
+    def inner(packed: Column) -> Column:
+        def block(start: Column) -> Column:
+            after = F.when(start.isNotNull(), F.slice(packed, start + 2, 23)).otherwise(none)
+            return _from(ls, start + 1, F.coalesce(first_index(after, lambda u: any_contained(u, ("TOMADORDOSERVICOS", "DADOSDOTOMADOR", "TOMADORADQUIRENTE"))), F.lit(23)))
+
+        return let(first_index(packed, lambda u: F.contains(u, F.lit("PRESTADOR")) | F.contains(u, F.lit("EMITENTEDANFSE"))), block)
+
+    def facts(block: Column) -> Column:
+        """Per line: its candidate, the candidate of it and the next line, and whether its label names a company."""
+
+        def fact(x: Column, i: Column) -> Column:
+            u = compact(x)
+            label = let(u, lambda c: any_contained(c, _NAME_LABELS) | (F.contains(c, F.lit("NOME")) & any_contained(c, ("RAZ", "SOCIAL", "EMPRES"))))
+            alone, pair = company_candidate(x), company_candidate(F.concat_ws(" ", x, F.get(block, i + 1)))
+            return let(F.struct(alone.alias("alone"), pair.alias("pair"), label.alias("label")), lambda f: F.struct(i.alias("i"), f["alone"].alias("alone"), looks_like_company(f["alone"]).alias("legal"), f["pair"].alias("pair"), looks_like_company(f["pair"]).alias("pair_legal"), f["label"].alias("label")))
+
+        return F.transform(block, fact)
+
+    def by_lines(fs: Column) -> Column:
+        def whole(f: Column) -> Column:
+            name = F.when(f["legal"], f["alone"]).otherwise(f["pair"])
+            before = F.reverse(F.slice(fs, F.greatest(F.lit(1), f["i"] - 6), F.least(f["i"], F.lit(7))))
+            prefix = F.get(F.filter(before, lambda y: (y["alone"] != "") & ~y["legal"] & (_wordy(y["alone"]) >= 2)), 0)["alone"]
+            joined = company_candidate(F.concat_ws(" ", F.when((_wordy(name) <= 2) & (f["i"] > 0), prefix), name))
+            return let(joined, lambda j: F.when(looks_like_company(j), j).otherwise(name))
+
+        legal = F.get(F.filter(fs, lambda f: f["legal"] | f["pair_legal"]), 0)
+        under = F.filter(fs, lambda f: F.exists(F.slice(fs, F.greatest(F.lit(1), f["i"] - 2), F.least(f["i"], F.lit(3))), lambda y: y["label"]))
+        return F.coalesce(let(legal, lambda f: F.when(f.isNotNull(), whole(f))), first_of(F.transform(under, lambda f: f["alone"])))
+
+    return let(_compacted(ls), lambda packed: F.coalesce(named(packed), let(let(inner(packed), facts), by_lines), F.lit(NO_COMPANY)))
 
 
 def nearest_value(words: DataFrame, by: Sequence[str], label: str = "LIQUID", up: float = 10.0, down: float = 180.0, aside: float = 280.0) -> DataFrame:
@@ -307,20 +341,25 @@ def nearest_value(words: DataFrame, by: Sequence[str], label: str = "LIQUID", up
 def service_total(lines: Column | str, positioned: Column | None = None) -> Column:
     """Total of a service invoice: by position, as net value, on the service's row, or under a label of totals."""
     ls = _col(lines)
-    packed = _compacted(ls)
-    net = first_of(F.transform(ls, lambda x: F.when(x.rlike(r"(?i)(?:VLR\s+LIQ(?:UIDO)?(?:\s+DUP)?|VALOR\s+LIQUIDO)\s*[:=]?\s*(?:R\$\s*)?[\d.]+[,.]\d{2}"), format_number(parse_number(F.regexp_extract(x, r"(?i)(?:VLR\s+LIQ(?:UIDO)?(?:\s+DUP)?|VALOR\s+LIQUIDO)\s*[:=]?\s*(?:R\$\s*)?([\d.]+[,.]\d{2})", 1)), 2))))
+    net = first_match(ls, r"(?i)(?:VLR\s+LIQ(?:UIDO)?(?:\s+DUP)?|VALOR\s+LIQUIDO)\s*[:=]?\s*(?:R\$\s*)?([\d.]+[,.]\d{2})")
+    net = F.when(net.isNotNull(), format_number(parse_number(net), 2))
     amounts = r"(?<!\d)(\d{1,3}(?:\.\d{3})*,\d{2})(?!\d)"
     on_row = first_of(F.transform(ls, lambda x: F.when(F.contains(normalize(x), F.lit("SERVICOS")), F.try_element_at(F.regexp_extract_all(x, F.lit(amounts), 1), F.lit(-1)))))
 
-    def under(keys: Sequence[str], n: int) -> Column:
-        spots = F.filter(F.transform(packed, lambda u, i: F.when(any_contained(u, keys), i)), lambda i: i.isNotNull())
-        return first_of(F.transform(spots, lambda i: F.regexp_extract(F.array_join(_from(ls, i, n), " "), r"R\$\s*([\d.]+,\d{2,4})", 1)))
+    def labelled(packed: Column) -> Column:
+        def under(keys: Sequence[str], n: int) -> Column:
+            spots = F.filter(F.transform(packed, lambda u, i: F.when(any_contained(u, keys), i)), lambda i: i.isNotNull())
+            return first_of(F.transform(spots, lambda i: F.regexp_extract(F.array_join(_from(ls, i, n), " "), r"R\$\s*([\d.]+,\d{2,4})", 1)))
+
+        def last(at: Column) -> Column:
+            rest = F.when(at.isNotNull(), F.slice(packed, at + 2, F.size(ls))).otherwise(F.array().cast("array<string>"))
+            block = _from(ls, at + 1, F.coalesce(first_index(rest, lambda u: F.contains(u, F.lit("INFORMACOESCOMPLEMENTARES"))), F.lit(17)))
+            return F.try_element_at(F.flatten(F.transform(block, lambda x: F.regexp_extract_all(x, F.lit(amounts), 1))), F.lit(-1))
+
+        return F.coalesce(under(("VALORDAOPERACAOSERVICO", "VALORDOSERVICO"), 7), under(("VALORTOTALDANFSE",), 10), let(first_index(packed, lambda u: F.contains(u, F.lit("VALORTOTALDANOTA"))), last))
 
-    at = first_index(packed, lambda u: F.contains(u, F.lit("VALORTOTALDANOTA")))
-    rest = F.when(at.isNotNull(), F.slice(packed, at + 2, F.size(ls))).otherwise(F.array().cast("array<string>"))
-    last = F.flatten(F.transform(_from(ls, at + 1, F.coalesce(first_index(rest, lambda u: F.contains(u, F.lit("INFORMACOESCOMPLEMENTARES"))), F.lit(17))), lambda x: F.regexp_extract_all(x, F.lit(amounts), 1)))
     given = F.nullif(positioned, F.lit("")) if positioned is not None else F.lit(None).cast("string")
-    return F.coalesce(given, net, on_row, under(("VALORDAOPERACAOSERVICO", "VALORDOSERVICO"), 7), under(("VALORTOTALDANFSE",), 10), F.try_element_at(last, F.lit(-1)), F.lit("-"))
+    return F.coalesce(given, net, on_row, let(_compacted(ls), labelled), F.lit("-"))
 
 
 def service_hours(lines: Column | str) -> Column:
@@ -340,7 +379,7 @@ def service_invoice(lines: Column | str, positioned: Column | None = None) -> Co
     )
     row = first_of(F.transform(ls, lambda x: F.when(F.contains(normalize(x), F.lit("SERVICOS")) & ~F.contains(normalize(x), F.lit("NOTA FISCAL")) & (F.length(F.regexp_replace(normalize(x), "[^A-Z]", "")) >= 12), F.btrim(F.regexp_replace(x, r"(?iu)\s+(?:SIM|N[AÃ]O)\s+\d+[,.]\d+\s+\d.*$", ""), F.lit(" |-_")))))
     described = collapse(F.coalesce(F.nullif(service_description(ls), F.lit("")), F.nullif(collapse(labelled), F.lit("")), row, F.lit(NO_SERVICE)))
-    described = F.when(described.rlike(r"(?i)\bRETIDO\b") & described.rlike(r"(?i)VALOR\s+TOTA"), F.trim(F.regexp_replace(described, r"(?is)^.*?VALOR\s+TOTA(?:L)?\s+", ""))).otherwise(described)
+    described = let(described, lambda d: F.when(d.rlike(r"(?i)\bRETIDO\b") & d.rlike(r"(?i)VALOR\s+TOTA"), F.trim(F.regexp_replace(d, r"(?is)^.*?VALOR\s+TOTA(?:L)?\s+", ""))).otherwise(d))
     described = collapse(F.regexp_replace(described, r"(?iu)^servi[cç]os?de", "serviço de "))
     plain = F.struct(service_number(ls).alias("number"), service_provider(ls).alias("company"), described.alias("description"), service_hours(ls).alias("quantity"), service_total(ls, positioned).alias("total"))
     return F.coalesce(order, plain)
@@ -357,26 +396,31 @@ def budget_line(line: Column | str) -> Column:
     quantity and price stand near the front. The first of equally good choices is taken."""
     raw = collapse(F.coalesce(_col(line), F.lit("")))
     part = [F.regexp_extract(raw, _BUDGET_ROW, g) for g in range(6)]
-    v = F.transform(F.regexp_extract_all(part[5], F.lit(_BUDGET_NUMBER), 0), parse_number)
-    n = F.size(v)
+    found = F.transform(F.regexp_extract_all(part[5], F.lit(_BUDGET_NUMBER), 0), parse_number)
 
     def upto(low: Column, high: Column) -> Column:
         """low .. high - 1, empty where high isn't above low."""
         return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
 
-    def fit(q: Column, u: Column, t: Column) -> Column:
-        quantity, price, total = F.get(v, q), F.get(v, u), F.get(v, t)
-        diff = F.abs(quantity * price - total)
-        good = (quantity > 0) & (price >= 0) & (diff <= F.greatest(F.lit(0.05), F.abs(total) * 0.003))
-        cost = diff * 100 + q * 3 + F.greatest(F.lit(0), u - 2)
-        return F.when(good, F.struct(cost.alias("cost"), q.alias("q"), u.alias("u"), t.alias("t"), quantity.alias("quantity"), price.alias("unit_price"), total.alias("total")))
+    def best(v: Column) -> Column:
+        n = F.size(v)
+
+        def fit(q: Column, u: Column, t: Column) -> Column:
+            quantity, price, total = F.get(v, q), F.get(v, u), F.get(v, t)
+            diff = F.abs(quantity * price - total)
+            good = (quantity > 0) & (price >= 0) & (diff <= F.greatest(F.lit(0.05), F.abs(total) * 0.003))
+            cost = diff * 100 + q * 3 + F.greatest(F.lit(0), u - 2)
+            return F.when(good, F.struct(cost.alias("cost"), q.alias("q"), u.alias("u"), t.alias("t"), quantity.alias("quantity"), price.alias("unit_price"), total.alias("total"), F.get(v, 0).alias("pieces")))
+
+        tried = F.transform(upto(F.lit(0), F.least(F.lit(3), n - 2)), lambda q: F.flatten(F.transform(upto(q + 1, F.least(q + 4, n - 1)), lambda u: F.transform(upto(u + 1, n), lambda t: fit(q, u, t)))))
+        whole = (n >= 5) & ~F.exists(v, lambda x: x.isNull())
+        return F.when(whole, F.array_min(F.filter(F.flatten(tried), lambda x: x.isNotNull())))
+
+    def row(b: Column) -> Column:
+        fields = F.struct(part[1].alias("code"), F.trim(part[2]).alias("description"), part[3].alias("ncm"), part[4].alias("unit"), b["quantity"].alias("quantity"), b["unit_price"].alias("unit_price"), b["total"].alias("total"), b["pieces"].alias("pieces"))
+        return F.when(b.isNotNull(), fields)
 
-    tried = F.flatten(
-        F.transform(upto(F.lit(0), F.least(F.lit(3), n - 2)), lambda q: F.flatten(F.transform(upto(q + 1, F.least(q + 4, n - 1)), lambda u: F.transform(upto(u + 1, n), lambda t: fit(q, u, t)))))
-    )
-    best = F.array_min(F.filter(tried, lambda x: x.isNotNull()))
-    found = F.struct(part[1].alias("code"), F.trim(part[2]).alias("description"), part[3].alias("ncm"), part[4].alias("unit"), best["quantity"].alias("quantity"), best["unit_price"].alias("unit_price"), best["total"].alias("total"), F.get(v, 0).alias("pieces"))
-    return F.when((part[1] != "") & (n >= 5) & ~F.exists(v, lambda x: x.isNull()) & best.isNotNull(), found)
+    return F.when(part[1] != "", let(let(found, best), row))
 
 
 def order_total(text: Column | str) -> Column:
@@ -387,8 +431,9 @@ def order_total(text: Column | str) -> Column:
 def budget_lines(pages: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
     """All budget rows of some pages, with the order's total: by, page, line_no, item struct's fields, order_total."""
     totals = pages.select(*by, order_total(text_col).alias("t"), "page").where("t IS NOT NULL").groupBy(*by).agg(F.min_by("t", "page").alias("order_total"))
-    rows = pages.select(*by, "page", F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).withColumn("item", budget_line("line")).where("item IS NOT NULL")
-    return rows.join(totals, list(by), "left").select(*by, "page", "line_no", "item.*", "order_total")
+    rows = pages.select(*by, "page", F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    items = rows.select(*by, "page", "line_no", F.inline(F.array(budget_line("line")))).where("code IS NOT NULL")
+    return items.join(totals, list(by), "left")
 
 
 def arithmetic_confidence(quantity: Column, price: Column, total: Column) -> Column:

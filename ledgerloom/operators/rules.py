@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_contained, compact, literal_array, normalize
+from ..functions.text import any_contained, compact, let, literal_array, normalize
 
 #: Keywords that make up a page's header tokens, found anywhere in its compact text.
 HEADER_KEYWORDS = (
@@ -131,7 +131,7 @@ def header_tokens(text: Column | str, keywords: Sequence[str] = HEADER_KEYWORDS)
 
     Keywords are found inside longer words too."""
     c = compact(F.substring(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 1, 5000))
-    return F.filter(literal_array(sorted(keywords)), lambda k: F.contains(c, k))
+    return let(c, lambda c: F.filter(literal_array(sorted(keywords)), lambda k: F.contains(c, k)))
 
 
 def native_text_is_enough(text: Column | str, confidence: Column | str, labels: Sequence[str] = ("EMITENTE", "PRESTADOR", "TOMADOR", "CHAVE DE ACESSO", "NUMERO", "VALOR")) -> Column:

@@ -135,7 +135,7 @@ def prepare_catalog(raw: DataFrame, order: str | None = None, ncm_col: str = "Po
     def text(c: str | None) -> Column:
         return F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c else F.lit("")
 
-    numbered = raw.dropna(how="all", subset=columns).withColumn("idx", F.col(order).cast("long") if order else F.monotonically_increasing_id())
+    numbered = raw.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull()).withColumn("idx", F.col(order).cast("long") if order else F.monotonically_increasing_id())
     extra = F.when(F.length(normalize_description(text(longer))) >= 5, text(longer)).otherwise("")
     ncm = digits(F.col(f"`{ncm_col}`").cast("string")) if ncm_col in raw.columns else F.lit("")
     rows = numbered.select("idx", text(code).alias("code"), text(short).alias("description"), extra.alias("description_extra"), text(centre).alias("cost_centre"), ncm.alias("ncm"))
