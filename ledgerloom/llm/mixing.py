@@ -91,7 +91,7 @@ def mix(
     domain_sql: str = DOMAIN_SQL,
     weights: tuple[Mapping[str, int] | None, ...] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, None),
 ) -> DataFrame:
-    """docs, once for each epoch that takes it, with a column `epoch` counted from 0.
+    """docs, once for each epoch that takes it, with a column `epoch` counted from 0 (one of that name is replaced).
 
     percent: the budget, in hundredths of the input's tokens (words)."""
     prepare(docs.sparkSession)
@@ -113,8 +113,9 @@ def mix(
     cuts = plan.join(ends.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("last_key", "bucket").alias("cut")), list(LEVELS), "left")
     cuts = stage(cuts.select(*LEVELS, "full", F.coalesce("cut", F.lit("")).alias("cut")), "cuts")
 
-    fields = [F.col(f"d.{c}") for c in docs.columns]
-    keyed = docs.select(F.struct(*docs.columns).alias("d"), *leaf).join(small(cuts), list(LEVELS))
+    columns = [f"`{c}`" for c in docs.columns if c != "epoch"]
+    fields = [F.col(f"d.{c}") for c in columns]
+    keyed = docs.select(F.struct(*columns).alias("d"), *leaf).join(small(cuts), list(LEVELS))
     copies = F.col("full") + F.when(_order_key(seed, F.col("full"), F.col(f"d.{id_col}")) <= F.col("cut"), 1).otherwise(0)
     return keyed.withColumn("copies", copies).where("copies > 0").select(*fields, F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("epoch"))
 

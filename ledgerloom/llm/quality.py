@@ -137,8 +137,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     spark = docs.sparkSession
     prepare(spark)
     hosts = stage(host_counts(measures(docs, id_col, text_col, host_col)), "host-counts")
-    bad = stage(host_rates(hosts).where(F.col("rate") > host_rate).select(F.col("host").alias("_bad_host")), "bad-hosts")
-    kept = docs.join(small(bad), F.col(host_col).cast("string") == F.col("_bad_host"), "left_anti")
+    bad = stage(host_rates(hosts).where(F.col("rate") > host_rate).select(F.col("host").alias("_ll_bad_host")), "bad-hosts")
+    kept = docs.join(small(bad), F.col(host_col).cast("string") == F.col("_ll_bad_host"), "left_anti")
     fields = kept.columns
     at = fields.index(text_col)
 

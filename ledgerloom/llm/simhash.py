@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that another document of their group stands for."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_ll_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_ll_gone"), "left_anti")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
