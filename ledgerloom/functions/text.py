@@ -129,14 +129,14 @@ def looks_like_company(c: Column | str) -> Column:
     return F.coalesce(let(normalize(c), lambda u: (F.length(u) >= 4) & u.rlike(_LEGAL_END)), F.lit(False))
 
 
-_NAMED = r"(?i)([A-ZÀ-Ý0-9&.'\-/ ]{3,}?(?:LTDA|EIRELI|EPP|(?<![A-ZÀ-Ý])S\s*\.?A\s*\.?|(?<![A-ZÀ-Ý])S/A|MEI|(?<![A-ZÀ-Ý])ME))[.,]?(?=\s|$)"
+_NAMED = r"(?iu)([A-ZÀ-Ý0-9&.'\-/ ]{3,}?(?:LTDA|EIRELI|EPP|(?<![A-ZÀ-Ý])S\s*\.?A\s*\.?|(?<![A-ZÀ-Ý])S/A|MEI|(?<![A-ZÀ-Ý])ME))[.,]?(?=\s|$)"
 
 
 def company_candidate(c: Column | str) -> Column:
     """The company name on a line of a service document, or an empty string for labels and addresses."""
     line = F.btrim(collapse(_col(c)), F.lit(" :-|_"))
     line = F.regexp_replace(line, r"(?i)^[O0]?\d[\d.\-/]*\d\s+(?=[A-Za-zÀ-ÿ])", "")
-    line = F.trim(F.regexp_replace(line, r"(?is)\s+(?:E-?MAIL|EMAIL|CNPJ|CPF|IM|INSCRI[CÇ][AÃ]O)\s*:?.*$", ""))
+    line = F.trim(F.regexp_replace(line, r"(?isu)\s+(?:E-?MAIL|EMAIL|CNPJ|CPF|IM|INSCRI[CÇ][AÃ]O)\s*:?.*$", ""))
 
     def name(text: Column) -> Column:
         named = F.regexp_replace(F.trim(F.regexp_extract(text, _NAMED, 1)), r"(?i)^[O0]?\d[\d.\-/() ]*\d\s+(?=[A-Za-zÀ-ÿ])", "")

@@ -216,7 +216,7 @@ def service_order(lines: Column | str) -> Column:
     described = F.array_join(F.array_distinct(F.transform(rows, lambda x: F.trim(F.regexp_extract(x, _ORDER_ROW, 1)))), "; ")
     amounts = F.transform(rows, lambda x: F.coalesce(F.nullif(parse_number(F.regexp_extract(x, _ORDER_ROW, 2)), F.lit(0.0)), F.lit(1.0)))
     quantity = F.aggregate(amounts, F.lit(0.0), lambda s, x: s + x)
-    total = F.coalesce(first_match(ls, r"(?i)VALOR\s+TOTAL\s+DA\s+OS\s*:\s*R?\$?\s*([\d.]+,\d{2,4})"), first_match(ls, r"(?i)TOTAL\s+DOS\s+SERVI[CÇ]OS\.*\s*:?\s*\d+\s+([\d.]+,\d{2,4})"), F.lit("-"))
+    total = F.coalesce(first_match(ls, r"(?i)VALOR\s+TOTAL\s+DA\s+OS\s*:\s*R?\$?\s*([\d.]+,\d{2,4})"), first_match(ls, r"(?iu)TOTAL\s+DOS\s+SERVI[CÇ]OS\.*\s*:?\s*\d+\s+([\d.]+,\d{2,4})"), F.lit("-"))
     found = F.struct(
         F.coalesce(number, F.lit(NO_NUMBER)).alias("number"), F.coalesce(company, F.lit(NO_COMPANY)).alias("company"), F.coalesce(F.nullif(described, F.lit("")), F.lit(NO_SERVICE)).alias("description"), F.when(quantity > 0, quantity).otherwise(1.0).alias("quantity"), total.alias("total"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -504,3 +504,157 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), F.col("doc_id").cast("int").alias("page"), "text")
     grouped = segment.group_pages(segment.page_signatures(pages))
     return segment.segment_documents(grouped).select("file_id", "doc_index", F.size("pages").alias("n_pages"), "kind", "confidence", "label")
+
+
+# Round trips: documents are written as text from the tables' rows, read again, and compared with the rows.
+
+
+def _br(c: str) -> Column:
+    return F.translate(F.format_number(c, 2), ",.", ".,")
+
+
+_TAX = "lpad((c_custkey + 10000000)::VARCHAR, 14, '7')"
+
+
+@query(f"SELECT c_custkey, {_TAX} AS tax_id, lpad((c_custkey + 5)::VARCHAR, 44, '3') AS access_key, (c_custkey + 1000)::VARCHAR AS number FROM customer")
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax, key = F.lpad((F.col("c_custkey") + 10_000_000).cast("string"), 14, "7"), F.lpad((F.col("c_custkey") + 5).cast("string"), 44, "3")
+    written = F.regexp_replace(tax, r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5")
+    line = F.concat(F.lit("NF-e Nº: "), F.col("c_custkey") + 1000, F.lit(" CNPJ "), written, F.lit(" CHAVE "), F.regexp_replace(key, r"(\d{4})(?=\d)", "$1 "), F.lit(" ."))
+    found = _table(spark, sf_dir, "customer").select("c_custkey", line.alias("t"))
+    return found.select("c_custkey", extract.tax_ids("t")[0].alias("tax_id"), extract.access_keys("t")[0].alias("access_key"), F.get(F.filter(extract.number_candidates("t"), lambda x: F.length(x) >= 4), F.lit(0)).alias("number"))
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR AS number, c_name || ' LTDA' AS company FROM orders JOIN customer ON c_custkey = o_custkey")
+def transport_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = F.array(F.lit("DACTE"), F.concat(F.lit("CT-e Nº "), F.col("o_orderkey")), F.lit("Dados do emitente"), F.lit("Rua 1"), F.concat("c_name", F.lit(" LTDA  CNPJ 1")))
+    return rows.select("o_orderkey", F.inline(F.array(extract.transport_document(lines))))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'C' || l_partkey AS code, 'PECA ' || l_suppkey AS description, '84818099' AS ncm, 'UN' AS unit, l_quantity::INT || ',000' AS quantity FROM lineitem")
+def goods_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item rows of whole invoices, an invoice per order."""
+    line = F.concat_ws(" ", F.concat(F.lit("C"), F.col("l_partkey")), F.concat(F.lit("PECA "), F.col("l_suppkey")), F.lit("8481.80.99 060 5102 UN"), F.concat(F.col("l_quantity").cast("int"), F.lit(",000")), _br("l_extendedprice"))
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t"))))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))
+    lines = F.concat(F.array(F.lit("DANFE"), F.lit("X1 FORA 84818099 060 5102 UN 1,000"), F.lit("Dados dos produtos")), F.transform("items", lambda x: x["t"]), F.array(F.lit("Dados adicionais"), F.lit("X2 FORA 84818099 060 5102 UN 1,000")))
+    found = orders.select("l_orderkey", "items", F.posexplode(extract.goods_items(lines)).alias("i", "g"))
+    return found.select("l_orderkey", F.get("items", F.col("i"))["l_linenumber"].alias("l_linenumber"), "g.*")
+
+
+_SERVICE_SQL = """
+SELECT o_orderkey, (o_orderkey + 1000)::VARCHAR AS number, replace(c_name, '#', ' ') || ' SERVICOS LTDA' AS company, 'manutencao ' || lower(c_mktsegment) AS description,
+       (1 + o_orderkey % 9)::DOUBLE AS quantity, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS total
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0
+"""
+
+
+@query(_SERVICE_SQL)
+def service_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").join(_table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = F.array(
+        F.lit("DANFSe v1.0"), F.lit("Número da NFS-e"), F.concat(F.col("o_orderkey") + 1000, F.lit(" 01/02/2025")), F.lit("PRESTADOR DO SERVIÇO"), F.lit("Nome / Razão Social"), F.concat(F.translate("c_name", "#", " "), F.lit(" SERVICOS LTDA")), F.lit("TOMADOR DO SERVIÇO"), F.lit("OUTRA EMPRESA LTDA"),
+        F.lit("SERVIÇO PRESTADO"), F.lit("Descrição do Serviço"), F.concat(F.lit("manutencao "), F.lower("c_mktsegment")), F.lit("TRIBUTAÇÃO MUNICIPAL"), F.concat(F.lit("Quantidade: "), 1 + F.col("o_orderkey") % 9), F.lit("VALOR TOTAL DA NFS-E"), F.concat(F.lit("R$ "), _br("o_totalprice")),
+    )
+    return rows.select("o_orderkey", F.inline(F.array(extract.service_invoice(lines))))
+
+
+@query("SELECT p_partkey, upper(p_brand) AS raw_code, upper(replace(p_brand, '#', '')) AS plain_code, upper(replace(p_brand, '#', '')) AS identity, regexp_replace(p_brand, '\\D', '', 'g') AS digits, 'nota_' || p_partkey || '-1.pdf' AS file FROM part")
+def code_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    forms = text.code_variants("p_brand")
+    return part.select("p_partkey", forms[0].alias("raw_code"), forms[1].alias("plain_code"), text.identity("p_brand").alias("identity"), text.digits("p_brand", 8).alias("digits"), text.ascii_filename(F.concat(F.lit("nota#"), F.col("p_partkey"), F.lit("–1.pdf"))).alias("file"))
+
+
+@query("SELECT c_custkey, c_name AS cleaned, c_custkey % 2 = 0 AS legal, 'lido: leitura automática' AS public FROM customer")
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("c_custkey") % 2 == 0
+    line = F.concat(F.lit("  : "), "c_name", F.lit(" | CNPJ: 12.345 x"))
+    named = F.concat("c_name", F.when(even, F.lit(" S/A.")).otherwise(F.lit(" COMERCIO")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.clean_company(line).alias("cleaned"), text.looks_like_company(named).alias("legal"), text.public_text(F.lit(" lido:   IA ")).alias("public"))
+
+
+@query("SELECT conv_id, arg_max(role, (length(text), turn)) AS role, max(length(text)) AS n FROM conversations GROUP BY conv_id")
+def best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of several readings, all equally sure but for their number."""
+    readings = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("variant"), F.lit(80.0).alias("confidence"), "text", "turn")
+    longest = readings.withColumn("text", F.concat("text", F.lit(" ")))  # all alike longer
+    best = assemble.best_reading(longest, ["conv_id"])
+    return best.select("conv_id", F.col("variant.role").alias("role"), (F.length("text") - 1).cast("long").alias("n"))
+
+
+@query("""
+WITH w AS (SELECT user_id, event_id, value, epoch_us(ts) // 86400000000 AS line FROM events WHERE value >= 0),
+l AS (SELECT user_id, line, min(event_id) AS top, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) AS t, sum(value) AS c, count(*) AS n, sum(length(event_id::VARCHAR)) AS chars FROM w GROUP BY user_id, line)
+SELECT user_id, count(*) AS n_lines, md5(string_agg(t, chr(10) ORDER BY top)) AS lines_md5, round(sum(c) / sum(n) * (0.65 + 0.35 * least(1.0, sum(chars) / 120.0)), 0) AS score FROM l GROUP BY user_id
+""")
+def reader_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as words: a line per user and day, in order of their identifiers."""
+    day = F.expr("cast(unix_micros(cast(ts AS timestamp)) div 86400000000 AS int)")
+    words = _table(spark, sf_dir, "events").where("value >= 0").select("user_id", F.lit(1).alias("block"), F.lit(1).alias("par"), day.alias("line"), F.col("event_id").alias("left"), F.col("event_id").alias("top"), F.col("event_id").cast("string").alias("text"), F.col("value").alias("confidence"))
+    read = assemble.reader_lines(words, ["user_id"])
+    return read.select("user_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"), F.round("score", 0).alias("score"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "orders").select("o_orderkey", F.lit("NFSE").alias("document_type"), F.col("o_custkey").cast("string").alias("service_code"))
+    codes = resolve.catalog_codes(_table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("idx"), F.col("c_custkey").cast("string").alias("code")))
+    return modeljson.needs_second_stage(documents, codes).select("o_orderkey")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'E' || c_custkey WHEN c_custkey % 3 = 1 THEN 'P' || c_nationkey ELSE 'x' END AS code,
+       CASE WHEN c_custkey % 3 = 1 THEN 88.0 ELSE 50.0 END AS confidence FROM customer
+""")
+def review_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows edited by hand, then candidates accepted."""
+    customers = _table(spark, sf_dir, "customer")
+    rows = customers.select("c_custkey", F.lit("x").alias("code"), F.col("c_name").alias("catalog_description"), F.lit(50.0).alias("confidence"), F.create_map(F.lit("number"), F.lit(1.0)).alias("confidences"))
+    edits = customers.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("E"), F.col("c_custkey")).alias("code"))
+    picked = customers.where("c_custkey % 3 = 1").select("c_custkey", F.concat(F.lit("P"), F.col("c_nationkey")).alias("code"), F.lit("d").alias("description"), F.lit(88.0).alias("score"))
+    done = route.accept_candidates(route.edit_rows(rows, edits, "c_custkey", ["code"]), picked, "c_custkey")
+    return done.select("c_custkey", "code", "confidence")
+
+
+@query("""
+SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') > 20 THEN 'a' ELSE 'b' END AS seed,
+       CASE WHEN count(*) FILTER (event_type = 'purchase' AND value > 60) > 0 THEN 'big' WHEN count(*) > 0 THEN 'small' END AS active
+FROM events GROUP BY user_id
+""")
+def active_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), "big").otherwise("small")
+    events = _table(spark, sf_dir, "events").withColumn("kind", kinds)
+    counts = route.active_tab(route.summary(events, "kind", ["big", "small"], ["user_id"]), ["big", "small"])
+    signups = route.summary(events, "event_type", ["signup"], ["user_id"])
+    return counts.join(signups, "user_id").select("user_id", route.search_seed(F.when(F.col("signup") > 20, "a").otherwise("  "), F.lit("b")).alias("seed"), "active")
+
+
+@query("""
+WITH n AS (SELECT o_custkey, o_orderpriority AS line FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_custkey, upper(o_orderpriority) AS line FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_custkey, 0 AS part, count(*) AS n FROM n GROUP BY o_custkey
+UNION ALL SELECT o_custkey, 1, count(*) FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.o_custkey = r.o_custkey AND n.line = r.line) GROUP BY o_custkey
+""")
+def merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    native = orders.where("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderpriority").alias("line"))
+    read = orders.where("o_orderkey % 2 = 1").select("o_custkey", F.lower("o_orderpriority").alias("line"))
+    merged = route.merge_lines(native, read, ["o_custkey"], text.normalize("line"))
+    return merged.groupBy("o_custkey", "part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey, l_partkey")
+def distinct_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.lit("c").alias("code"), F.concat(F.lit("Peça  "), F.col("l_partkey")).alias("description"))
+    return assemble.distinct_items(rows, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_partkey", "l_linenumber").dropDuplicates(["l_orderkey", "l_partkey"])
+
+
+@query("SELECT o_custkey, count(*) AS page_count, count(*) FILTER (n <= 2) AS kept FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY o_custkey")
+def subset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two pages of every file, and how many it has."""
+    pages = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"))
+    counts = files.page_counts(pages)
+    wanted = counts.select("file_id", F.col("file_id").alias("document_id"), F.array(F.lit(1), F.lit(2), F.lit(0)).alias("pages"))
+    kept = files.subset_pages(pages, wanted).groupBy("file_id").agg(F.count("*").alias("kept"))
+    return counts.join(kept, "file_id").select(F.col("file_id").alias("o_custkey"), "page_count", "kept")
