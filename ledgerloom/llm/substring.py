@@ -17,28 +17,31 @@ results; other columns pass through untouched.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_path, prepare, scratch_path, stage, text_slices
+from .common import SLICE_BYTES, drop_path, prepare, scratch_path, stage, text_slices
 
 WINDOW = 13
 GRAM = 5
 FAN_IN = 2
 BATCHES = 2
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Odd multipliers of the byte and word polynomials, a pair for each of two independent hashes.
+_FACTORS = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)))
+#: Longer words are hashed on their own.
+LONG_WORD = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,34 +54,75 @@ def _rolled(hashes: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
     n = len(hashes) - length + 1
     out = np.zeros(n, np.uint64)
     for i in range(length):
-        out = out * factor + hashes[i : i + n]
+        out *= factor
+        out += hashes[i : i + n]
     return _mix(out)
 
 
+def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n of a byte multiplier modulo 2**64, and of its inverse."""
+    if seed not in _powers or len(_powers[seed][0]) <= n:
+        size = max(n + 1, 3 * SLICE_BYTES // 2)
+        base = int(_FACTORS[seed][0])
+        tables = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(size, x, np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps))
+        _powers[seed] = (tables[0], tables[1])
+    return _powers[seed]
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end: runs of anything but the six ASCII white-space characters."""
+    edge = np.ones(len(text) + 2, bool)
+    edge[1:-1] = _SPACE[np.frombuffer(text, np.uint8)]
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    return turns[::2], turns[1::2]
+
+
+def _window_min(h: np.ndarray, length: int) -> np.ndarray:
+    """Smallest of every run of `length`."""
+    out, have = h, 1
+    while 2 * have <= length:
+        out, have = np.minimum(out[:-have], out[have:]), 2 * have
+    rest = length - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
 class Windows:
     """The windows of some texts: which document each starts in, at which word, and its anchor."""
 
     def __init__(self, texts: list[bytes | None], window: int):
-        docs = [(t or b"").split() for t in texts]
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        codes, words = pd.factorize(np.array([w for d in docs for w in d] + [b""], dtype=object)[:-1])
-        self._codes, self._words = codes, words
-        n = len(codes) - window + 1
+        texts = [t or b"" for t in texts]
+        self._text = b" ".join(texts)
+        self._starts, self._ends = word_bounds(self._text)
+        self._window = window
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        words = len(self._starts)
+        n = words - window + 1
         self.owner = self.at = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        grams = _rolled(self._hashes(0)[codes], GRAM, _FACTORS[0])
-        low = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).min(axis=1)
-        owner = np.repeat(np.arange(len(docs)), sizes)
+        low = _window_min(_rolled(self._hashes(0), GRAM, _FACTORS[0][1]), window - GRAM + 1)
+        first = np.searchsorted(self._starts, offsets)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
         self._inside = owner[:n] == owner[window - 1 :]
         self.owner = owner[:n][self._inside]
-        self.at = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[:n][self._inside]
+        self.at = (np.arange(n) - first[owner[:n]])[self._inside]
         self.anchor = low[self._inside]
-        self._window = window
 
     def _hashes(self, seed: int) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self._words), np.uint64, len(self._words))
+        """Hash of every word: a polynomial in its bytes by prefix sums, long words by XXH64."""
+        raw = np.frombuffer(self._text, np.uint8)
+        power, inverse = _power_table(seed, len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        h = _mix((sums[self._ends] - sums[self._starts]) * inverse[self._starts])
+        for i in np.flatnonzero(self._ends - self._starts > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(self._text[self._starts[i] : self._ends[i]], seed)
+        return h
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, anchor) where either changes from one window to the next."""
@@ -88,7 +132,7 @@ class Windows:
 
     def identities(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the chosen windows' words, of 64 and 32 bits."""
-        first, second = (_rolled(self._hashes(seed)[self._codes], self._window, _FACTORS[seed])[self._inside][chosen] for seed in (0, 1))
+        first, second = (_rolled(self._hashes(seed), self._window, _FACTORS[seed][1])[self._inside][chosen] for seed in (0, 1))
         return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -227,21 +271,21 @@ class FingerprintIndex:
 
 def _cut(text: bytes, starts: list[int], window: int) -> tuple[bytes, int]:
     """text without the words of the windows at starts and the white space after them; the words removed."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    gone = np.zeros(len(spans) + 1, np.int64)
+    edges = np.append(word_bounds(text)[0], len(text))
+    words = len(edges) - 1
     at = np.array(starts)
-    np.add.at(gone, at, 1)
-    np.add.at(gone, at + window, -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    edges = [a for a, _ in spans] + [len(text)]
-    out = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in np.nonzero(~gone)[0].tolist()]
-    return b"".join(out), int(gone.sum())
+    cover = np.bincount(at, minlength=words + 1) - np.bincount(at + window, minlength=words + 1)
+    gone = np.cumsum(cover)[:words] > 0
+    turns = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True]))))
+    kept = [text[edges[a] : edges[b]] for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+    return text[: edges[0]] + b"".join(kept), int(gone.sum())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """docs with repeated words cut out of the text, and n_words (before) and n_removed.
+    """docs with repeated words cut out of the text, and n_words (before) and n_removed, which replace columns of these names.
 
     The table goes through a new index in `batches` ranges of ids."""
+    docs = docs.drop("n_words", "n_removed")
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
@@ -254,8 +298,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     index.close()
     starts = reduce(DataFrame.union, found)
 
-    clash = "_starts"
-    joined = docs.join(starts.select(F.col("doc").alias("_doc"), F.col("starts").alias(clash)), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    starts_col = "_ll_starts"
+    joined = docs.join(starts.select(F.col("doc").alias("_ll_doc"), F.col("starts").alias(starts_col)), F.col(id_col) == F.col("_ll_doc"), "left").drop("_ll_doc")
     fields = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long"
     at = fields.index(text_col)
@@ -273,7 +317,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*fields, "n_words", "n_removed"])
 
-    return joined.select(*[f"`{f}`" for f in fields], clash).mapInArrow(run, schema)
+    return joined.select(*[f"`{f}`" for f in fields], starts_col).mapInArrow(run, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
