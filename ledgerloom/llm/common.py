@@ -16,7 +16,7 @@ BROADCAST_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are worked on together up to so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _scratch_root(spark: SparkSession) -> str:
