@@ -1,7 +1,8 @@
 """Embedding near-dedup by sorted projection passes.
 
 Each pass orders the unit vectors by the concatenated signs of random projections and compares every
-vector with the WINDOW vectors after it. Pairs with a cosine of `threshold` or more are links; the links of
+vector with the WINDOW vectors after it; the number of passes follows from the number of vectors
+(`passes_for`), so that the chance to miss a pair doesn't grow with the table. Pairs with a cosine of `threshold` or more are links; the links of
 all passes are united to components. Within a component every pair is then compared in tiles, so the
 number of links is exact for whatever the passes connected, and dense groups larger than a window lose
 nothing. No pair ever leaves the task that compares it: passes return one link to each vector's local
@@ -16,6 +17,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,24 @@ from pyspark.sql import functions as F
 from .common import connected_components, prepare, small, stage
 
 THRESHOLD = 0.9
-PASSES = 8
-WINDOW = 96
+#: Chance that some pass compares a pair of exactly the threshold's cosine; closer pairs and those that share a component do better.
+RECALL = 0.999
+WINDOW = 1024
 BITS = 63
 #: Ranks compared together in a pass, and vectors on one side of a tile.
 BLOCK, TILE = 1024, 512
 SEED = 42
 
 
+def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes that n vectors need: two vectors lie within a window if they agree in the first log2(n / window)
+    signs, each with the chance 1 - angle / pi."""
+    if n <= window:
+        return 1
+    once = (1 - math.acos(min(1.0, threshold)) / math.pi) ** math.log2(n / window)
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-once))) if once < 1 else 1
+
+
 def _planes(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng([SEED, number]).standard_normal((dim, BITS))
 
@@ -80,13 +92,14 @@ def _keys(number: int):
     return run
 
 
-def _neighbours(window: int, threshold: float):
+def _neighbours(window: int, threshold: float, size: int):
     """Links to the smallest vector reached, of one block of consecutive ranks and the window after it."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank")
         x, ids, ranks = _matrix(part["v"]), part["id"].to_numpy(), part["rank"].to_numpy()
-        near = np.triu(x @ x.T >= threshold, 1)
+        own = int((ranks // size == part["block"].iat[0]).sum())
+        near = np.triu(x[:own] @ x.T >= threshold, 1)
         i, j = np.nonzero(near)
         close = ranks[j] - ranks[i] <= window
         low = ids.copy()
@@ -118,9 +131,10 @@ def pass_links(units: DataFrame, number: int, window: int, threshold: float) ->
     first = units.sparkSession.createDataFrame(firsts, "task long, first long")
     rank = (F.col("first") + F.col("nth")).alias("rank")
     ranked = placed.join(F.broadcast(first), "task").select("row", rank).join(units, "row")
-    block = F.expr(f"rank div {BLOCK}")
-    blocks = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    return ranked.select("id", "v", "rank", F.explode(blocks).alias("block")).groupBy("block").applyInPandas(_neighbours(window, threshold), "a long, b long")
+    size = max(BLOCK, window)
+    block = F.expr(f"rank div {size}")
+    blocks = F.when((F.col("rank") % size < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    return ranked.select("id", "v", "rank", F.explode(blocks).alias("block")).groupBy("block").applyInPandas(_neighbours(window, threshold, size), "a long, b long")
 
 
 def _tile_counts(threshold: float):
@@ -159,16 +173,18 @@ def link_counts(units: DataFrame, members: DataFrame, threshold: float) -> DataF
     return counted.groupBy("row").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per input row."""
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): one row per input row. passes: as many as `passes_for` says if not given."""
     prepare(table.sparkSession)
     units = stage(unit_vectors(table, id_col, vector_col), "units")
+    if passes is None:
+        passes = passes_for(units.count(), threshold, window)
     links = None
     for number in range(passes):
         found = stage(pass_links(units, number, window, threshold), "pass")
         links = found if links is None else links.union(found)
     components = stage(connected_components(links, "a", "b"), "vector-components")
-    counts = link_counts(units, components.withColumnRenamed("component", "component").select("id", "component"), threshold)
+    counts = link_counts(units, components.select("id", "component"), threshold)
     by_id = components.select(F.col("id").alias("_id"), "component").join(units.select(F.col("id").alias("_id"), "row"), "_id").join(counts, "row", "left").groupBy("_id").agg(F.max("n_links").alias("n_links"), F.first("component").alias("component"))
     ids = table.select(F.col(id_col).cast("long").alias("vec_id"))
     out = ids.join(by_id, ids["vec_id"] == by_id["_id"], "left")

@@ -109,6 +109,27 @@ def test_dense_embedding_groups_match_brute_force(spark):
     assert found[None].component_id is None
 
 
+def test_passes_grow_with_the_table():
+    assert [embeddings.passes_for(n) for n in (0, 1, 1024)] == [1, 1, 1]
+    grown = [embeddings.passes_for(10**k) for k in range(4, 10)]
+    assert grown == sorted(grown) and grown[0] > 1
+    assert embeddings.passes_for(10**6, threshold=1.0) == 1
+
+
+def test_separate_near_pairs_all_link(spark):
+    rng = np.random.default_rng(11)
+    one = rng.standard_normal((1500, 32))
+    x = np.concatenate([one, one + 0.45 * rng.standard_normal((1500, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.any()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame).collect()}
+    assert sum(found.values()) >= 0.99 * near.sum()
+    assert all(found[i] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
