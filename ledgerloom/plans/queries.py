@@ -80,8 +80,16 @@ SELECT l_orderkey, l_linenumber, 3::BIGINT AS n, round(sum(l_quantity + l_extend
 FROM lineitem WHERE l_extendedprice >= 1000 AND l_extendedprice < 1000000 GROUP BY ALL
 """)
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers found again in a line of text that was made from them."""
-    rows = _table(spark, sf_dir, "lineitem").where("l_extendedprice >= 1000 AND l_extendedprice < 1000000")
+    """Numbers found again in a line of text that was made from them; numeric_tokens_all reads lines of any price."""
+    return _numeric_tokens(_table(spark, sf_dir, "lineitem").where("l_extendedprice >= 1000 AND l_extendedprice < 1000000"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 3::BIGINT AS n, round(sum(l_quantity + l_extendedprice + l_discount), 4) AS total FROM lineitem GROUP BY ALL")
+def numeric_tokens_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numeric_tokens(_table(spark, sf_dir, "lineitem"))
+
+
+def _numeric_tokens(rows: DataFrame) -> DataFrame:
     price = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
     line = F.concat(F.lit("QTD "), F.col("l_quantity").cast("int"), F.lit(" VALOR "), price, F.lit(" DESC 0,"), F.lpad((F.round(F.col("l_discount") * 100)).cast("int").cast("string"), 2, "0"))
     found = rows.select("l_orderkey", "l_linenumber", numbers.numeric_candidates(line).alias("v")).select("l_orderkey", "l_linenumber", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, x: s + numbers.parse_number(x)).alias("t"))
@@ -552,7 +560,17 @@ FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0
 
 @query(_SERVICE_SQL)
 def service_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").join(_table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    """Every tenth order; service_invoices_all reads all of them."""
+    return _service_invoices(_table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), _table(spark, sf_dir, "customer"))
+
+
+@query(_SERVICE_SQL.replace(" WHERE o_orderkey % 10 = 0", ""))
+def service_invoices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _service_invoices(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer"))
+
+
+def _service_invoices(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    rows = orders.join(customers, F.col("c_custkey") == F.col("o_custkey"))
     lines = F.array(
         F.lit("DANFSe v1.0"), F.lit("Número da NFS-e"), F.concat(F.col("o_orderkey") + 1000, F.lit(" 01/02/2025")), F.lit("PRESTADOR DO SERVIÇO"), F.lit("Nome / Razão Social"), F.concat(F.translate("c_name", "#", " "), F.lit(" SERVICOS LTDA")), F.lit("TOMADOR DO SERVIÇO"), F.lit("OUTRA EMPRESA LTDA"),
         F.lit("SERVIÇO PRESTADO"), F.lit("Descrição do Serviço"), F.concat(F.lit("manutencao "), F.lower("c_mktsegment")), F.lit("TRIBUTAÇÃO MUNICIPAL"), F.concat(F.lit("Quantidade: "), 1 + F.col("o_orderkey") % 9), F.lit("VALOR TOTAL DA NFS-E"), F.concat(F.lit("R$ "), _br("o_totalprice")),
