@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only after its rows were counted and found to be this few.
 BROADCAST_ROWS = 20_000
 
+#: Ids with more edges than HUB_ROWS, and than their share of all edges if HUBS shared them, have their label broadcast.
+HUB_ROWS, HUBS = 1_000, 20_000
+
 #: Words are runs of anything but the six ASCII white-space characters, as bytes.split() sees them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,14 +23,14 @@ SLICE_BYTES = 1 << 20
 
 
 def _scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster; a temporary one only where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    return sc.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,10 +69,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """rows(u, v) with m, the smallest v of each u; no task gets all rows of a u that has many.
+
+    A u with more than its share of the `total` rows is a hub. There are HUBS of them at most, so their
+    smallest v are broadcast; the others' rows meet theirs by shuffle."""
+    bound = max(HUB_ROWS, total // HUBS)
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = stage(least.where(F.col("n") > bound).select("u", "m"), "hubs")
+    if hubs.isEmpty():
+        return rows.join(least.select("u", "m"), "u")
+    plain = least.where(F.col("n") <= bound).select("u", "m")
+    return rows.join(F.broadcast(hubs), "u").union(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(plain, "u").select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each id that has an edge: columns (id, component), both long.
 
-    Alternating large-star and small-star rounds; every round is written to the shared folder.
+    Alternating large-star and small-star rounds; every round is written to the shared folder. The rounds
+    needed grow with the logarithm of the longest chain; ones that don't end by max_rounds are an error.
     Self-loops and repeated edges are allowed, ids without edges don't appear."""
     flow = stage(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct(),
@@ -84,11 +102,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             )
         seen = now
         both = flow.union(flow.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = _with_least(both, 2 * now[0]).where("v > u")
         # every edge of `large` already points from the larger id to the smaller one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        large = stage(low.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
+        least = _with_least(large, now[0])
+        small_star = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         flow = stage(small_star.distinct(), "components")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -23,64 +23,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SLICE_BYTES, drop_path, prepare, scratch_path, stage, text_slices
+from .common import drop_path, prepare, scratch_path, stage, text_slices
+from .words import FACTORS, rolled, word_bounds, word_hashes
 
 WINDOW = 13
 GRAM = 5
 FAN_IN = 2
 BATCHES = 2
 
-#: Odd multipliers of the byte and word polynomials, a pair for each of two independent hashes.
-_FACTORS = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)))
-#: Longer words are hashed on their own.
-LONG_WORD = 64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return h ^ (h >> np.uint64(29))
-
-
-def _rolled(hashes: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
-    """Hash of every run of `length` hashes."""
-    n = len(hashes) - length + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(length):
-        out *= factor
-        out += hashes[i : i + n]
-    return _mix(out)
-
-
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 .. n of a byte multiplier modulo 2**64, and of its inverse."""
-    if seed not in _powers or len(_powers[seed][0]) <= n:
-        size = max(n + 1, 3 * SLICE_BYTES // 2)
-        base = int(_FACTORS[seed][0])
-        tables = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, x, np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps))
-        _powers[seed] = (tables[0], tables[1])
-    return _powers[seed]
-
-
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end: runs of anything but the six ASCII white-space characters."""
-    edge = np.ones(len(text) + 2, bool)
-    edge[1:-1] = _SPACE[np.frombuffer(text, np.uint8)]
-    turns = np.flatnonzero(edge[1:] != edge[:-1])
-    return turns[::2], turns[1::2]
-
-
 def _window_min(h: np.ndarray, length: int) -> np.ndarray:
     """Smallest of every run of `length`."""
     out, have = h, 1
@@ -105,7 +59,7 @@ class Windows:
         self.anchor = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        low = _window_min(_rolled(self._hashes(0), GRAM, _FACTORS[0][1]), window - GRAM + 1)
+        low = _window_min(rolled(self._hashes(0), GRAM, FACTORS[0][1]), window - GRAM + 1)
         first = np.searchsorted(self._starts, offsets)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         self._inside = owner[:n] == owner[window - 1 :]
@@ -114,15 +68,7 @@ class Windows:
         self.anchor = low[self._inside]
 
     def _hashes(self, seed: int) -> np.ndarray:
-        """Hash of every word: a polynomial in its bytes by prefix sums, long words by XXH64."""
-        raw = np.frombuffer(self._text, np.uint8)
-        power, inverse = _power_table(seed, len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        h = _mix((sums[self._ends] - sums[self._starts]) * inverse[self._starts])
-        for i in np.flatnonzero(self._ends - self._starts > LONG_WORD).tolist():
-            h[i] = xxhash.xxh64_intdigest(self._text[self._starts[i] : self._ends[i]], seed)
-        return h
+        return word_hashes(self._text, self._starts, self._ends, seed)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, anchor) where either changes from one window to the next."""
@@ -132,7 +78,7 @@ class Windows:
 
     def identities(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the chosen windows' words, of 64 and 32 bits."""
-        first, second = (_rolled(self._hashes(seed), self._window, _FACTORS[seed][1])[self._inside][chosen] for seed in (0, 1))
+        first, second = (rolled(self._hashes(seed), self._window, FACTORS[seed][1])[self._inside][chosen] for seed in (0, 1))
         return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 

@@ -6,8 +6,9 @@ import pytest
 pytest.importorskip("ledgerloom.llm")
 
 from helpers import SMALL, assert_same, connect  # noqa: E402
-from test_dedup import brute_substring, components, plain_simhash  # noqa: E402
+from test_dedup import brute_substring, components  # noqa: E402
 from test_other import plain_measures  # noqa: E402
+from test_similar import jaccard, shingles  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from ledgerloom.llm import queries  # noqa: E402
@@ -44,8 +45,8 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
             measured = {i: plain_measures(t) for i, t in kept.items()}
             kept = {i: t for i, t in kept.items() if measured[i][0] >= 20 and 100 * measured[i][4] <= 30 * measured[i][0]}
         elif name == "simhash_near_dedup":
-            fps = {i: plain_simhash(t) for i, t in kept.items()}
-            low = components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+            sets = {i: shingles(t) for i, t in kept.items()}
+            low = components(sets, [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
             kept = {i: t for i, t in kept.items() if low[i] == i}
         elif name == "substring_dedup":
             left = brute_substring(list(kept.items()))
