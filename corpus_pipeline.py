@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing, quality, simhash, substring
+from ledgerloom.llm import mixing, packing, quality, similar, substring
 from ledgerloom.llm.common import stage
 
 #: Tokens to take, in percent of what reaches the mixing stage, and how often a document may be taken.
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return simhash.dedup(docs)
+    """One document of each group of near copies, the one with the smallest id: five-word shingles, similarity 0.8."""
+    return similar.dedup(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack_sequences", pack_sequences),
 ]
 
-#: XXH64 fingerprints and the tokenizer are beyond SQL.
+#: Fingerprints and the tokenizer are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
