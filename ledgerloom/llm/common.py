@@ -76,6 +76,8 @@ def _with_least(rows: DataFrame, total: int) -> DataFrame:
     smallest v are broadcast; the others' rows meet theirs by shuffle."""
     bound = max(HUB_ROWS, total // HUBS)
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if total <= bound:
+        return rows.join(least.select("u", "m"), "u")
     hubs = stage(least.where(F.col("n") > bound).select("u", "m"), "hubs")
     if hubs.isEmpty():
         return rows.join(least.select("u", "m"), "u")
@@ -104,7 +106,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         both = flow.union(flow.select("v", "u"))
         low = _with_least(both, 2 * now[0]).where("v > u")
         # every edge of `large` already points from the larger id to the smaller one
-        large = stage(low.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
+        large = low.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = stage(large.distinct(), "large-star") if now[0] > HUB_ROWS else large
         least = _with_least(large, now[0])
         small_star = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         flow = stage(small_star.distinct(), "components")
