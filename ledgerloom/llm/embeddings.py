@@ -1,28 +1,34 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass orders the unit vectors by the concatenated signs of random projections and compares every
-vector with the WINDOW vectors after it; the number of passes follows from the number of vectors
-(`passes_for`), so that the chance to miss a pair doesn't grow with the table. Pairs with a cosine of `threshold` or more are links; the links of
-all passes are united to components. Within a component every pair is then compared in tiles, so the
-number of links is exact for whatever the passes connected, and dense groups larger than a window lose
-nothing. No pair ever leaves the task that compares it: passes return one link to each vector's local
-root, tiles return counts.
-
-Defined results: vectors that are null or zero, or hold null or non-finite components, have no links and
-are their own component; so are vectors of another length than the table's most common one; equal vectors
-link; rows with equal ids are one vector to the components and are counted as links of each other when
-both rows are valid; rows with a null id are left out of all links and returned with a null component;
-empty tables give empty results.
+Equal vectors are one vector with a count. Each pass orders the unit vectors lexicographically by the
+concatenated signs of random projections, taken of the vectors less their mean so that the signs split the
+table evenly, and compares every vector with the WINDOW vectors before it. Pairs with a cosine of `threshold`
+or more are links; the links of all passes are united to components. The vectors travel once per pass, through
+the sort; windows run over the sorted rows, and where a task ends its last rows meet the next task's first.
+Within a component every pair is then compared in tiles, so the number of links is exact for whatever the
+passes connected, and dense groups larger than a window lose nothing. No pair ever leaves the task that
+compares it: passes return links to each vector's local root, tiles return counts.
+
+The number of passes starts at what even signs would need (`passes_for`). The recall is then measured: the
+links of SAMPLE vectors, chosen by a hash, are counted against the whole table, and while the components hold
+too few of them the number of passes is doubled.
+
+Defined results: vectors that are null or zero, or hold null or non-finite components, have no links and are
+their own component; vectors of different lengths never link; equal vectors link; every row is a vector of its
+own, also where ids repeat, and a component is named by the smallest id in it; rows with a null id are left out
+of all links and returned with a null component; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +37,14 @@ from .common import connected_components, prepare, small, stage
 THRESHOLD = 0.9
 #: Chance that some pass compares a pair of exactly the threshold's cosine; closer pairs and those that share a component do better.
 RECALL = 0.999
+#: Share of the sample's links that must be found, the sample's size, and how often the passes may be doubled for it.
+SEEN, SAMPLE, DOUBLINGS = 0.98, 512, 4
 WINDOW = 1024
 BITS = 63
-#: Ranks compared together in a pass, and vectors on one side of a tile.
-BLOCK, TILE = 1024, 512
+#: Passes that share a sort, and vectors on one side of a tile.
+AT_ONCE, TILE = 4, 512
+#: Means are taken of the most common lengths of vectors, so many of them; other lengths count as centred.
+MEANS = 64
 SEED = 42
 
 
@@ -47,149 +57,249 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recal
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-once))) if once < 1 else 1
 
 
-def _planes(dim: int, number: int) -> np.ndarray:
-    return np.random.default_rng([SEED, number]).standard_normal((dim, BITS))
+def unit_rows(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, row, v): every row, v being its vector scaled to length one as double-precision bytes, null if it has none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None] * len(batch)
+            vectors = batch.column(2)
+            sizes = np.array([0 if n is None else n for n in vectors.value_lengths().to_pylist()])
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == size)
+                x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                with np.errstate(all="ignore"):
+                    # scaling by the largest component first keeps tiny and huge vectors from under- and overflow
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for i, u, good in zip(at.tolist(), x, np.isfinite(x).all(axis=1), strict=True):
+                    if good:
+                        out[i] = (u + 0.0).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "row", "v"])
+
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    return table.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), v.alias("v")).mapInArrow(run, "id long, row long, v binary")
+
+
+def _by_size(vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield at, np.frombuffer(b"".join([vectors[i] for i in at.tolist()]), np.float64).reshape(len(at), -1)
+
+
+def means(vectors: DataFrame, number: int = MEANS) -> dict[int, np.ndarray]:
+    """Mean vector of each of the most common lengths."""
 
-def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, row, v): valid vectors scaled to length one, as double-precision bytes; row tells equal ids apart."""
-    v = F.col(vector_col)
-    sizes = table.where(v.isNotNull()).groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0]["n"] if sizes else 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for at, x in _by_size(batch.column(0).to_pylist()):
+                held = sums.setdefault(x.shape[1], [0, np.zeros(x.shape[1])])
+                held[0] += len(at)
+                held[1] += x.sum(axis=0)
+        for size, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array([n] * size, pa.int64()), pa.array(total)], ["size", "pos", "n", "total"])
+
+    sums = stage(vectors.select("v").mapInArrow(run, "size int, pos int, n long, total double").groupBy("size", "pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "sums")
+    common = sums.where("pos = 0").orderBy(F.desc("n"), "size").limit(number).select("size")
+    found: dict[int, dict[int, float]] = {}
+    for r in sums.join(F.broadcast(common), "size").select("size", "pos", F.col("total") / F.col("n")).collect():  # at most `number` vectors
+        found.setdefault(r[0], {})[r[1]] = r[2]
+    return {size: np.array([x[i] for i in range(size)]) for size, x in found.items()}
+
+
+def _keyed(first: int, passes: int, centres: dict[int, np.ndarray]):
+    """Rows (seg, key, did, v) of some passes: seg tells passes and lengths apart."""
+    weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dim)
-            with np.errstate(all="ignore"):
-                # scaling by the largest component first keeps tiny and huge vectors from under- and overflow
-                flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-                flat = flat / np.linalg.norm(flat, axis=1, keepdims=True)
-            good = np.isfinite(flat).all(axis=1)
-            unit = flat[good]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good)), pa.array([x.tobytes() for x in unit], pa.binary())], ["id", "row", "v"]
-            )
+            for at, x in _by_size(batch.column(1).to_pylist()):
+                size, rows = x.shape[1], batch.take(pa.array(at))
+                for number in range(first, first + passes):
+                    if (number, size) not in planes:
+                        planes[number, size] = np.random.default_rng([SEED, number, size]).standard_normal((size, BITS))
+                    p = planes[number, size]
+                    key = (x @ p > centres.get(size, np.zeros(size)) @ p) @ weights
+                    seg = np.full(len(at), size << 16 | number, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(key), rows.column("did"), rows.column("v")], ["seg", "key", "did", "v"])
 
-    whole = table.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.transform(v, lambda x: x.cast("double")).alias("v"))
-    whole = whole.where((F.size("v") == dim) & F.col("id").isNotNull()) if dim else whole.where("false")
-    return whole.mapInArrow(run, "id long, row long, v binary")
+    return run
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _links(seg: np.ndarray, did: np.ndarray, vectors: list[bytes], new: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links to the smallest vector reached, of rows in order; the last `new` are compared with the window before them."""
+    n = len(seg)
+    low = did.copy()
+    pairs = []
+    for s in np.unique(seg[n - new :]).tolist():
+        at = np.flatnonzero(seg == s)
+        x = np.frombuffer(b"".join([vectors[i] for i in at.tolist()]), np.float64).reshape(len(at), -1)
+        own = int((at >= n - new).sum())
+        i, j = np.nonzero(x[len(at) - own :] @ x.T >= threshold)
+        i += len(at) - own
+        close = (j < i) & (i - j <= window)
+        pairs.append((at[i[close]], at[j[close]]))
+    i, j = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    while len(i):
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        if (before == low).all():
+            break
+    linked = low != did
+    return did[linked], low[linked]
+
+
+def _neighbours(window: int, threshold: float):
+    """Links within sorted rows, and the first and last rows of the task, which meet their neighbours later."""
+    names = ["a", "b", "edge", "place", "seg", "v"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seg, did, held, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-def _keys(number: int):
-    weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        def edge(at: slice, number: int) -> pa.RecordBatch:
+            n = len(did[at])
+            return pa.RecordBatch.from_arrays([pa.array(did[at]), pa.nulls(n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(seg[at]), pa.array(held[at], pa.binary())], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(len(batch), -1)
-                key = ((x @ _planes(x.shape[1], number)) > 0) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "id", "row"])
+            for start in range(0, len(batch), window):
+                part = batch.slice(start, window)
+                keep = max(0, len(seg) - window)
+                seg, did = (np.concatenate([old[keep:], np.asarray(part.column(c))]) for old, c in ((seg, "seg"), (did, "did")))
+                held = held[keep:] + part.column("v").to_pylist()
+                new = len(part)
+                a, b = _links(seg, did, held, new, window, threshold)
+                blank = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), blank, blank, blank, pa.nulls(len(a), pa.binary())], names)
+                if seen < window:  # rows that the task before may have neighbours of
+                    yield edge(slice(len(seg) - new, len(seg) - new + min(new, window - seen)), 2 * task + 1)
+                seen += new
+        if seen:
+            yield edge(slice(max(0, len(seg) - window), len(seg)), 2 * task + 2)
 
     return run
 
 
-def _neighbours(window: int, threshold: float, size: int):
-    """Links to the smallest vector reached, of one block of consecutive ranks and the window after it."""
+def _across(window: int, threshold: float):
+    """Links between the last rows of a task and the first of the next."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        x, ids, ranks = _matrix(part["v"]), part["id"].to_numpy(), part["rank"].to_numpy()
-        own = int((ranks // size == part["block"].iat[0]).sum())
-        near = np.triu(x[:own] @ x.T >= threshold, 1)
-        i, j = np.nonzero(near)
-        close = ranks[j] - ranks[i] <= window
-        low = ids.copy()
-        i, j = i[close], j[close]
-        while len(i):
-            before = low.copy()
-            np.minimum.at(low, i, low[j])
-            np.minimum.at(low, j, low[i])
-            if (before == low).all():
-                break
-        linked = low != ids
-        return pd.DataFrame({"a": ids[linked], "b": low[linked]})
+        part = part.sort_values(["edge", "place"], kind="stable")
+        new = int((part["edge"] % 2 == 1).sum())
+        if new == 0 or new == len(part):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        a, b = _links(part["seg"].to_numpy(np.int64), part["a"].to_numpy(np.int64), part["v"].tolist(), new, window, threshold)
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def pass_links(units: DataFrame, number: int, window: int, threshold: float) -> DataFrame:
-    """(a, b): links of one pass. Ranks are numbered through the whole order, so windows cross tasks."""
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = units.mapInArrow(_keys(number), "key long, id long, row long").repartitionByRange(n, "key", "id", "row").sortWithinPartitions("key", "id", "row")
-    # the place within a task is kept by writing it
-    placed = stage(ordered.select("row", F.monotonically_increasing_id().alias("m")), "order")
-    placed = placed.select("row", F.shiftright("m", 33).alias("task"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
-    sizes = {r["task"]: r["n"] for r in placed.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one row per task
-    firsts, total = [], 0
-    for task in sorted(sizes):
-        firsts.append((task, total))
-        total += sizes[task]
-    first = units.sparkSession.createDataFrame(firsts, "task long, first long")
-    rank = (F.col("first") + F.col("nth")).alias("rank")
-    ranked = placed.join(F.broadcast(first), "task").select("row", rank).join(units, "row")
-    size = max(BLOCK, window)
-    block = F.expr(f"rank div {size}")
-    blocks = F.when((F.col("rank") % size < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    return ranked.select("id", "v", "rank", F.explode(blocks).alias("block")).groupBy("block").applyInPandas(_neighbours(window, threshold, size), "a long, b long")
+def pass_links(vectors: DataFrame, first: int, passes: int, window: int, threshold: float, centres: dict[int, np.ndarray], total: int) -> DataFrame:
+    """(a, b): links of some passes over vectors(did, v). Tasks hold several windows each, so that few windows cross tasks."""
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n, total * passes // (4 * window)))
+    keyed = vectors.select("did", "v").mapInArrow(_keyed(first, passes, centres), "seg long, key long, did long, v binary")
+    ordered = keyed.repartitionByRange(n, "seg", "key", "did").sortWithinPartitions("seg", "key", "did")
+    found = stage(ordered.mapInArrow(_neighbours(window, threshold), "a long, b long, edge long, place long, seg long, v binary"), "pass")
+    links = found.where("edge IS NULL").select("a", "b")
+    # a task's first rows are edge 2 * task + 1, the last rows of the task before 2 * (task - 1) + 2
+    borders = found.where("edge IS NOT NULL").withColumn("border", F.expr("edge div 2")).withColumn("edge", F.expr("CASE WHEN edge % 2 = 1 THEN 1 ELSE 0 END"))
+    return links.union(borders.groupBy("border").applyInPandas(_across(window, threshold), "a long, b long")) if n > 1 else links
 
 
 def _tile_counts(threshold: float):
-    """Per vector its links among the tile's vectors: the two sides against each other, or one with itself."""
+    """Per vector its links among the tile's vectors, each as often as it occurs: two sides against each other, or one with itself."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, tile in part.groupby(["component", "i", "j"], sort=False):
-            x, side = _matrix(tile["v"]), tile["side"].to_numpy()
-            near = x @ x.T >= threshold
-            if tile["i"].iat[0] == tile["j"].iat[0]:
-                np.fill_diagonal(near, False)
-            else:
-                near &= side[:, None] != side[None, :]
-            out.append(pd.DataFrame({"row": tile["row"].to_numpy(), "n": near.sum(axis=1)}))
+            side, times, did = tile["side"].to_numpy(), tile["times"].to_numpy(), tile["did"].to_numpy()
+            for at, x in _by_size(tile["v"].tolist()):
+                near = x @ x.T >= threshold
+                if tile["i"].iat[0] == tile["j"].iat[0]:
+                    np.fill_diagonal(near, False)
+                else:
+                    near &= side[at][:, None] != side[at][None, :]
+                out.append(pd.DataFrame({"did": did[at], "n": near @ times[at]}))
         return pd.concat(out)
 
     return run
 
 
-def link_counts(units: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(row, n_links) for members(id, component): all pairs within each component, tile by tile."""
-    rows = stage(members.join(units, "id").select("component", "row", "v"), "members")
+def link_counts(vectors: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(did, n_links) for members(did, component) of vectors(did, v, times): all pairs within each component, tile by tile."""
+    rows = stage(members.join(vectors, "did").select("component", "did", "times", "v"), "members")
     sizes = rows.groupBy("component").agg(F.count("*").alias("size"))
     sized = rows.join(small(stage(sizes, "component-sizes")), "component").withColumn("k", F.ceil(F.col("size") / TILE))
-    chunk = F.pmod(F.xxhash64("row"), F.col("k"))
     tiles = (
-        sized.withColumn("c", chunk)
-        .select("component", "row", "v", "size", F.col("c").alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-        .select("component", "row", "v", "size", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+        sized.withColumn("c", F.pmod(F.xxhash64("did"), F.col("k")))
+        .select("component", "did", "times", "v", "size", F.col("c").alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+        .select("component", "did", "times", "v", "size", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     )
     # components of one tile share groups of about TILE vectors; each larger one has a group per tile
     total = rows.count()
     group = F.when(F.col("size") <= TILE, F.pmod(F.xxhash64("component"), F.lit(max(1, total // TILE)))).otherwise(F.xxhash64("component", "i", "j"))
-    counted = tiles.withColumn("g", group).select("component", "row", "v", "side", "i", "j", "g").groupBy("g").applyInPandas(_tile_counts(threshold), "row long, n long")
-    return counted.groupBy("row").agg(F.sum("n").alias("n_links"))
+    counted = tiles.withColumn("g", group).select("component", "did", "times", "v", "side", "i", "j", "g").groupBy("g").applyInPandas(_tile_counts(threshold), "did long, n long")
+    return counted.groupBy("did").agg(F.sum("n").alias("n_links"))
+
+
+def true_counts(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> DataFrame:
+    """(did, n_true): links of a sample of vectors(did, v, times), each compared with all vectors."""
+    chosen = vectors.orderBy(F.xxhash64("did"), "did").limit(sample).select("did", "v").collect()  # the sample is of fixed size
+    asked = vectors.sparkSession.sparkContext.broadcast([(at, x, np.array([r["did"] for r in chosen])[at]) for at, x in _by_size([bytes(r["v"]) for r in chosen])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, times = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for at, x in _by_size(batch.column(2).to_pylist()):
+                for _, q, ids in asked.value:
+                    if q.shape[1] == x.shape[1]:
+                        near = (q @ x.T >= threshold) & (ids[:, None] != did[at][None, :])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ times[at])], ["did", "n"])
+
+    return vectors.select("did", "times", "v").mapInArrow(run, "did long, n long").groupBy("did").agg(F.sum("n").alias("n_true"))
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per input row. passes: as many as `passes_for` says if not given."""
+    """(vec_id, n_links, component_id, kept): one row per input row. passes: as many as the measured recall asks for if not given."""
     prepare(table.sparkSession)
-    units = stage(unit_vectors(table, id_col, vector_col), "units")
-    if passes is None:
-        passes = passes_for(units.count(), threshold, window)
-    links = None
-    for number in range(passes):
-        found = stage(pass_links(units, number, window, threshold), "pass")
-        links = found if links is None else links.union(found)
-    components = stage(connected_components(links, "a", "b"), "vector-components")
-    counts = link_counts(units, components.select("id", "component"), threshold)
-    by_id = components.select(F.col("id").alias("_id"), "component").join(units.select(F.col("id").alias("_id"), "row"), "_id").join(counts, "row", "left").groupBy("_id").agg(F.max("n_links").alias("n_links"), F.first("component").alias("component"))
-    ids = table.select(F.col(id_col).cast("long").alias("vec_id"))
-    out = ids.join(by_id, ids["vec_id"] == by_id["_id"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    rows = stage(unit_rows(table, id_col, vector_col), "units")
+    valid = rows.where("id IS NOT NULL AND v IS NOT NULL").select("id", "row", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"))
+    kinds = stage(valid.groupBy("h1", "h2").agg(F.min("row").alias("did"), F.min("id").alias("low"), F.count("*").alias("times")), "kinds")
+    vectors = stage(valid.select(F.col("row").alias("did"), "v").join(kinds.select("did", "times"), "did"), "vectors")
+    total = vectors.count()
+    want = passes_for(total, threshold, window) if passes is None else passes
+    centres, links, done, counts = means(vectors), None, 0, None
+    measured = stage(true_counts(vectors, threshold), "sample-links") if passes is None and total > window else None
+    for _ in range(DOUBLINGS + 1):
+        while done < want:
+            some = min(AT_ONCE, want - done)
+            found = stage(pass_links(vectors, done, some, window, threshold, centres, total).distinct(), "links")
+            links, done = found if links is None else links.union(found), done + some
+        components = stage(connected_components(links, "a", "b").select(F.col("id").alias("did"), "component"), "vector-components") if links is not None else None
+        if components is None:
+            break
+        counts = stage(link_counts(vectors, components, threshold), "link-counts")
+        if measured is None:
+            break
+        got = measured.join(counts, "did", "left").agg(F.sum("n_true").alias("all"), F.sum(F.least("n_true", F.coalesce("n_links", F.lit(0)))).alias("seen")).first()
+        if (got["seen"] or 0) >= SEEN * (got["all"] or 0):
+            break
+        want = 2 * done
+    else:
+        warnings.warn(f"{done} passes hold {got['seen']} of {got['all']} links of the sample", stacklevel=2)
+
+    named = kinds.join(components, "did", "left").join(counts, "did", "left").withColumn("root", F.coalesce("component", "did"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_kind = named.join(lowest, "root").select("h1", "h2", (F.coalesce("n_links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    known = rows.select("id", F.when(F.col("id").isNotNull() & F.col("v").isNotNull(), F.xxhash64("v")).alias("h1"), F.when(F.col("id").isNotNull() & F.col("v").isNotNull(), F.xxhash64(F.lit(SEED), "v")).alias("h2"))
+    component = F.coalesce("component_id", "id")
+    return known.join(by_kind, ["h1", "h2"], "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Learning counts letter n-grams per language on a bounded sample of labelled documents and keeps those that
 make up a fair share of a language's grams. They go into one Bloom filter per language, stored bit-sliced:
-each row of the table is a bitmask over the languages, so the AND of a gram's rows gives all languages that
-contain it at once. A text's grams are counted per language by the set bits, the counts are corrected for
+each row of the table is a bitmask over the languages (in words of 64), so the AND of a gram's rows gives all
+languages that contain it at once. A text's grams are counted per language by the set bits, the counts are corrected for
 the filters' false positives, and the highest decides.
 
 Bounds: FIT_ROWS documents per language are learned from (chosen by a hash of the id), at most 1 / MIN_SHARE
-grams are kept per language and gram size, the table has 2**ROW_BITS rows. Every document is predicted whole.
+grams are kept per language and gram size, the table has 2**ROW_BITS rows, fewer where more than 256 languages
+would make it larger than 128 MB (`row_bits`). Any number of languages works; the model grows with it. Every
+document is predicted whole.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all texts when nothing
 could be learned; ties go to the language first in alphabetical order; rows with a null id are never learned
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, text_slices
+from .common import prepare, small, stage, text_slices
 
 SIZES = (3, 4)
 FIT_ROWS = 10_000
@@ -31,7 +33,6 @@ MIN_SHARE = 1e-5
 #: A gram counts for a language if its share there is at least this part of its largest share anywhere.
 MIN_RATIO = 0.25
 ROW_BITS, PROBES = 22, 4
-MAX_LANGUAGES = 64
 FOLDS, HELD_OUT = 4, 2
 
 _LETTERS = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
@@ -74,9 +75,15 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(hashes), np.concatenate(owners), lettered
 
 
-def _rows(h: np.ndarray, probe: int) -> np.ndarray:
-    x = (h + np.uint64(probe) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x8CB92BA72F3D8DD7)
-    return (x >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+def row_bits(languages: int) -> int:
+    """The table's rows, as a power of two: halved each time that the words of a row double beyond four."""
+    words = -(-languages // 64)
+    return max(16, ROW_BITS - max(0, (words - 1).bit_length() - 2))
+
+
+def _rows(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    x = (h + np.uint64(probe * 0xD1B54A32D192ED03 % (1 << 64))) * np.uint64(0x8CB92BA72F3D8DD7)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Filters:
@@ -84,25 +91,30 @@ class Filters:
 
     def __init__(self, grams: dict[str, np.ndarray]):
         self.languages = sorted(grams)
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"at most {MAX_LANGUAGES} languages")
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(self.languages) <= n)
-        self.table = np.zeros(1 << ROW_BITS, kind)
+        n = len(self.languages)
+        kind = next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if n <= bits), np.uint64)
+        self.bits = row_bits(n)
+        #: one array of masks per 64 languages
+        self.table = [np.zeros(1 << self.bits, kind) for _ in range(max(1, -(-n // 64)))]
         self.false_rates = []
         for i, lang in enumerate(self.languages):
-            rows = np.unique(np.concatenate([_rows(grams[lang], p) for p in range(PROBES)]))
-            self.table[rows] |= kind(1 << i)
-            self.false_rates.append((len(rows) / len(self.table)) ** PROBES)
+            rows = np.unique(np.concatenate([_rows(grams[lang], p, self.bits) for p in range(PROBES)]))
+            self.table[i // 64][rows] |= kind(1 << i % 64)
+            self.false_rates.append((len(rows) / (1 << self.bits)) ** PROBES)
 
     def counts(self, h: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Grams per text, and corrected counts per text and language."""
-        masks = self.table[_rows(h, 0)]
-        for p in range(1, PROBES):
-            masks &= self.table[_rows(h, p)]
-        total = np.bincount(owner, minlength=n_texts)
-        hits = [np.bincount(owner[(masks >> masks.dtype.type(i)) & masks.dtype.type(1) == 1], minlength=n_texts) for i in range(len(self.languages))]
+        rows = [_rows(h, p, self.bits) for p in range(PROBES)]
+        total, hits = np.bincount(owner, minlength=n_texts), []
+        for word, table in enumerate(self.table):
+            masks = table[rows[0]]
+            for r in rows[1:]:
+                masks &= table[r]
+            some = masks != 0
+            masks, owners, one = masks[some], owner[some], masks.dtype.type(1)
+            hits += [np.bincount(owners[(masks >> masks.dtype.type(i)) & one == 1], minlength=n_texts) for i in range(min(64, len(self.languages) - 64 * word))]
         rate = np.array(self.false_rates)
-        return total, np.maximum(0, (np.stack(hits, axis=1) - total[:, None] * rate) / (1 - rate))
+        return total, np.maximum(0, (np.stack(hits, axis=1) - total[:, None] * rate) / np.maximum(1 - rate, 1e-9))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         h, owner, lettered = _grams(texts)
@@ -117,11 +129,12 @@ class Filters:
 def learn(labelled: DataFrame, spark: SparkSession, id_col: str, text_col: str, lang_col: str, fit_rows: int = FIT_ROWS) -> Filters:
     """Filters from labelled(id, text, lang): about fit_rows documents per language, all if there are fewer."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect()}
-    if not sizes:
+    shares = stage(known.groupBy(F.col(lang_col).alias("_ll_lang")).agg(F.least(F.lit(1.0), fit_rows / F.count("*")).alias("_ll_share")), "label-shares")
+    languages = [r["_ll_lang"] for r in shares.collect()]  # the model's labels
+    if not languages:
         return Filters({})
-    share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, fit_rows / n))) for lang, n in sizes.items()])
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+    met = known.select(id_col, text_col, lang_col).join(small(shares), F.col(lang_col) == F.col("_ll_lang"))
+    sample = met.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1_000_000)) < F.col("_ll_share") * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +150,15 @@ def learn(labelled: DataFrame, spark: SparkSession, id_col: str, text_col: str,
     found = sample.select(F.col(text_col).cast("binary"), F.col(lang_col)).mapInArrow(run, "lang string, gram long, n long")
     counts = stage(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
+    shares = counts.join(small(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     kept = shares.join(top, "gram").where(F.col("share") >= MIN_RATIO * F.col("top")).select("lang", "gram")
     # at most 1 / MIN_SHARE grams a language
     rows = kept.toArrow()
     langs, grams = np.array(rows["lang"].to_pylist(), dtype=object), np.asarray(rows["gram"], dtype=np.int64).view(np.uint64)
-    return Filters({lang: grams[langs == lang] for lang in sizes})
+    order = np.argsort(langs.astype(str), kind="stable")
+    langs, grams = langs[order].astype(str), grams[order]
+    return Filters({lang: grams[np.searchsorted(langs, lang, "left") : np.searchsorted(langs, lang, "right")] for lang in languages})
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

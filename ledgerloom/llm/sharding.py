@@ -51,13 +51,15 @@ def lookup_table(shards: tuple[str, ...] | list[str], size: int = TABLE_SIZE) ->
 
 
 def assign(rows: DataFrame, key_col: str, shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, seed: int = SEED) -> DataFrame:
-    """rows with `slot` and `shard`; columns of these names are replaced."""
-    rows = rows.drop("slot", "shard")
+    """rows with `slot` and `shard`; columns of these names are replaced, though one of them may be the key."""
     table = pd.DataFrame({"slot": range(size), "shard": [shards[i] for i in lookup_table(shards, size)]})
     slots = rows.sparkSession.createDataFrame(table, "slot int, shard string")
-    key = F.coalesce(F.col(key_col).cast("string"), F.concat(F.lit("row:"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string")))
-    placed = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(size)).cast("int"))
-    return placed.join(F.broadcast(slots), "slot").select(*[f"`{c}`" for c in rows.columns], "slot", "shard")
+    # maps can't be hashed, but their text can
+    cells = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes]
+    key = F.coalesce(F.col(f"`{key_col}`").cast("string"), F.concat(F.lit("row:"), F.xxhash64(*cells).cast("string")))
+    kept = [f"`{c}`" for c in rows.columns if c not in ("slot", "shard")]
+    placed = rows.select(F.struct(F.lit(0).alias("_"), *kept).alias("_d"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(size)).cast("int").alias("slot"))
+    return placed.join(F.broadcast(slots), "slot").select(*[F.col(f"_d.{c}") for c in kept], "slot", "shard")
 
 
 def write_shards(rows: DataFrame, path: str, key_col: str, shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 1) -> None:

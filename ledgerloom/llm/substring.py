@@ -7,7 +7,8 @@ the runs; wherever an anchor has another document, the windows around it are ver
 their word sequences (with the anchor, 160 bits that must agree), taken from the texts themselves. Windows
 repeated among the texts of one slice are settled there, so a passage that is everywhere sends one row per
 slice. Verified windows are kept in runs of their own. When there are FAN_IN runs, the next batch first
-merges them into one.
+merges them into one. A manifest of the runs makes the index last: the next load, in a session of its own,
+is deduplicated against all that was indexed before.
 
 A batch must have larger ids than those before it. Defined results: null texts have no words; texts
 shorter than a window are left alone; rows with equal ids are one document to the index, so they never
@@ -17,23 +18,25 @@ results; other columns pass through untouched.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_path, prepare, scratch_path, stage, text_slices
+from .common import drop_path, prepare, scratch_path, stage, text_slices, write_text
 from .words import FACTORS, rolled, word_bounds, word_hashes
 
 WINDOW = 13
 GRAM = 5
 FAN_IN = 2
-BATCHES = 2
+BATCHES = 3
 
 def _window_min(h: np.ndarray, length: int) -> np.ndarray:
     """Smallest of every run of `length`."""
@@ -131,87 +134,155 @@ def verified_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Anchor runs and verified-window runs in the shared folder."""
+    """Anchor runs and verified-window runs in the shared folder.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, fan_in: int = FAN_IN):
+    With a `path` the index outlives its session: save() writes a manifest of the runs there, and an index made
+    with the same path goes on from it. Without one its files go when it is closed."""
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, fan_in: int = FAN_IN, path: str | None = None):
         prepare(spark)
-        self.spark, self.window, self.fan_in = spark, window, fan_in
+        self.spark, self.window, self.fan_in, self.path = spark, window, fan_in, path
         #: one bucket per shuffle partition: an aggregate by hash is written without another exchange
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.windows: list[DataFrame] = []
-
-    def _write_run(self, rows: DataFrame) -> str:
-        name = f"ledgerloom_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", scratch_path(self.spark, "run")).saveAsTable(name)
-        return name
+        #: name in the catalog and path of each run of anchors, path of each run of windows, largest id indexed
+        self.runs: list[tuple[str, str]] = []
+        self.windows: list[str] = []
+        self.above: int | None = None
+        self._gone: list[str] = []
+        #: a run that isn't part of the index yet
+        self._begun: tuple[str, str] | None = None
+        if path is not None:
+            self._open()
+
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _new_path(self, name: str) -> str:
+        return scratch_path(self.spark, name) if self.path is None else f"{self.path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def _open(self) -> None:
+        try:
+            found = self.spark.read.text(f"{self.path.rstrip('/')}/manifest.json", wholetext=True).first()
+        except AnalysisException:
+            return  # a new index
+        known = json.loads(found["value"])
+        if known["window"] != self.window:
+            raise ValueError(f"the index has windows of {known['window']} words")
+        self.windows, self.above = known["windows"], known["above"]
+        for run in known["runs"]:
+            name = f"ledgerloom_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
+            self.runs.append((name, run["path"]))
+
+    def save(self) -> None:
+        """Write the manifest, then drop the files of runs that were merged since the last one."""
+        buckets = {path: int(self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"]) for name, path in self.runs}
+        runs = [{"path": path, "buckets": buckets[path]} for _, path in self.runs]
+        write_text(self.spark, f"{self.path.rstrip('/')}/manifest.json", json.dumps({"window": self.window, "above": self.above, "runs": runs, "windows": self.windows}))
+        for path in self._gone:
+            drop_path(self.spark, path)
+        self._gone = []
+
+    def _write_run(self, rows: DataFrame) -> tuple[str, str]:
+        name, path = f"ledgerloom_run_{uuid.uuid4().hex}", self._new_path("run")
+        self._begun = (name, path)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _write_windows(self, rows: DataFrame) -> str:
+        path = self._new_path("windows")
+        rows.groupBy("w1", "w2").agg(F.min("doc").alias("doc")).write.parquet(path)
+        return path
+
+    def _known_windows(self) -> list[DataFrame]:
+        return [self.spark.read.schema("w1 long, w2 int, doc long").parquet(path) for path in self.windows]
 
     def _history(self, run: DataFrame) -> DataFrame:
         """run(h, first, last) merge-joined with every earlier run: adds old_first and old_last."""
         out = run.withColumn("old_first", F.lit(None).cast("long")).withColumn("old_last", F.lit(None).cast("long"))
-        for name in self.runs:
+        for name, _ in self.runs:
             old = self.spark.table(name).select("h", F.col("first").alias("f"), F.col("last").alias("l"))
             out = out.join(old, "h", "left").select("h", "first", "last", F.least("old_first", "f").alias("old_first"), F.greatest("old_last", "l").alias("old_last"))
         return out
 
-    def add(self, texts: DataFrame, above: int | None = None, last: bool = False) -> DataFrame:
-        """Index the rows of texts(doc, t) whose id is over `above`; texts also has all that was indexed before.
+    def add(self, texts: DataFrame, upto: int | None = None, last: bool = False) -> DataFrame:
+        """Index the rows of texts(doc, t) whose id is over all indexed ids, up to `upto` if given.
 
-        Returns (doc, starts): where the new documents' windows repeat those of a smaller id. After the
-        last batch nothing is kept for a next one."""
+        texts also holds the documents that were indexed before: those that share an anchor with a new one for
+        the first time are read again. Returns (doc, starts): where the new documents' windows repeat those of a
+        smaller id. After a `last` batch nothing is kept for a next one."""
         if len(self.runs) >= self.fan_in:
             self.compact()
-        new = F.lit(True) if above is None else F.col("doc") > above
+        texts = texts if upto is None else texts.where(F.col("doc") <= upto)
+        new = F.lit(True) if self.above is None else F.col("doc") > self.above
         at = scratch_path(self.spark, "anchors")
         anchors(texts.where(new), self.window).write.parquet(at)
         found = self.spark.read.schema("h long, doc long").parquet(at)
         run = self._write_run(found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
         shared = stage(
-            self._history(self.spark.table(run)).where("first < last OR old_first IS NOT NULL").select("h", F.when(F.col("old_first") == F.col("old_last"), F.col("old_first")).alias("promoted")),
+            self._history(self.spark.table(run[0])).where("first < last OR old_first IS NOT NULL").select("h", F.when(F.col("old_first") == F.col("old_last"), F.col("old_first")).alias("promoted")),
             "shared-anchors",
         )
         hits = found.join(shared.select("h"), "h").select("doc", "h").union(shared.where("promoted IS NOT NULL").select("promoted", "h"))
         wanted = hits.groupBy("doc").agg(F.collect_set("h").alias("hs"))
         windows_at = scratch_path(self.spark, "windows")
         verified_windows(texts.join(wanted, "doc").select("doc", "t", "hs"), self.window).write.parquet(windows_at)
-        drop_path(self.spark, at)
         windows = self.spark.read.schema("w1 long, w2 int, doc long, pos int").parquet(windows_at)
 
         open_rows = windows.where("w1 IS NOT NULL")
-        seen = reduce(DataFrame.union, [w.select("w1", "w2", "doc", F.lit(-1).alias("pos")) for w in self.windows], open_rows)
+        seen = reduce(DataFrame.union, [w.select("w1", "w2", "doc", F.lit(-1).alias("pos")) for w in self._known_windows()], open_rows)
         # the running minimum over increasing ids streams: no key's rows are held together
         smallest = F.min("doc").over(W.partitionBy("w1", "w2").orderBy("doc").rowsBetween(W.unboundedPreceding, W.currentRow))
         repeats = seen.withColumn("first", smallest).where("doc > first AND pos >= 0").select("doc", "pos").union(windows.where("w1 IS NULL").select("doc", "pos"))
         out = stage(repeats.where(new).groupBy("doc").agg(F.collect_set("pos").alias("starts")), "repeated-windows")
         if last:
-            self._drop([run])
+            self._forget([run])
+            drop_path(self.spark, run[1])
+            self._begun = None
         else:
-            self.windows.append(stage(open_rows.groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run"))
+            largest = self.spark.table(run[0]).agg(F.max("last")).first()[0] if upto is None else upto
+            self.above = largest if self.above is None or largest is not None and largest > self.above else self.above
+            self.windows.append(self._write_windows(open_rows.select("w1", "w2", "doc")))
             self.runs.append(run)
+            self._begun = None
+        drop_path(self.spark, at)
         drop_path(self.spark, windows_at)
         return out
 
     def compact(self) -> None:
         """Merge all runs into one; the sorted buckets are joined as they lie."""
-        first, *rest = self.runs
+        (first, _), *rest = self.runs
         merged = self.spark.table(first)
-        for name in rest:
+        for name, _ in rest:
             other = self.spark.table(name).select("h", F.col("first").alias("f"), F.col("last").alias("l"))
             merged = merged.join(other, "h", "full").select("h", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
-        name = self._write_run(merged)
-        self.windows = [stage(reduce(DataFrame.union, self.windows).groupBy("w1", "w2").agg(F.min("doc").alias("doc")), "window-run")]
-        self._drop(self.runs)
-        self.runs = [name]
-
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            path = self.spark.table(name).inputFiles()
-            self.spark.sql(f"DROP TABLE {name}")
-            if path:
-                drop_path(self.spark, path[0].rpartition("/")[0])
+        run = self._write_run(merged)
+        windows = self._write_windows(reduce(DataFrame.union, self._known_windows()))
+        old = [*(path for _, path in self.runs), *self.windows]
+        self._forget(self.runs)
+        if self.path is None:
+            for path in old:
+                drop_path(self.spark, path)
+        else:
+            self._gone += old
+        self.runs, self.windows, self._begun = [run], [windows], None
+
+    def _forget(self, runs: list[tuple[str, str]]) -> None:
+        for name, _ in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files of a table with a path stay
 
     def close(self) -> None:
-        self._drop(self.runs)
+        """Leave no names in the catalog, no files of an index without a path, and none of a batch that failed."""
+        if self._begun:
+            self._forget([self._begun])
+            drop_path(self.spark, self._begun[1])
+        self._forget(self.runs)
+        if self.path is None:
+            for path in [*(path for _, path in self.runs), *self.windows]:
+                drop_path(self.spark, path)
         self.runs, self.windows = [], []
 
 
@@ -233,16 +304,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     The table goes through a new index in `batches` ranges of ids."""
     docs = docs.drop("n_words", "n_removed")
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, window)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("t"))
     cuts = rows.select(F.col("doc").cast("double")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    limits = [None, *sorted({int(c) for c in cuts}), None]
-    found = []
-    for lo, hi in zip(limits, limits[1:], strict=False):
-        known = rows if hi is None else rows.where(F.col("doc") <= hi)
-        found.append(index.add(known, lo, last=hi is None))
-    index.close()
-    starts = reduce(DataFrame.union, found)
+    with FingerprintIndex(spark, window) as index:
+        starts = reduce(DataFrame.union, [index.add(rows, upto, last=upto is None) for upto in [*sorted({int(c) for c in cuts}), None]])
 
     starts_col = "_ll_starts"
     joined = docs.join(starts.select(F.col("doc").alias("_ll_doc"), F.col("starts").alias(starts_col)), F.col(id_col) == F.col("_ll_doc"), "left").drop("_ll_doc")

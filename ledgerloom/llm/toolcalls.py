@@ -12,7 +12,9 @@ Defined results: calls without an identifier or a conversation link with nothing
 without a call are rows of kind "orphan_result"; of several results for an identifier the first turn counts
 (then the smaller text) and all are counted; calls with equal identifiers all get the result; dependencies
 on unknown calls are ignored; calls in a cycle, or behind one, get a null level and the error "cycle"; null
-or unreadable arguments are errors; tools without a schema are errors; empty tables give empty results.
+or unreadable arguments are errors, and so are numbers that JSON can't write (NaN, infinities, beyond a double),
+half surrogate pairs and nesting that the parser can't follow: such arguments are null in the JSON; tools
+without a schema are errors; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,19 +52,44 @@ def canonical(value: Any) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _finite(text: str) -> float:
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is no finite number")
+    return number
+
+
+def read_arguments(text: str | None, schema: Mapping[str, Any] | None) -> tuple[Any, str | None]:
+    """(value, error) of a call's arguments; the value is null where it can't be read or written as JSON."""
+    try:
+        value = json.loads(text or "", parse_float=_finite, parse_constant=_finite)
+        canonical({"arguments": value}).encode()
+        return value, "no schema" if schema is None else schema_error(value, schema)
+    except RecursionError:
+        return None, "arguments: nested too deeply"
+    except UnicodeEncodeError:
+        return None, "arguments: half a surrogate pair"
+    except ValueError:
+        return None, "arguments: not JSON"
+
+
+def _is_kind(value: Any, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        if isinstance(value, bool) or not isinstance(value, int | float):
+            return False
+        return kind == "number" or isinstance(value, int) or math.isfinite(value) and value == int(value)
+    return isinstance(value, _TYPES[kind])
 
 
 def schema_error(value: Any, schema: Mapping[str, Any], where: str = "") -> str | None:
     """The first thing wrong with value, or None; covers the keywords of SCHEMAS, enum and items."""
     here = where or "arguments"
-    kind = schema.get("type")
-    if kind in ("integer", "number"):
-        whole = isinstance(value, int) or isinstance(value, float) and value == int(value) if not isinstance(value, float) or math.isfinite(value) else False
-        if isinstance(value, bool) or not (isinstance(value, int | float) if kind == "number" else whole):
-            return f"{here}: not of type {kind}"
-    elif kind and not isinstance(value, _TYPES[kind]):
-        return f"{here}: not of type {kind}"
+    kinds = schema.get("type")
+    if kinds and not any(_is_kind(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return f"{here}: not of type {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{here}: not in enum"
     if isinstance(value, str):
@@ -173,12 +200,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
             for row in batch.to_pylist():
                 error, arguments = None, None
                 if row["kind"] == "call":
-                    try:
-                        arguments = json.loads(row["arguments"] or "")
-                    except ValueError:
-                        error = "arguments: not JSON"
-                    else:
-                        error = schema_error(arguments, schemas[row["name"]]) if row["name"] in schemas else "no schema"
+                    arguments, error = read_arguments(row["arguments"], schemas.get(row["name"]))
                     if row["level"] is None:
                         error = "cycle"
                 else:
@@ -196,14 +218,18 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations(conv_id, turn, role, text) as calls and results.
 
     A user or system turn calls "ask" or "configure" under the identifier conversation-turn and depends on
-    the call two turns before; any other turn is the result of the turn before it."""
+    the call two turns before; any other turn is the result of the turn before it. So that everything a model may
+    get wrong occurs, arguments of some lengths lose their last character, and the calls of some conversations
+    depend on the call two turns later as well."""
     call_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     named = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), call_id)
     asks = F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
     earlier = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string"))
-    calls = messages.where(asks).select(
+    later = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + 2).cast("string"))
+    calls = messages.where(asks).withColumn("arguments", F.to_json(F.struct("text", "turn"))).select(
         F.col("conv_id").cast("long"), named.alias("call_id"), F.col("turn").cast("long"), F.when(F.col("role") == "user", "ask").otherwise("configure").alias("name"),
-        F.to_json(F.struct("text", "turn")).alias("arguments"), F.array(earlier).alias("depends_on"),
+        F.when(F.length("text") % 13 == 5, F.expr("left(arguments, length(arguments) - 1)")).otherwise(F.col("arguments")).alias("arguments"),
+        F.when(F.col("conv_id") % 11 == 0, F.array(earlier, later)).otherwise(F.array(earlier)).alias("depends_on"),
     )
     before = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
     results = messages.where(~asks).select(
@@ -219,17 +245,19 @@ def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, role IN ('user', 'system') AS asks FROM conversations),
-c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, conv_id || '-' || (turn - 2) AS dep, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text FROM m WHERE asks),
+c AS (SELECT conv_id, turn, conv_id || '-' || turn AS call_id, conv_id || '-' || (turn - 2) AS dep, conv_id || '-' || (turn + 2) AS later, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text,
+             coalesce(length(text) % 13 = 5, false) AS cut FROM m WHERE asks),
 a AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'content': text}) AS answer, count(*) AS n_results FROM m WHERE NOT asks GROUP BY ALL),
-l(call_id, level) AS (SELECT call_id, 0 FROM c WHERE dep NOT IN (SELECT call_id FROM c) UNION SELECT c.call_id, level + 1 FROM l JOIN c ON c.dep = l.call_id),
-j AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS t, c.name, c.text, a.answer, a.n_results,
+l(call_id, level) AS (SELECT call_id, 0 FROM c WHERE dep NOT IN (SELECT call_id FROM c) AND (conv_id % 11 <> 0 OR later NOT IN (SELECT call_id FROM c))
+                      UNION SELECT c.call_id, level + 1 FROM l JOIN c ON c.dep = l.call_id WHERE c.conv_id % 11 <> 0),
+j AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS t, c.name, c.text, c.cut, a.answer, a.n_results,
              c.call_id IS NOT NULL AS is_call FROM c FULL JOIN a ON c.call_id = a.call_id),
-e AS (SELECT j.*, l.level, CASE WHEN NOT is_call THEN 'no call' WHEN text = '' THEN 'text: shorter than 1'
+e AS (SELECT j.*, l.level, CASE WHEN NOT is_call THEN 'no call' WHEN l.level IS NULL THEN 'cycle' WHEN cut THEN 'arguments: not JSON' WHEN text = '' THEN 'text: shorter than 1'
              WHEN name = 'configure' AND length(text) > 200 THEN 'text: longer than 200' WHEN name = 'configure' AND t > 0 THEN 'turn: above 0' END AS error
       FROM j LEFT JOIN l ON j.call_id = l.call_id)
 SELECT CASE WHEN is_call THEN 'call' ELSE 'orphan_result' END AS kind, conv_id, call_id, coalesce(t, answer.turn) AS turn, name, level::INT AS level,
        answer.turn AS result_turn, coalesce(n_results, 0)::BIGINT AS n_results, error IS NULL AS valid, error,
-       '{"arguments":' || CASE WHEN is_call THEN '{"text":' || to_json(text)::VARCHAR || ',"turn":' || t || '}' ELSE 'null' END || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null')
+       '{"arguments":' || CASE WHEN is_call AND NOT cut THEN '{"text":' || to_json(text)::VARCHAR || ',"turn":' || t || '}' ELSE 'null' END || ',"id":"' || call_id || '","level":' || coalesce(level::VARCHAR, 'null')
        || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(answer.content)::VARCHAR, 'null') || '}' AS json
 FROM e
 """

@@ -130,6 +130,33 @@ def test_separate_near_pairs_all_link(spark):
     assert all(found[i] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
 
 
+def test_vectors_that_share_a_direction_link_as_well(spark):
+    rng = np.random.default_rng(13)
+    one = rng.standard_normal((1200, 32))
+    x = np.concatenate([one, one + 0.25 * rng.standard_normal((1200, 32))]) + 8 * np.eye(32)[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.97
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame, threshold=0.97, window=64).collect()}
+    assert sum(found.values()) >= 0.97 * near.sum() > 0
+    assert all(found[i] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+
+
+def test_vectors_of_every_length_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [1.0]), (5, [3.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, 0.01]), (7, [0.5, -0.5]), (8, [1.0, 0.0]), (None, [1.0, 0.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<float>, row string")).collect()
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in found)
+    assert got == [(-1, 0, -1, None), (1, 3, 1, True), (2, 0, 2, True), (3, 3, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (7, 3, 1, False), (8, 3, 1, False)]
+
+
+def test_labels_of_hubs_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", 10)
+    edges = [(1000, i) for i in range(200)] + [(i, 5000 + i) for i in range(0, 200, 3)] + [(9000, 9001)]
+    found = {r.id: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == components({x for e in edges for x in e}, edges)
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -178,6 +205,24 @@ def test_substring_matches_brute_force(spark, batches):
         assert r.n_words - r.n_removed == len(expected[r.doc_id])
 
 
+def test_index_goes_on_in_another_session(spark, tmp_path):
+    rows = passages(150)
+    expected = brute_substring(rows)
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc long, t binary")
+    found = {}
+    for upto in (30, 60, 90, 120, 149):
+        with substring.FingerprintIndex(spark, path=str(tmp_path / "index")) as index:
+            assert index.above == (upto - 30 if 30 < upto < 149 else None if upto == 30 else 120)
+            found |= {r.doc: r.starts for r in index.add(texts, upto).collect()}
+            index.save()
+            assert len(index.runs) == len(index.windows) <= substring.FAN_IN
+    kept = {i: substring._cut(t.encode(), found[i], 13)[0] if i in found else t.encode() for i, t in rows}
+    assert {i: t.split() for i, t in kept.items()} == expected
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledgerloom_run")]
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, window=9, path=str(tmp_path / "index"))
+
+
 def test_substring_edges(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(None, long, 1), (4, long, 2), (4, long, 3), (5, "\n" + long.replace(" ", "\n") + "\n tail", 4)], DOCS + ", n_words int")
