@@ -43,7 +43,7 @@ NOT_A_DESCRIPTION = (
     "EXIGIBILIDADEDOISS", "VALORIMPOST", "RETIDOALIQ",
 )
 
-#: Endings of legal company names.
+#: Endings of legal company names.
 _LEGAL_END = r"(?:LTDA|(?<![A-Z])S\.?A\.?|(?<![A-Z])S/A|EIRELI|MEI|(?<![A-Z])ME|EPP)[.,]?$"
 
 
@@ -129,6 +129,7 @@ def looks_like_company(c: Column | str) -> Column:
     return F.coalesce(let(normalize(c), lambda u: (F.length(u) >= 4) & u.rlike(_LEGAL_END)), F.lit(False))
 
 
+#: Fixed value: a company's name up to its legal ending.
 _NAMED = r"(?iu)([A-ZÀ-Ý0-9&.'\-/ ]{3,}?(?:LTDA|EIRELI|EPP|(?<![A-ZÀ-Ý])S\s*\.?A\s*\.?|(?<![A-ZÀ-Ý])S/A|MEI|(?<![A-ZÀ-Ý])ME))[.,]?(?=\s|$)"
 
 

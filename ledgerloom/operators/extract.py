@@ -154,11 +154,12 @@ _SERVICE_LABEL = ("DESCRICAODOSERVICO", "DESCRICAODOSSERVICOS", "DESCRICAOSERVIC
 
 
 def distinct_lines(lines: Column) -> Column:
-    """Lines whose normalised description wasn't there before, in order."""
+    """Lines whose normalised description wasn't there before, in order: sorted by it, equal ones lie together."""
     norm = F.transform(lines, lambda x: normalize_description(x))
-    pairs = F.zip_with(lines, norm, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
-    first = let(pairs, lambda ps: let(F.transform(ps, lambda p: p["n"]), lambda ns: F.filter(ps, lambda p, i: (p["n"] != "") & (F.array_position(ns, p["n"]) == i + 1))))
-    return F.transform(first, lambda p: p["x"])
+    pairs = F.filter(F.zip_with(lines, norm, lambda x, n: F.struct(n.alias("n"), x.alias("x"))), lambda p: p["n"] != "")
+    ordered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["n"].alias("n"), i.alias("i"), p["x"].alias("x"))))
+    first = let(ordered, lambda ps: F.filter(ps, lambda p, j: (j == 0) | (p["n"] != F.get(ps, j - 1)["n"])))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
 
 
 def section(lines: Column, start, end) -> Column:
@@ -202,6 +203,7 @@ def service_description(lines: Column | str) -> Column:
     return let(inside, text)
 
 
+#: Fixed value: a row of a service order.
 _ORDER_ROW = rf"(?i)^{_DATE}\s+\d+\s+(.*?)\s+(\d+(?:[.,]\d+)?)(?:\s+[\d.]+,\d{{2}}){{4}}\s*$"
 
 
@@ -228,6 +230,7 @@ _NUMBER_LABELS = (
     "NUMERODANOTAFISCAL", "NUMERODANOTA", "NUMERODANFSE", "NODANFSE", "NFDANFSE", "NOTAFISCALN", "WIMERODANOTAFISCAL",
     "MIMERODANOTAFISCAL", "NMERODANOTAFISCAL", "NOMERODANOTAFISCAL", "MERODANOTAFISCAL",
 )
+#: Fixed value: labels before a number on the same or the next lines.
 _LABELLED = r"(?iu)(?:N[ÚU]MERO\s+DA\s+(?:NFS-?E|NOTA(?:\s+FISCAL)?)|N[º°O]\s+DA\s+(?:NFS-?E|NOTA)|N[ÚU]MERO|N[º°O]|NOTA(?:\s+FISCAL)?\s*N[º°O]?)\s*[:.\-]?\s*(\d{1,9})\b"
 
 
@@ -272,6 +275,7 @@ def service_number(lines: Column | str) -> Column:
     return let(_compacted(ls), ladder)
 
 
+#: Labels of the provider's block and of its name (as compact text).
 _PROVIDER_LABELS = ("EMITENTEDANFSE", "PRESTADORFORNECEDOR", "PRESTADORDESERVICO", "DADOSDOPRESTADOR")
 _NAME_LABELS = ("RAZAOSOCIAL", "NOMEEMPRESARIAL", "NOMEDOPRESTADOR")
 
@@ -385,6 +389,7 @@ def service_invoice(lines: Column | str, positioned: Column | None = None) -> Co
     return F.coalesce(order, plain)
 
 
+#: A budget's row, and the numbers at its end.
 _BUDGET_ROW = r"(?iu)^([A-Z0-9][A-Z0-9._/-]{3,24})\s+(.+?)\s+(\d{8})\s+([A-ZÇ0-9²³]+)\s+(.+)$"
 _BUDGET_NUMBER = r"(?<![\d/])(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d{2,4})(?!\d)"
 
@@ -428,12 +433,20 @@ def order_total(text: Column | str) -> Column:
     return parse_number(F.nullif(F.regexp_extract(normalize(text), r"TOTAL\s+DO\s+PEDIDO\s+((?:\d{1,3}(?:\.\d{3})+|\d+),\d{2})", 1), F.lit("")))
 
 
-def budget_lines(pages: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
-    """All budget rows of some pages, with the order's total: by, page, line_no, item struct's fields, order_total."""
-    totals = pages.select(*by, order_total(text_col).alias("t"), "page").where("t IS NOT NULL").groupBy(*by).agg(F.min_by("t", "page").alias("order_total"))
+def order_totals(pages: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(by, order_total): the order's total on the first page that states one."""
+    return pages.select(*by, order_total(text_col).alias("t"), "page").where("t IS NOT NULL").groupBy(*by).agg(F.min_by("t", "page").alias("order_total"))
+
+
+def budget_rows(pages: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(by, page, line_no, item's fields): all budget rows of some pages."""
     rows = pages.select(*by, "page", F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    items = rows.select(*by, "page", "line_no", F.inline(F.array(budget_line("line")))).where("code IS NOT NULL")
-    return items.join(totals, list(by), "left")
+    return rows.select(*by, "page", "line_no", F.inline(F.array(budget_line("line")))).where("code IS NOT NULL")
+
+
+def budget_lines(pages: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
+    """budget_rows() with the order's total."""
+    return budget_rows(pages, by, text_col).join(order_totals(pages, by, text_col), list(by), "left")
 
 
 def arithmetic_confidence(quantity: Column, price: Column, total: Column) -> Column:

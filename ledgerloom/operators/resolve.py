@@ -22,6 +22,8 @@ ACCEPT_SCORE = 58.0
 TRANSPORT_SERVICE = "780007"
 #: Alternatives shown, and ranks kept to find them.
 ALTERNATIVES, RANKS = 5, 8
+#: Pairs of one block that a task makes, and the most tasks a block is dealt over.
+BLOCK_PAIRS, MOST_PARTS = 1_000_000, 10_000
 
 
 def _texts(catalog: DataFrame) -> DataFrame:
@@ -46,12 +48,30 @@ def _number_bonus(item: Column, row: Column, most: float, both: bool) -> Column:
     return F.when((F.size(a) > 0) & ((F.size(b) > 0) | F.lit(not both)), share).otherwise(0.0)
 
 
+def exact_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(item_id, idx): items(item_id, description) whose normalised description is a text of a catalog row."""
+    asked = items.select("item_id", normalize_description(F.coalesce("description", F.lit(""))).alias("text")).where("text <> ''")
+    return asked.join(_texts(catalog), "text").select("item_id", "idx").distinct()
+
+
+def token_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(item_id, idx): items(item_id, block) and catalog rows(idx, block) that share a block.
+
+    A common block would pair nearly everything with everything in one task. Blocks are therefore dealt over
+    as many tasks as their pairs ask for: its items are split by hash, and each part meets all its rows."""
+    weight = items.groupBy("block").agg(F.count("*").alias("n")).join(catalog.groupBy("block").agg(F.count("*").alias("m")), "block")
+    parts = weight.select("block", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") * F.col("m") / BLOCK_PAIRS)).cast("int").alias("parts"))
+    left = items.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")))
+    right = catalog.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    return left.select("item_id", "block", "part").join(right.select("idx", "block", "part"), ["block", "part"]).select("item_id", "idx").distinct()
+
+
 def product_candidates(items: DataFrame, catalog: DataFrame, service: bool = False) -> DataFrame:
     """(item_id, idx, score) for items(item_id, description, ncm): exact matches alone with 100, else scored pairs."""
-    asked = items.select("item_id", "description", F.coalesce("ncm", F.lit("")).alias("ncm"), normalize_description(F.coalesce("description", F.lit(""))).alias("q"))
-    exact = asked.join(_texts(catalog), F.col("q") == F.col("text")).select("item_id", "idx").distinct()
+    asked = items.select("item_id", "description", F.coalesce("ncm", F.lit("")).alias("ncm"))
+    exact = exact_candidates(asked, catalog)
     rest = asked.join(exact.select("item_id").distinct(), "item_id", "left_anti")
-    pairs = _blocks(rest, "item_id", "description").join(_blocks(catalog, "idx", "description", "description_extra"), "block").select("item_id", "idx").distinct()
+    pairs = token_pairs(_blocks(rest, "item_id", "description"), _blocks(catalog, "idx", "description", "description_extra"))
     facts = catalog.select("idx", F.col("description").alias("d1"), F.coalesce("description_extra", F.lit("")).alias("d2"), F.col("ncm").alias("row_ncm"))
     both = pairs.join(rest, "item_id").join(facts, "idx")
     score = F.greatest(description_score("description", "d1"), F.when(F.col("d2") != "", description_score("description", "d2")).otherwise(0.0))
@@ -66,7 +86,7 @@ def product_candidates(items: DataFrame, catalog: DataFrame, service: bool = Fal
 def budget_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """(item_id, idx, score) for budget items(item_id, description, ncm), the tax class counted for or against."""
     asked = items.select("item_id", "description", digits("ncm").alias("ncm"))
-    pairs = _blocks(asked, "item_id", "description").join(_blocks(catalog, "idx", "description", "description_extra"), "block").select("item_id", "idx").distinct()
+    pairs = token_pairs(_blocks(asked, "item_id", "description"), _blocks(catalog, "idx", "description", "description_extra"))
     facts = catalog.select("idx", F.coalesce("description", F.lit("")).alias("d1"), F.coalesce("description_extra", F.lit("")).alias("d2"), digits("ncm").alias("row_ncm"))
     both = pairs.join(asked, "item_id").join(facts, "idx")
     score = F.greatest(budget_score("description", "d1"), F.when(F.col("d2") != "", budget_score("description", "d2")).otherwise(0.0))

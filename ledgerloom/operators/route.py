@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, page_range
 from ..functions.text import clean_text, first_non_blank
-from .extract import NO_COMPANY, NO_NUMBER
+from .extract import NO_COMPANY, NO_NUMBER, budget_rows, order_totals
 from .resolve import correlate_products, correlate_services, correlate_transport, override_services
 
 #: Columns that never leave the review, and those that an export leaves out besides.
@@ -68,10 +68,21 @@ def failed_segment(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("page_count"))).alias("pages"), F.lit("OUTRO").alias("document_type"), F.lit(25.0).alias("confidence"))
 
 
-def prefer_native(native: DataFrame, read: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Budget rows from native text, or from the page images where a file has none; `source_confidence` tells which."""
-    keys = native.select(*by).distinct()
-    return native.withColumn("source_confidence", F.lit(96.0)).unionByName(read.join(keys, list(by), "left_anti").withColumn("source_confidence", F.lit(92.0)), allowMissingColumns=True)
+def deep_budget(native: DataFrame, read: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Budget rows of files: native(by, page, text) is a file's own text, read(by, page, text) that of its page images.
+
+    A file's own rows stand if it has some and states the order's total. Else the images' rows replace them where
+    there are any, and give the total if the text doesn't. `source_confidence` is 96, else 92."""
+    keys = list(by)
+    own_rows, read_rows = budget_rows(native, keys), budget_rows(read, keys)
+    facts = native.select(*keys).union(read.select(*keys)).distinct()
+    facts = facts.join(order_totals(native, keys).withColumnRenamed("order_total", "_own"), keys, "left").join(order_totals(read, keys).withColumnRenamed("order_total", "_read"), keys, "left")
+    for rows, name in ((own_rows, "_rows"), (read_rows, "_more")):
+        facts = facts.join(rows.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    stands = F.col("_rows") & F.col("_own").isNotNull()
+    plan = facts.select(*keys, (~stands & F.col("_more")).alias("_images"), F.coalesce("_own", F.when(~stands, F.col("_read"))).alias("order_total"), F.when(stands, 96.0).otherwise(92.0).alias("source_confidence"))
+    rows = own_rows.withColumn("_images", F.lit(False)).unionByName(read_rows.withColumn("_images", F.lit(True)))
+    return rows.join(plan, [*keys, "_images"]).drop("_images")
 
 
 def merge_lines(native: DataFrame, read: DataFrame, by: Sequence[str], norm: Column, line_no: str = "line_no") -> DataFrame:

@@ -57,6 +57,18 @@ SIMPLE_KEYS: dict[str, tuple[str, ...]] = {
     "BOLETO": ("RECIBO DO PAGADOR", "COMPROVANTE DE ENTREGA", "NOSSO NUMERO", "VALOR DO DOCUMENTO", "LINHA DIGITAVEL"),
     "NFE": ("DANFE", "NATUREZA DA OPERACAO", "DADOS DOS PRODUTOS", "NF-E", "RECEBEMOS DE"),
 }
+#: Titles (as compact text) that tell a page's kind without more, and the characters a page's own text needs.
+TITLES = ("DANFE", "DANFSE", "LISTADEEMBARQUE", "NOTADEDEBITO")
+LEAST_TEXT = 220
+#: Words of transport documents whose title is missing, and words that speak against one.
+TRANSPORT_TITLE = ("DOCUMENTO", "AUXILIAR", "TRANSPOR", "ELETR")
+TRANSPORT_PARTS, TRANSPORT_ORIGINS = ("DESTE CT", "EMITENTE CT"), "DOCUMENTOS ORIGINARIOS"
+NOT_TRANSPORT = ("NOTA FISCAL", "DANFE", "NF-E")
+#: Words of item tables and of services, and titles of pages that are other documents whatever else they say.
+TABLE_HEADS, TABLE_CODE = ("CODIGO", "NCM", "CFOP"), "CODPRODUTO"
+TABLE_COLUMNS = ("QUANTIDADE", "VALORUNITARIO", "VALORTOTAL", "DADOSDOSPRODUTOS", "PRODUTO")
+SERVICE_WORDS = ("DISCRIMINACAO", "SERVICOPRESTADO", "ISSQN", "RETENCOES", "VALORTOTALDANFSE", "DADOSDANFSE")
+OTHER_TITLES = ("LISTADEEMBARQUE", "NOTADEDEBITO")
 #: Order that decides between equal scores.
 CLASSES = ("NFSE", "NFE", "BOLETO", "CTE")
 DOCUMENT_TYPES = ("NFE", "NFSE", "CTE", "BOLETO", "OUTRO")
@@ -71,6 +83,11 @@ class RuleSet:
     least: int = 3
     lead: int = 1
 
+    @property
+    def classes(self) -> tuple[str, ...]:
+        """The classes, in the order that decides between equal scores."""
+        return CLASSES if set(self.points) <= set(CLASSES) else tuple(self.points)
+
     def score(self, kind: str, u: Column, c: Column) -> Column:
         keyed = [F.when(F.contains(u, F.lit(k)) | F.contains(c, F.lit(k.replace(" ", ""))), n).otherwise(0) for k, n in self.points.get(kind, ())]
         matched = [F.when(u.rlike(p), n).otherwise(0) for p, n in self.patterns.get(kind, ())]
@@ -108,22 +125,23 @@ def classify_pages(pages: DataFrame, text_col: str = "text", rules: RuleSet | No
     base = pages.withColumn("_u", normalize(F.coalesce(F.col(text_col), F.lit(""))))
     base = base.withColumn("_c", F.regexp_replace("_u", "[^A-Z0-9]", ""))
     u, c = F.col("_u"), F.col("_c")
-    for kind in CLASSES:
+    for kind in rules.classes:
         base = base.withColumn(f"_{kind}", rules.score(kind, u, c))
     # without a keyword of its own a transport document is known by its structure only
-    structure = ((F.contains(u, F.lit("DOCUMENTO")) & F.contains(u, F.lit("AUXILIAR")) & F.contains(u, F.lit("TRANSPOR")) & F.contains(u, F.lit("ELETR"))) | (any_contained(u, ("DESTE CT", "EMITENTE CT")) & F.contains(u, F.lit("DOCUMENTOS ORIGINARIOS")))) & ~any_contained(u, ("NOTA FISCAL", "DANFE", "NF-E"))
-    base = base.withColumn("_CTE", F.when(F.col("_CTE") > 0, F.col("_CTE")).when(structure, 6).otherwise(0))
-    winner, best, second = top_two({k: F.col(f"_{k}") for k in CLASSES})
+    titled = reduce(lambda a, b: a & b, [F.contains(u, F.lit(k)) for k in TRANSPORT_TITLE])
+    structure = (titled | (any_contained(u, TRANSPORT_PARTS) & F.contains(u, F.lit(TRANSPORT_ORIGINS)))) & ~any_contained(u, NOT_TRANSPORT)
+    if "CTE" in rules.classes:
+        base = base.withColumn("_CTE", F.when(F.col("_CTE") > 0, F.col("_CTE")).when(structure, 6).otherwise(0))
+    winner, best, second = top_two({k: F.col(f"_{k}") for k in rules.classes})
     base = base.withColumn("_best", best).withColumn("_second", second).withColumn("_winner", winner)
 
-    table = (any_contained(u, ("CODIGO", "NCM", "CFOP")) | F.contains(c, F.lit("CODPRODUTO"))) & any_contained(c, ("QUANTIDADE", "VALORUNITARIO", "VALORTOTAL", "DADOSDOSPRODUTOS", "PRODUTO"))
-    service = any_contained(c, ("DISCRIMINACAO", "SERVICOPRESTADO", "ISSQN", "RETENCOES", "VALORTOTALDANFSE", "DADOSDANFSE"))
-    other = any_contained(c, ("LISTADEEMBARQUE", "NOTADEDEBITO"))
+    table = (any_contained(u, TABLE_HEADS) | F.contains(c, F.lit(TABLE_CODE))) & any_contained(c, TABLE_COLUMNS)
+    service, other = any_contained(c, SERVICE_WORDS), any_contained(c, OTHER_TITLES)
     won = (F.col("_best") >= rules.least) & (F.col("_best") >= F.col("_second") + rules.lead)
     kind = F.when(other, "OUTRO").when(won, F.col("_winner")).when(service & ~table, "NFSE").when(table & ~service, "NFE").otherwise("OUTRO")
     sure = F.least(F.lit(99.0), 55.0 + F.col("_best") * 6.0 + (F.col("_best") - F.col("_second")) * 5.0)
     confidence = F.when(other, 98.0).when(won, sure).when(service != table, 56.0).when(u == "", 30.0).otherwise(42.0)
-    return base.withColumn("kind", kind).withColumn("kind_confidence", confidence).drop("_u", "_c", "_best", "_second", "_winner", *[f"_{k}" for k in CLASSES])
+    return base.withColumn("kind", kind).withColumn("kind_confidence", confidence).drop("_u", "_c", "_best", "_second", "_winner", *[f"_{k}" for k in rules.classes])
 
 
 def header_tokens(text: Column | str, keywords: Sequence[str] = HEADER_KEYWORDS) -> Column:
@@ -134,17 +152,19 @@ def header_tokens(text: Column | str, keywords: Sequence[str] = HEADER_KEYWORDS)
     return let(c, lambda c: F.filter(literal_array(sorted(keywords)), lambda k: F.contains(c, k)))
 
 
-def native_text_is_enough(text: Column | str, confidence: Column | str, labels: Sequence[str] = ("EMITENTE", "PRESTADOR", "TOMADOR", "CHAVE DE ACESSO", "NUMERO", "VALOR")) -> Column:
-    """Whether a page needs no reading of its image: long enough, and classified or full of labels."""
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    u = normalize(t)
-    found = reduce(lambda a, b: a + b, [F.contains(u, F.lit(x)).cast("int") for x in labels])
-    return (F.length(t) >= 220) & ((F.col(confidence) if isinstance(confidence, str) else confidence).__ge__(65) | (found >= 4))
+def _stripped(text: Column | str) -> Column:
+    """Text without white space of any kind at its ends; empty for null."""
+    return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def native_text_is_enough(text: Column | str, confidence: Column | str, titles: Sequence[str] = TITLES) -> Column:
+    """Whether a page needs no reading of its image: long enough, and surely classified or with a document's title."""
+    sure = (F.col(confidence) if isinstance(confidence, str) else confidence) >= 65
+    return let(_stripped(text), lambda t: (F.length(t) >= LEAST_TEXT) & (sure | any_contained(compact(t), titles)))
 
 
 def needs_reading(text: Column | str, confidence: Column | str) -> Column:
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return (F.length(F.trim(t)) < 220) | ((F.col(confidence) if isinstance(confidence, str) else confidence) < 65)
+    return (F.length(_stripped(text)) < LEAST_TEXT) | ((F.col(confidence) if isinstance(confidence, str) else confidence) < 65)
 
 
 def document_type(c: Column | str) -> Column:

@@ -3,7 +3,7 @@ import os
 import pytest
 from helpers import SMALL, assert_same, connect
 
-from ledgerloom.plans import queries
+from ledgerloom.plans import fiscal, queries  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
 
