@@ -261,17 +261,6 @@ def catalog_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("a", "b", F.round(F.greatest("r", "t"), 4).alias("best"), F.round(F.least("r", "t"), 4).alias("least"))
 
 
-@query()
-def catalog_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt part names resolved against the catalog of distinct texts, with notes and candidates."""
-    part = _table(spark, sf_dir, "part")
-    texts = part.groupBy(F.concat_ws(" ", "p_type", "p_name").alias("Descrição")).agg(F.min("p_partkey").alias("p_partkey")).withColumn("Código", F.col("p_partkey"))
-    catalog = files.prepare_catalog(texts, order="p_partkey")
-    items = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(F.col("k").cast("string").alias("item_id"), F.translate("p_name", "i", "l").alias("description"), F.lit(90.0).alias("ocr_confidence"))
-    rows = resolve.correlate_products(items, catalog)
-    return rows.select("item_id", "description", "code", "catalog_description", "confidence", "notes", F.size("candidates").alias("n_candidates"))
-
-
 @query()
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_type", "p_name").alias("Descrição")).agg(F.min("p_partkey").alias("p_partkey")).withColumn("Código", F.col("p_partkey"))
