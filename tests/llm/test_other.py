@@ -313,7 +313,12 @@ def test_placement_equals_brute_force(spark, tmp_path):
     found = {r.doc_id: (r.slot, r.shard) for r in sharding.op6_sharding(spark, str(tmp_path)).collect()}
     size, names = sharding.TABLE_SIZE, sharding.SHARDS
     number = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-    wishes = {n: ((number(f"offset:{n}") + j * (number(f"step:{n}") % (size - 1) + 1)) % size for j in range(size)) for n in names}
+
+    def preferences(name):
+        offset, step = number(f"offset:{name}"), number(f"step:{name}") % (size - 1) + 1
+        return ((offset + j * step) % size for j in range(size))
+
+    wishes = {n: preferences(n) for n in names}
     owner = {}
     while len(owner) < size:
         for n in names:
