@@ -261,12 +261,6 @@ def catalog_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("a", "b", F.round(F.greatest("r", "t"), 4).alias("best"), F.round(F.least("r", "t"), 4).alias("least"))
 
 
-@query()
-def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_type", "p_name").alias("Descrição")).agg(F.min("p_partkey").alias("p_partkey")).withColumn("Código", F.col("p_partkey"))
-    return resolve.search_catalog(files.prepare_catalog(part, order="p_partkey"), "economy red widgets", 20)
-
-
 @query("""
 SELECT o_orderkey::VARCHAR AS item_id, CASE WHEN c_custkey IS NULL THEN '' ELSE c_custkey::VARCHAR END AS code, coalesce(c_name, '-') AS catalog_description,
        CASE WHEN c_custkey IS NULL THEN 69.0 ELSE 90.0 END AS confidence FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2
