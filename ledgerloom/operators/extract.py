@@ -106,14 +106,39 @@ def goods_invoice_number(lines: Column | str) -> Column:
     return F.coalesce(first_of(F.transform(head, of)), F.lit(NO_NUMBER))
 
 
+#: Patterns of the receipt that names the issuer, in the order in which they are tried.
+RECEIVED_FROM = (
+    r"(?is)RECEBEMOS\s+DE\s+(.+?)\s+(?:OS\s+PRODUTOS(?:\s+E/?OU\s+SERVI[CÇ]OS)?|OS\s+SERVI[CÇ]OS)\s+CONSTANTES",
+    r"(?is)RECEBEMOS\s+DE\s+(.+?)(?:\s+OS\s+PRODUTOS|\s+OS\s+SERVI[CÇ]OS)",
+)
+#: Words of lines that name no issuer: legal names, text before the title, lines beside the title.
+NOT_ISSUER = ("DESTINATARIO", "REMETENTE", "TRANSPORTADOR", "DOCUMENTO AUXILIAR", "NOTA FISCAL", "SERIE", "CONTROLE DO FISCO")
+NOT_BEFORE_TITLE = ("DOCUMENTO AUXILIAR", "NOTA FISCAL", "CONTROLE DO FISCO")
+NOT_BESIDE_TITLE = ("DOCUMENTO AUXILIAR", "NOTA FISCAL", "CHAVE DE ACESSO", "CONTROLE DO FISCO", "SERIE", "IDENTIFICACAO DO EMITENTE")
+
+
+def _unless(name: Column, refused: Sequence[str] = ()) -> Column:
+    """name if it has four letters or digits and more and none of the refused words, else null."""
+    ok = lambda u: (F.length(u) >= 4) & (~any_contained(u, refused) if refused else F.lit(True))
+    return F.when(let(normalize_description(name), ok), name)
+
+
 def goods_invoice_issuer(lines: Column | str) -> Column:
-    """Issuer: "received from ... the products", a legal name in the first 45 lines, or the text before the title."""
+    """Issuer of a goods invoice: whom the receipt names, a legal name in the first 45 lines, or the text before or
+    beside the title in the first 40."""
     ls = _col(lines)
-    full = F.array_join(ls, " ")
-    received = clean_company(F.regexp_extract(full, r"(?is)RECEBEMOS\s+DE\s*:?\s*(.{4,120}?)\s*,?\s*(?:OS|AS)\s+(?:PRODUTOS|MERCADORIAS)", 1))
-    legal = first_of(F.transform(F.slice(ls, 1, 45), lambda x: F.when(looks_like_company(clean_company(x)), clean_company(x))))
-    titled = first_of(F.transform(ls, lambda x: clean_company(F.regexp_extract(x, r"(?i)^(.{4,}?)\s+DANFE\b", 1))))
-    return F.coalesce(F.nullif(received, F.lit("")), legal, titled, F.lit(NO_COMPANY))
+    full = F.array_join(ls, "\n")
+    received = F.coalesce(*[_unless(clean_company(F.regexp_extract(full, p, 1))) for p in RECEIVED_FROM])
+
+    def legal(x: Column) -> Column:
+        return let(company_candidate(x), lambda n: F.when(looks_like_company(n) & ~any_contained(normalize(n), NOT_ISSUER), n))
+
+    def titled(x: Column, i: Column) -> Column:
+        before = _unless(clean_company(F.regexp_extract(x, r"(?is)^(.*?)\bDANFE\b", 1)), NOT_BEFORE_TITLE)
+        beside = [_unless(clean_company(F.get(ls, at)), NOT_BESIDE_TITLE) for at in (i - 1, i + 1)]
+        return F.when(F.contains(normalize(x), F.lit("DANFE")), F.coalesce(before, F.when(i > 0, beside[0]), beside[1]))
+
+    return F.coalesce(received, first_of(F.transform(F.slice(ls, 1, 45), legal)), first_of(F.transform(F.slice(ls, 1, 40), titled)), F.lit(NO_COMPANY))
 
 
 def transport_document(lines: Column | str) -> Column:

@@ -351,13 +351,14 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn % 3 ELSE 0 END AS n FROM conversations),
+WITH f AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn % 8 ELSE 0 END AS n FROM conversations),
 t AS (SELECT conv_id, turn, unnest(range(1, n + 2)) AS attempt FROM f)
-SELECT conv_id, turn, attempt::INT AS attempt, row_number() OVER (PARTITION BY conv_id ORDER BY attempt, turn)::INT AS place FROM t
+SELECT conv_id, turn, attempt::INT AS attempt, row_number() OVER (PARTITION BY conv_id ORDER BY attempt, turn)::INT AS place,
+       CASE WHEN attempt <= 5 THEN [0.0, 30.0, 90.0, 210.0, 390.0][attempt] ELSE 390.0 + 180.0 * (attempt - 5) END::DOUBLE AS not_before FROM t
 """)
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
-    failed = turns.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") % 3).alias("n"))
+    failed = turns.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") % 8).alias("n"))
     return progress.queue_order(turns.select("conv_id", "turn"), failed, "conv_id", "turn")
 
 

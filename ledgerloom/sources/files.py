@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import ascii_filename, digits, normalize_description
 
+#: Fixed value: bytes of a document beyond which it isn't read.
+MOST_BYTES = 50 * 1024 * 1024
 _MEMBERS = "file_id string, name string, content binary, error string"
 
 
@@ -26,25 +28,27 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("path", 256).alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
-def expand_uploads(uploads: DataFrame, suffix: str = ".pdf") -> DataFrame:
+def expand_uploads(uploads: DataFrame, suffix: str = ".pdf", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(file_id, name, content, error): documents kept, members of archives under their own name.
 
-    error tells why a file or member isn't a document; its content is null then."""
+    error tells why a file or member isn't a document, or is too large a one; its content is null then. A member
+    that is too large is known by the archive's list and isn't unpacked."""
+    too_large = f"larger than {most_bytes} bytes"
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, name, content in zip(batch["file_id"], batch["name"], batch["content"], strict=True):
                 if not name.lower().endswith(".zip"):
-                    good = name.lower().endswith(suffix)
-                    rows = [(file_id, name, content if good else None, None if good else "neither a document nor an archive")]
+                    error = "neither a document nor an archive" if not name.lower().endswith(suffix) else too_large if len(content) > most_bytes else None
+                    rows = [(file_id, name, None if error else content, error)]
                 else:
                     try:
                         with zipfile.ZipFile(io.BytesIO(content)) as archive:
                             for entry in archive.infolist():
                                 if not entry.is_dir():
                                     own = entry.filename.rpartition("/")[2]
-                                    good = own.lower().endswith(suffix)
-                                    yield pd.DataFrame([(file_id, own, archive.read(entry) if good else None, None if good else "member is not a document")], columns=["file_id", "name", "content", "error"])
+                                    error = "member is not a document" if not own.lower().endswith(suffix) else too_large if entry.file_size > most_bytes else None
+                                    yield pd.DataFrame([(file_id, own, None if error else archive.read(entry), error)], columns=["file_id", "name", "content", "error"])
                         continue
                     except zipfile.BadZipFile:
                         rows = [(file_id, name, None, "not a valid archive")]

@@ -64,12 +64,16 @@ def round_robin(pages: DataFrame, file_col: str, page_col: str) -> DataFrame:
     return pages.withColumn("turn", F.row_number().over(order))
 
 
-def queue_order(pages: DataFrame, failures: DataFrame, file_col: str = "file_id", page_col: str = "page") -> DataFrame:
-    """(file, page, attempt, place): attempts of a file's pages in the order of a queue that puts failures last.
+def queue_order(pages: DataFrame, failures: DataFrame, file_col: str = "file_id", page_col: str = "page", delays: Sequence[float] = RETRY_DELAYS) -> DataFrame:
+    """(file, page, attempt, place, not_before): attempts of a file's pages in the order of a queue that puts failures last.
 
-    pages(file, page), failures(file, page, n): attempt k of all pages comes before attempt k + 1 of any."""
+    pages(file, page), failures(file, page, n): attempt k of all pages comes before attempt k + 1 of any. not_before
+    is the sum of the delays that a page's failures so far have cost, in seconds."""
     tries = pages.join(failures, [file_col, page_col], "left").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(0)).cast("int") + 1)))
-    return tries.select(file_col, page_col, "attempt", F.row_number().over(W.partitionBy(file_col).orderBy("attempt", page_col)).alias("place"))
+    steps = [sum(delays[:k]) for k in range(len(delays) + 1)]
+    known = F.get(F.array(*map(F.lit, steps)), F.least(F.col("attempt") - 1, F.lit(len(delays))))
+    waited = known + F.greatest(F.lit(0), F.col("attempt") - 1 - len(delays)) * F.lit(delays[-1])
+    return tries.select(file_col, page_col, "attempt", F.row_number().over(W.partitionBy(file_col).orderBy("attempt", page_col)).alias("place"), waited.cast("double").alias("not_before"))
 
 
 def latest_state(events: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -135,6 +135,8 @@ def test_uploads_and_pages(spark):
     found = files.expand_uploads(uploads)
     assert sorted(r.name for r in found.where("error IS NULL").collect()) == ["a.pdf", "c.pdf"]
     assert sorted(r.file for r in files.rejected_rows(found).collect()) == ["b.txt", "d.zip", "e.doc"]
+    small = files.expand_uploads(uploads, most_bytes=5)
+    assert sorted((r.name, r.content is None) for r in small.where("name LIKE '%.pdf'").collect()) == [("a.pdf", True), ("c.pdf", False)]
 
     def split(content):
         if content == b"three":
