@@ -14,6 +14,8 @@ BROADCAST_ROWS = 20_000
 
 #: Ids with more edges than HUB_ROWS, and than their share of all edges if HUBS shared them, have their label broadcast.
 HUB_ROWS, HUBS = 1_000, 20_000
+#: Rounds of components are written by no more tasks than one for so many edges.
+EDGES_PER_TASK = 10_000
 
 #: Words are runs of anything but the six ASCII white-space characters, as bytes.split() sees them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,7 +90,7 @@ def _with_least(rows: DataFrame, total: int) -> DataFrame:
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     if total <= bound:
         return rows.join(least.select("u", "m"), "u")
-    hubs = stage(least.where(F.col("n") > bound).select("u", "m"), "hubs")
+    hubs = stage(least.where(F.col("n") > bound).select("u", "m").coalesce(1 + total // EDGES_PER_TASK), "hubs")
     if hubs.isEmpty():
         return rows.join(least.select("u", "m"), "u")
     plain = least.where(F.col("n") <= bound).select("u", "m")
@@ -112,15 +114,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             return flow.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 flow.select("v", "v").distinct()
             )
-        seen = now
+        seen, tasks = now, 1 + now[0] // EDGES_PER_TASK
         both = flow.union(flow.select("v", "u"))
         low = _with_least(both, 2 * now[0]).where("v > u")
         # every edge of `large` already points from the larger id to the smaller one
         large = low.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = stage(large.distinct(), "large-star") if now[0] > HUB_ROWS else large
+        large = stage(large.distinct().coalesce(tasks), "large-star") if now[0] > HUB_ROWS else large
         least = _with_least(large, now[0])
         small_star = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        flow = stage(small_star.distinct(), "components")
+        flow = stage(small_star.distinct().coalesce(tasks), "components")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("ledgerloom.llm")
 
-from ledgerloom.llm import langid, mixing, packing, quality, sharding, toolcalls, urlfilter  # noqa: E402
+from ledgerloom.llm import langid, mixing, packing, quality, sharding, similar, simhash, substring, toolcalls, urlfilter  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -86,12 +86,12 @@ def plain_best_fit(histogram, capacity=1024):
 def test_configurations_use_up_the_histogram_and_beat_best_fit():
     rng = random.Random(8)
     six = (113, 241, 367, 409, 521, 613)
-    uniform = np.bincount(np.random.default_rng(7).integers(1, 1025, 20_000))
+    uniform = np.bincount(np.random.default_rng(7).integers(1, 1025, 6_000))
     for sizes in (
         {1: 5}, {513: 9}, {600: 100, 300: 100, 400: 50, 124: 300}, {1024: 3}, {}, {rng.randint(1, 1024): rng.randint(1, 9) for _ in range(300)},
         {k: rng.randint(2000, 4000) for k in six}, {k: rng.randint(1, 90_000) for k in range(400, 700, 7)}, {i: int(n) for i, n in enumerate(uniform) if n},
     ):
-        plan, used = packing.solve_configurations(sizes, priced=60_000), {}
+        plan, used = packing.solve_configurations(sizes, priced=20_000), {}
         for counts, n in plan:
             assert n > 0 and sum(k * a for k, a in counts.items()) <= 1024
             for k, a in counts.items():
@@ -292,6 +292,19 @@ def test_canonical_json():
     assert toolcalls.schema_error({"x": float("nan")}, TOOLS["add"]) == "x: not of type integer"
 
 
+def test_texts_of_megabytes(spark):
+    words = " ".join(f"w{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, words, "en", "s"), (2, "start " + words, "en", "s"), (3, "L" * 3_000_000, "en", "s"), (4, "a b\n" * 500_000, "en", "s")], DOCS)
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert cut == {1: (400_000, 0), 2: (400_001, 400_000), 3: (1, 0), 4: (1_000_000, 0)}
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert found[2].n_words == 400_001 and found[3].word_chars == 3_000_000 and found[4].n_repeat_words == 1_000_000 and found[4].n_dup_lines == 499_999
+    assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    packed = packing.pack_documents(docs.where("doc_id > 2")).groupBy("sequence_id").sum("length").collect()
+    assert max(r[1] for r in packed) == 1024
+
+
 def test_arguments_that_a_model_may_write(spark):
     bad = {"deep": ("[" * 200_000, "nested too deeply"), "half": ('{"x": "\\ud800"}', "half a surrogate pair"), "nan": ('{"x": NaN}', "not JSON"), "inf": ('{"x": -Infinity}', "not JSON"), "huge": ('{"x": 1e999}', "not JSON"), "null": (None, "not JSON"), "digits": ("9" * 5000, "not JSON")}
     calls = [(1, k, i, "add", text, []) for i, (k, (text, _)) in enumerate(bad.items())]
