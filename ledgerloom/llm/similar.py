@@ -6,10 +6,12 @@ per block, under BLOCK_BITS of the fingerprint's bits and an anchor, the smalles
 block's own hash. Bits alone would need hundreds of blocks at this similarity, and ever more in a larger
 table, as unrelated fingerprints agree by chance; they hardly ever share an anchor, so the number of blocks
 depends on the similarity and the RECALL at exactly the threshold alone (`blocks_for`). Pairs in a block are
-kept if their fingerprints' Hamming distance allows the similarity, and then verified by their shingle sets.
+kept if their fingerprints' Hamming distance allows the similarity.
 
-Groups of near copies never emit all their pairs: members of a block are first verified against one smallest
-id each, those links are contracted, and only members of different components are compared with each other.
+Groups of near copies never emit all their pairs. A block's key with more than FEW sets compares them with one
+of them, a pivot; those that aren't near it go on to another pivot. What pivots and small keys connect are
+regions, and no pair outside a region can be similar if its fingerprints met. Within a region the shingle sets
+themselves are compared, tile by tile; a tile returns each set's link to its local root, never its pairs.
 
 Defined results: null texts and texts without words have the empty set and are copies of each other; a text
 shorter than a shingle has one shingle, itself; rows with equal ids are one document, linked if any of their
@@ -21,8 +23,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +43,11 @@ LANES = 4
 FP_BITS = 64 * LANES
 #: Standard deviations by which a pair's distance may exceed what its similarity makes likely.
 SLACK = 4.0
-#: A document that many are verified against is copied once for each so many of them.
-FAN = 500
-#: Ids of documents to verify are broadcast up to so many.
+#: Sets of one key that are compared with each other at once, and how often larger keys choose a pivot before the same is done with what is left.
+FEW, TURNS = 16, 8
+#: Sets on one side of a tile.
+TILE = 256
+#: Ids of sets in regions are broadcast up to so many.
 WANTED = 200_000
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -104,71 +110,115 @@ def shingle_sets(docs: DataFrame, shingle: int, blocks: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in _NAMES) + ", keys array<long>")
 
 
-def _distance(a: str, b: str, lanes: int) -> Column:
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0))
-
-
 def _bound(bits: int, similarity: float) -> int:
+    """Bits in which two fingerprints of so many may differ at the similarity."""
     p = differing(similarity)
     return math.ceil(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose sizes and fingerprints allow the similarity."""
+def _near(a: str, b: str, lanes: int, similarity: float) -> Column:
+    """Whether lanes a0, a1, ... and b0, b1, ... are near enough."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0)) <= _bound(64 * lanes, similarity)
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of sets(rep, f0, keys) that meet in a block and are near by their first lane: enough of them to connect
+    all that are."""
+    rows = sets.select(F.explode("keys").alias("key"), "rep", F.col("f0").alias("m0"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    open_rows, found = stage(rows.join(shared, "key"), "blocks"), []
+    for turn in range(TURNS + 1):
+        few = open_rows if turn == TURNS else open_rows.where(F.col("size") <= FEW)
+        x, y = (few.select("key", *[F.col(c).alias(s + c[-1] if c == "m0" else s) for c in ("rep", "m0")]) for s in ("x", "y"))
+        found.append(stage(x.join(y, "key").where((F.col("x") < F.col("y")) & _near("x", "y", 1, similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs"))
+        if turn == TURNS:
+            break
+        many = open_rows.where(F.col("size") > FEW).drop("size")
+        order = F.xxhash64("rep", F.lit(turn))
+        pivots = many.groupBy("key").agg(F.min_by("rep", order).alias("p"), F.min_by("m0", order).alias("p0"))
+        met = stage(many.join(pivots, "key").where("rep <> p"), "pivots")
+        if met.isEmpty():
+            break
+        found.append(stage(met.where(_near("m", "p", 1, similarity)).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "stars"))
+        rest = met.where(~_near("m", "p", 1, similarity)).select("key", "rep", "m0")
+        open_rows = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "blocks")
+    return reduce(DataFrame.union, found).distinct()
+
+
+def regions(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(rep, region): what pairs(a, b) connect whose sizes and whole fingerprints allow the similarity."""
     left, right = (sets.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), *[F.col(f"f{i}").alias(f"{s}{i}") for i in range(LANES)]) for s in ("a", "b"))
     sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
-    return pairs.join(left, "a").join(right, "b").where(sized & (_distance("a", "b", LANES) <= _bound(FP_BITS, similarity))).select("a", "b").distinct()
+    near = pairs.join(left, "a").join(right, "b").where(sized & _near("a", "b", LANES, similarity))
+    return stage(connected_components(near, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("region")), "regions")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of elements that each two of some sets of numbers share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    values, place, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    keep = times[place] > 1
+    owner, place = owner[keep], np.cumsum(times > 1)[place[keep]] - 1
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, b = np.searchsorted(place, [low, low + 4096])
+        has = np.zeros((n, 4096), np.float32)
+        has[owner[a:b], place[a:b] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def _tile_links(similarity: float):
+    """(a, b): links of some tiles' sets to the smallest set they reach there."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in part.groupby(["region", "i", "j"], sort=False):
+            rep, side = tile["rep"].to_numpy(), tile["side"].to_numpy()
+            sets = [np.frombuffer(h, np.uint64) for h in tile["hs"]]
+            size = np.array([len(x) for x in sets], np.float64)
+            shared = shared_counts(sets).astype(np.float64)
+            near = shared >= similarity * (size[:, None] + size[None, :] - shared)
+            if tile["i"].iat[0] != tile["j"].iat[0]:
+                near &= side[:, None] != side[None, :]
+            a, b = np.nonzero(near)
+            low = rep.copy()
+            while len(a):
+                before = low.copy()
+                np.minimum.at(low, a, low[b])
+                if (before == low).all():
+                    break
+            out.append(pd.DataFrame({"a": rep[low != rep], "b": low[low != rep]}))
+        return pd.concat(out)
+
+    return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose shingle sets are similar; docs(doc_id, t binary)."""
+def linked(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(rep, root) of every set that has a link; docs(doc_id, t binary), sets(rep, n, fingerprint, keys)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.lower() if t else t, shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hs"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                same.append(shared >= similarity * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    pairs = stage(pairs, "pairs")
-    wanted = small(stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted"), WANTED)
-    sets = stage(docs.join(wanted, "doc_id").select("doc_id", "t").mapInArrow(hashed, "id long, hs binary"), "shingle-sets")
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("copies"))
-    left = fans.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("hs").alias("ha"))
-    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("copy"))
-    both = dealt.join(left, ["a", "copy"]).join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hb")), "b").select("a", "b", "ha", "hb")
-    return stage(both.mapInArrow(compare, "a long, b long").distinct(), "verified")
-
-
-def linked(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(rep, root) of every set that has a link; docs(doc_id, t binary), sets(rep, n, fingerprint, keys)."""
-    rows = sets.select(F.explode("keys").alias("key"), "rep", "f0")
-    shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    members = stage(rows.join(shared, "key"), "blocks")
-    stars = _plausible(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets, similarity)
-    # one pair a set now; what the others would add is seen below, between components
-    first = connected_components(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, shingle, similarity), "a", "b")
-    first = stage(first.select(F.col("id").alias("rep"), F.col("component").alias("root")), "first-links")
-
-    labelled = members.join(first, "rep", "left").select("key", "rep", "f0", F.coalesce("root", "rep").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = stage(labelled.join(mixed, "key"), "mixed")
-    x, y = (open_rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "f0", "root")]) for s in ("x", "y"))
-    near = F.bit_count(F.col("x_f0").bitwiseXOR(F.col("y_f0"))) <= _bound(64, similarity)
-    pairs = x.join(y, "key").where((F.col("x_root") < F.col("y_root")) & near).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    links = verified(_plausible(pairs, sets, similarity), docs, shingle, similarity)
-    labels = sets.select("rep").join(first, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    between = links.join(labels.select(F.col("rep").alias("a"), F.col("root").alias("u")), "a").join(labels.select(F.col("rep").alias("b"), F.col("root").alias("v")), "b")
-    second = connected_components(between, "u", "v").select(F.col("id").alias("root"), F.col("component").alias("top"))
-    out = labels.join(second, "root", "left").select("rep", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("again"))
-    return stage(out.where("rep <> root OR again").select("rep", "root"), "links")
+            found = [shingle_hashes(t.lower() if t else t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["rep", "hs", "region"])
+
+    near = regions(candidates(sets, similarity), sets, similarity)
+    wanted = small(near.select(F.col("rep").alias("doc_id"), "region"), WANTED)
+    rows = stage(docs.join(wanted, "doc_id").select("doc_id", "t", "region").mapInArrow(hashed, "rep long, hs binary, region long"), "shingle-sets")
+    sizes = stage(rows.groupBy("region").agg(F.count("*").alias("size")), "region-sizes")
+    sized = rows.join(small(sizes, WANTED), "region").withColumn("k", F.ceil(F.col("size") / TILE))
+    tiles = (
+        sized.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("k")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        .withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    )
+    # regions of one tile share groups of about TILE sets; each larger one has a group per tile
+    group = F.when(F.col("size") <= TILE, F.pmod(F.xxhash64("region"), F.lit(max(1, rows.count() // TILE)))).otherwise(F.xxhash64("region", "i", "j"))
+    links = tiles.withColumn("g", group).select("g", "region", "i", "j", "side", "rep", "hs").groupBy("g").applyInPandas(_tile_links(similarity), "a long, b long")
+    return stage(connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("root")), "links")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
