@@ -22,7 +22,6 @@ give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -219,19 +218,19 @@ def document_weights(docs: DataFrame, found: DataFrame, gains: np.ndarray, shard
     return counted.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(weigh, "doc_id long, n_words long, n_features long, weight long")
 
 
-def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS, longest: int = MAX_GRAM) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS, longest: int = MAX_GRAM, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_features, weight): one row per row of docs."""
     prepare(docs.sparkSession)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(target_col).cast("binary").alias("t"))
     held = sum(side.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] for side in (raw, wanted))
-    shards = 1 + held // SHARD_BYTES
-    entries = chunk_features(raw, shards, False, longest).union(chunk_features(wanted, shards, True, longest))
+    shards = 1 + held // shard_bytes
+    entries = chunk_features(raw, shards, False, longest, chunk_bytes).union(chunk_features(wanted, shards, True, longest, chunk_bytes))
     found = stage(dictionary(entries, buckets), "dictionary")
     gains = np.zeros(buckets, np.int64)
     for r in bucket_gains(found.where("bucket IS NOT NULL").select("bucket", "s", "t"), buckets).collect():  # `buckets` rows
         gains[r["bucket"]] = r["gain"]
-    return document_weights(raw, found.where("chunk IS NOT NULL").select("shard", "chunk", "checksum", "found"), gains, shards, longest)
+    return document_weights(raw, found.where("chunk IS NOT NULL").select("shard", "chunk", "checksum", "found"), gains, shards, longest, chunk_bytes)
 
 
 def drawn(weighted: DataFrame, percent: int = PERCENT, seed: int = SEED, min_words: int = MIN_WORDS) -> DataFrame:
