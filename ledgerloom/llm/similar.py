@@ -8,10 +8,11 @@ table, as unrelated fingerprints agree by chance; they hardly ever share an anch
 depends on the similarity and the RECALL at exactly the threshold alone (`blocks_for`). Pairs in a block are
 kept if their fingerprints' Hamming distance allows the similarity.
 
-Groups of near copies never emit all their pairs. A block's key with more than FEW sets compares them with one
-of them, a pivot; those that aren't near it go on to another pivot. What pivots and small keys connect are
-regions, and no pair outside a region can be similar if its fingerprints met. Within a region the shingle sets
-themselves are compared, tile by tile; a tile returns each set's link to its local root, never its pairs.
+Groups of near copies never emit all their pairs. A key with more than FEW sets chooses pivots: the sets very near a
+pivot leave the key, and all sets that may be similar to one of them are connected to the pivot (`hot_links`); what
+pivots leave is compared by fingerprints in tiles, which return each set's link to its local root. What is so connected
+are regions: sets that meet in a block, and whose sizes and fingerprints allow the similarity, are in one region. Within
+a region the shingle sets themselves are compared, tile by tile. The work of tiles is quadratic in a region's sets.
 
 Defined results: null texts and texts without words have the empty set and are copies of each other; a text
 shorter than a shingle has one shingle, itself; rows with equal ids are one document, linked if any of their
@@ -43,8 +44,8 @@ LANES = 4
 FP_BITS = 64 * LANES
 #: Standard deviations by which a pair's distance may exceed what its similarity makes likely.
 SLACK = 4.0
-#: Sets of one key that are compared with each other at once, and how often larger keys choose a pivot before the same is done with what is left.
-FEW, TURNS = 16, 8
+#: Sets of one key that are joined with each other; how often larger keys choose a pivot; fingerprints on one side of a tile of what is left.
+FEW, PIVOTS, PRINTS = 16, 3, 1024
 #: Sets on one side of a tile.
 TILE = 256
 #: Ids of sets in regions are broadcast up to so many.
@@ -116,41 +117,90 @@ def _bound(bits: int, similarity: float) -> int:
     return math.ceil(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
-def _near(a: str, b: str, lanes: int, similarity: float) -> Column:
-    """Whether lanes a0, a1, ... and b0, b1, ... are near enough."""
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0)) <= _bound(64 * lanes, similarity)
+def _distance(a: str, b: str, lanes: int = LANES) -> Column:
+    """Differing bits of lanes a0, a1, ... and b0, b1, ..."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0))
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of sets(rep, f0, keys) that meet in a block and are near by their first lane: enough of them to connect
-    all that are."""
-    rows = sets.select(F.explode("keys").alias("key"), "rep", F.col("f0").alias("m0"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    open_rows, found = stage(rows.join(shared, "key"), "blocks"), []
-    for turn in range(TURNS + 1):
-        few = open_rows if turn == TURNS else open_rows.where(F.col("size") <= FEW)
-        x, y = (few.select("key", *[F.col(c).alias(s + c[-1] if c == "m0" else s) for c in ("rep", "m0")]) for s in ("x", "y"))
-        found.append(stage(x.join(y, "key").where((F.col("x") < F.col("y")) & _near("x", "y", 1, similarity)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs"))
-        if turn == TURNS:
-            break
-        many = open_rows.where(F.col("size") > FEW).drop("size")
-        order = F.xxhash64("rep", F.lit(turn))
-        pivots = many.groupBy("key").agg(F.min_by("rep", order).alias("p"), F.min_by("m0", order).alias("p0"))
-        met = stage(many.join(pivots, "key").where("rep <> p"), "pivots")
-        if met.isEmpty():
+def _grouped_links(near: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+    """(a, b): every set that has a link, and the smallest set it reaches by links of the square matrix `near`."""
+    i, j = np.nonzero(near)
+    low = rep.copy()
+    while len(i):
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        if (before == low).all():
             break
-        found.append(stage(met.where(_near("m", "p", 1, similarity)).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "stars"))
-        rest = met.where(~_near("m", "p", 1, similarity)).select("key", "rep", "m0")
-        open_rows = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "blocks")
-    return reduce(DataFrame.union, found).distinct()
+    return pd.DataFrame({"a": rep[low != rep], "b": low[low != rep]})
+
+
+def _print_links(similarity: float):
+    """(a, b): links of the sets of some tiles of a key whose sizes and fingerprints allow the similarity."""
+    bound = _bound(FP_BITS, similarity)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in part.groupby(["key", "i", "j"], sort=False):
+            rep, side, n = (tile[c].to_numpy() for c in ("rep", "side", "n"))
+            lanes = tile[[f"f{k}" for k in range(LANES)]].to_numpy(np.int64).view(np.uint64)
+            near = np.zeros((len(rep), len(rep)), bool)
+            for at in range(0, len(rep), 128):
+                rows = slice(at, at + 128)
+                bits = sum(np.bitwise_count(lanes[rows, None, k] ^ lanes[None, :, k]).astype(np.int16) for k in range(LANES))
+                near[rows] = (bits <= bound) & (np.minimum(n[rows, None], n) >= similarity * np.maximum(n[rows, None], n))
+            if tile["i"].iat[0] != tile["j"].iat[0]:
+                near &= side[:, None] != side[None, :]
+            out.append(_grouped_links(near, rep))
+        return pd.concat(out)
+
+    return run
+
+
+def _tiles(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows(by, rep, size, ...) with side, i, j: each row once for every tile (i, j) of its group that its side is in."""
+    sided = rows.withColumn("k", F.ceil(F.col("size") / size)).withColumn("side", F.pmod(F.xxhash64("rep", by), F.col("k")))
+    return sided.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("k", "other")
 
 
-def regions(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(rep, region): what pairs(a, b) connect whose sizes and whole fingerprints allow the similarity."""
+def hot_links(many: DataFrame, similarity: float) -> list[DataFrame]:
+    """(a, b): links of sets(key, rep, n, fingerprint, size) of large keys; what they connect holds all that may be similar.
+
+    A pivot takes the sets within a third of the bound out of its key. Whatever may be similar to one of those is within
+    four thirds of the bound of the pivot, so all these join the pivot's region but stay in the key. What PIVOTS turns
+    leave is compared in tiles, by whole fingerprints and sizes."""
+    lanes, bound, found, open_rows = [f"f{i}" for i in range(LANES)], _bound(FP_BITS, similarity), [], many
+    for turn in range(PIVOTS):
+        order = F.xxhash64("rep", F.lit(turn))
+        pivots = open_rows.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("p"), *[F.col(c).alias(f"p{c[1:]}") for c in lanes]), order).alias("pivot")).select("key", "pivot.*")
+        met = stage(open_rows.join(pivots, "key").where("rep <> p").withColumn("apart", _distance("f", "p")).drop("size", *[f"p{i}" for i in range(LANES)]), "pivots")
+        if met.isEmpty():
+            return found
+        found.append(met.where(F.col("apart") <= bound + bound // 3).select(F.col("rep").alias("a"), F.col("p").alias("b")))
+        rest = met.where(F.col("apart") > bound // 3).select("key", "rep", "n", *lanes)
+        open_rows = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "hot-blocks")
+    tiles = _tiles(open_rows, "key", PRINTS)
+    # keys of one tile share groups of about PRINTS sets; each larger one has a group per tile
+    group = F.when(F.col("size") <= PRINTS, F.pmod(F.xxhash64("key"), F.lit(max(1, open_rows.count() // PRINTS)))).otherwise(F.xxhash64("key", "i", "j"))
+    tiled = tiles.withColumn("g", group).select("g", "key", "i", "j", "side", "rep", "n", *lanes)
+    return [*found, tiled.groupBy("g").applyInPandas(_print_links(similarity), "a long, b long")]
+
+
+def regions(sets: DataFrame, similarity: float) -> DataFrame:
+    """(rep, region): what sets(rep, n, fingerprint, keys) that meet in a block are connected to, if their sizes and whole
+    fingerprints allow the similarity."""
+    rows = sets.select(F.explode("keys").alias("key"), "rep", F.col("f0").alias("m0"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    blocks = stage(rows.join(shared, "key"), "blocks")
+    few = blocks.where(F.col("size") <= FEW)
+    x, y = (few.select("key", F.col("rep").alias(s), F.col("m0").alias(f"{s}0")) for s in ("x", "y"))
+    pairs = stage(x.join(y, "key").where((F.col("x") < F.col("y")) & (_distance("x", "y", 1) <= _bound(64, similarity))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     left, right = (sets.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), *[F.col(f"f{i}").alias(f"{s}{i}") for i in range(LANES)]) for s in ("a", "b"))
     sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
-    near = pairs.join(left, "a").join(right, "b").where(sized & _near("a", "b", LANES, similarity))
-    return stage(connected_components(near, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("region")), "regions")
+    near = pairs.join(left, "a").join(right, "b").where(sized & (_distance("a", "b") <= _bound(FP_BITS, similarity))).select("a", "b")
+    hot = blocks.where(F.col("size") > FEW).select("key", "rep", "size")
+    many = stage(hot.join(sets.select("rep", "n", *[f"f{i}" for i in range(LANES)]), "rep"), "hot-blocks")
+    found = reduce(DataFrame.union, [near, *(hot_links(many, similarity) if not many.isEmpty() else [])])
+    return stage(connected_components(found, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("region")), "regions")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,14 +234,7 @@ def _tile_links(similarity: float):
             near = shared >= similarity * (size[:, None] + size[None, :] - shared)
             if tile["i"].iat[0] != tile["j"].iat[0]:
                 near &= side[:, None] != side[None, :]
-            a, b = np.nonzero(near)
-            low = rep.copy()
-            while len(a):
-                before = low.copy()
-                np.minimum.at(low, a, low[b])
-                if (before == low).all():
-                    break
-            out.append(pd.DataFrame({"a": rep[low != rep], "b": low[low != rep]}))
+            out.append(_grouped_links(near, rep))
         return pd.concat(out)
 
     return run
@@ -205,16 +248,11 @@ def linked(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) ->
             found = [shingle_hashes(t.lower() if t else t, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["rep", "hs", "region"])
 
-    near = regions(candidates(sets, similarity), sets, similarity)
+    near = regions(sets, similarity)
     wanted = small(near.select(F.col("rep").alias("doc_id"), "region"), WANTED)
     rows = stage(docs.join(wanted, "doc_id").select("doc_id", "t", "region").mapInArrow(hashed, "rep long, hs binary, region long"), "shingle-sets")
     sizes = stage(rows.groupBy("region").agg(F.count("*").alias("size")), "region-sizes")
-    sized = rows.join(small(sizes, WANTED), "region").withColumn("k", F.ceil(F.col("size") / TILE))
-    tiles = (
-        sized.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("k")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        .withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    )
+    tiles = _tiles(rows.join(small(sizes, WANTED), "region"), "region", TILE)
     # regions of one tile share groups of about TILE sets; each larger one has a group per tile
     group = F.when(F.col("size") <= TILE, F.pmod(F.xxhash64("region"), F.lit(max(1, rows.count() // TILE)))).otherwise(F.xxhash64("region", "i", "j"))
     links = tiles.withColumn("g", group).select("g", "region", "i", "j", "side", "rep", "hs").groupBy("g").applyInPandas(_tile_links(similarity), "a long, b long")

@@ -54,6 +54,25 @@ def test_pairs_of_the_similarity_and_above_link(spark):
     assert found[9001] == found[9002] == 9000 and found[9004] == 9003 and found[9005] == found[3]
 
 
+def test_pairs_within_a_group_that_shares_a_template_link(spark):
+    """Keys of a template's anchors hold every text of the group; pairs of little more than the threshold must not get lost there."""
+    rng = random.Random(31)
+    template = " ".join(f"t{i}" for i in range(100))
+    rows, near = [], []
+    for i in range(450):
+        own = f"{template} " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(90))
+        w = own.split()
+        for k in rng.sample(range(105, 185, 6), 4):
+            w[k] = f"new{rng.random()}"
+        rows += [(2 * i, own), (2 * i + 1, " ".join(w))]
+        if jaccard(shingles(own), shingles(rows[-1][1])) >= 0.8:
+            near.append((2 * i, 2 * i + 1))
+    assert len(near) > 400
+    found = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(found[a] == found[b] for a, b in near) >= 0.99 * len(near)
+    assert len(set(found.values())) >= 450
+
+
 def test_number_of_blocks_follows_from_the_similarity():
     assert similar.blocks_for(1.0) == 1 and similar.blocks_for(0.8) < similar.blocks_for(0.7)
 
