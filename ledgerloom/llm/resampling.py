@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import prepare, small, stage
-from .words import word_hashes
+from .words import FACTORS, mix, word_hashes
 
 BUCKETS = 10_000
 MAX_GRAM = 2
@@ -45,7 +45,7 @@ SEED = 7
 PERCENT = 25
 MIN_WORDS = 20
 #: Bytes of text that are one chunk, and bytes of text whose n-grams fill a shard of the dictionary.
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
 #: Bytes that are part of words, after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -57,42 +57,38 @@ class Features:
         raw = b" ".join([t or b"" for t in texts]).translate(_LOWER)
         offsets = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
         letters = np.frombuffer(raw, np.uint8) != 32
-        edge = np.diff(np.concatenate([[False], letters, [False]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edge = np.flatnonzero(np.diff(letters, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
         first = np.searchsorted(starts, offsets)
         self.n_words = np.diff(first)
-        owner = np.repeat(np.arange(len(texts)), self.n_words)
-        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        packed = np.frombuffer(raw, np.uint8)[letters]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(packed.tobytes())])
-        coded = words.dictionary_encode()
-        ids, strings = np.asarray(coded.indices).astype(np.int64), coded.dictionary
-        single, parts, entries, owners, base = strings, [strings], [ids], [owner], len(strings)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_words)
+        words = _strings(np.frombuffer(raw, np.uint8)[letters], ends - starts).dictionary_encode()
+        ids, single = np.asarray(words.indices).astype(np.int64), words.dictionary
+        own = _hashes(single)
+        strings, hashes, parts, marks, entries, owners, base = single, own, [single], [own], [ids], [owner], len(single)
         last = ids
         for k in range(2, longest + 1):
             # a run of k words is a run of k - 1 and the word after it, within one text
             inside = owner[k - 1 :] == owner[: max(0, len(owner) - k + 1)]
-            pairs = last[: len(inside)] * np.int64(len(single) + 1) + ids[k - 1 :]
-            number, kinds = pd.factorize(pairs[inside])
-            grown = pc.binary_join_element_wise(strings.take(pa.array(kinds // (len(single) + 1))), single.take(pa.array(kinds % (len(single) + 1))), pa.scalar(b" ", pa.large_binary()))
+            number, kinds = pd.factorize((last[: len(inside)] * np.int64(len(single) + 1) + ids[k - 1 :])[inside])
+            before, after = kinds // (len(single) + 1), kinds % (len(single) + 1)
+            strings = pc.binary_join_element_wise(strings.take(pa.array(before)), single.take(pa.array(after)), pa.scalar(b" ", pa.large_binary()))
+            hashes = mix(hashes[before] * FACTORS[0][1] + own[after])
             last = np.full(len(inside), -1, np.int64)
             last[inside] = number
-            strings = grown
-            parts.append(grown)
+            parts.append(strings)
+            marks.append(hashes)
             entries.append(number.astype(np.int64) + base)
             owners.append(owner[k - 1 :][inside])
-            base += len(grown)
-        self.strings = pa.concat_arrays([p.cast(pa.large_binary()) for p in parts])
+            base += len(strings)
+        self.strings, self._hashes = pa.concat_arrays(parts), np.concatenate(marks)
         self._entry, self._owner, self._texts = np.concatenate(entries), np.concatenate(owners), len(texts)
         self.counts = np.bincount(self._entry, minlength=len(self.strings))
         self.n_features = np.bincount(self._owner, minlength=len(texts))
 
     def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct strings in the order of their dictionary shards, and where each shard begins and the last ends."""
-        text = b"".join(self.strings.to_pylist())
-        ends = np.cumsum(np.asarray(pc.binary_length(self.strings)).astype(np.int64))
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        shard = (word_hashes(text, starts, ends, 1) % np.uint64(shards)).astype(np.int64)
+        shard = (self._hashes % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
@@ -101,8 +97,31 @@ class Features:
         kinds = max(1, len(self.strings))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        keys, counts = np.unique(self._owner * np.int64(kinds) + place[self._entry], return_counts=True)
-        return np.bincount(keys // kinds, minlength=self._texts), keys % kinds, counts
+        keys = self._owner * np.int64(kinds) + place[self._entry]
+        keys.sort()
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        return np.bincount(keys[new] // kinds, minlength=self._texts), keys[new] % kinds, np.diff(new, append=len(keys))
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of bytes that follow each other."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of strings."""
+    if not len(strings):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    data, offsets = _bytes(strings)
+    return word_hashes(data.tobytes(), offsets[:-1], offsets[1:], 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list[int | None], list[bytes | None]]]:
@@ -125,21 +144,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
 
 
 def chunk_features(docs: DataFrame, shards: int, target: bool, longest: int = MAX_GRAM, size: int = CHUNK_BYTES) -> DataFrame:
-    """(shard, target, chunk, checksum, size, strings, counts): the distinct n-grams of each chunk of docs(doc_id, t), packed."""
-    kinds = pa.schema([("shard", pa.int64()), ("target", pa.bool_()), ("chunk", pa.int64()), ("checksum", pa.int64()), ("size", pa.int64()), ("strings", pa.binary()), ("counts", pa.binary())])
+    """(shard, target, chunk, checksum, size, strings, lengths, counts): the distinct n-grams of each chunk of docs(doc_id, t), packed."""
+    kinds = pa.schema([("shard", pa.int64()), ("target", pa.bool_()), ("chunk", pa.int64()), ("checksum", pa.int64()), ("size", pa.int64()), *((c, pa.binary()) for c in ("strings", "lengths", "counts"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, checksum, _, texts in _chunks(batches, size):
             found = Features(texts, longest)
             order, cuts = found.by_shard(shards)
+            data, offsets = _bytes(found.strings.take(pa.array(order)))
+            lengths, counts = np.diff(offsets).astype("<u4"), found.counts[order].astype("<u4")
             for p in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[p] : cuts[p + 1]]
-                # n-grams hold no control characters, so lines keep them apart
-                strings = pa.compress(b"\n".join(found.strings.take(pa.array(at)).to_pylist()), codec="zstd", asbytes=True)
-                row = [p, target, chunk, checksum, len(at), strings, found.counts[at].astype("<u4").tobytes()]
+                a, b = cuts[p], cuts[p + 1]
+                row = [p, target, chunk, checksum, b - a, *(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (data[offsets[a] : offsets[b]], lengths[a:b], counts[a:b]))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(row, kinds, strict=True)], schema=kinds)
 
-    return docs.mapInArrow(run, "shard long, target boolean, chunk long, checksum long, size long, strings binary, counts binary")
+    return docs.mapInArrow(run, "shard long, target boolean, chunk long, checksum long, size long, strings binary, lengths binary, counts binary")
 
 
 def dictionary(entries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -148,9 +167,9 @@ def dictionary(entries: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         # raw and target chunks share the dictionary, and each distinct string is hashed once
-        coded = pa.concat_arrays([pa.array(zstandard.decompress(x).split(b"\n"), pa.large_binary()) for x in part["strings"]]).dictionary_encode()
+        data, lengths, counts = (np.frombuffer(b"".join([zstandard.decompress(x) for x in part[c]]), kind) for c, kind in (("strings", np.uint8), ("lengths", "<u4"), ("counts", "<u4")))
+        coded = _strings(data, lengths).dictionary_encode()
         index, kinds = np.asarray(coded.indices), len(coded.dictionary)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in part["counts"]])
         sizes, of_target = part["size"].to_numpy(np.int64), part["target"].to_numpy(bool)
         bucket = np.fromiter((zlib.crc32(x) for x in coded.dictionary.to_pylist()), np.int64, kinds) % buckets
         sides = np.repeat(of_target, sizes)
