@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import zlib
 
@@ -103,6 +104,22 @@ def test_configurations_use_up_the_histogram_and_beat_best_fit():
             assert got < plain_best_fit(sizes)
 
 
+TABLE = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="the driver's tables are not here")
+def test_configurations_reach_the_bound_of_the_tables_lengths_where_best_fit_does_not():
+    import pyarrow.parquet as pq
+
+    encode, sizes = packing.public_encoder("byte_bpe_50k.tiktoken"), {}
+    for text in pq.read_table(TABLE, columns=["text"])["text"].to_pylist():
+        rest = (len(encode(text or "")) // 4 + 1) % 1024
+        if rest:
+            sizes[rest] = sizes.get(rest, 0) + 1
+    bound = -(-sum(k * n for k, n in sizes.items()) // 1024)
+    assert sum(n for _, n in packing.solve_configurations(sizes)) == bound < plain_best_fit(sizes)
+
+
 def test_packing_round_trip(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
