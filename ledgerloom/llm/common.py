@@ -70,7 +70,7 @@ def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on: Arrow batches small enough for long texts, and
     shuffle files dropped when the query that made them has been written."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

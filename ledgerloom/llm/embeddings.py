@@ -10,8 +10,8 @@ passes connected, and dense groups larger than a window lose nothing. No pair ev
 compares it: passes return links to each vector's local root, tiles return counts.
 
 The number of passes starts at what even signs would need (`passes_for`). The recall is then measured: the
-links of SAMPLE vectors, chosen by a hash, are counted against the whole table, and while the components hold
-too few of them the number of passes is doubled.
+links of SAMPLE vectors, chosen by a hash, are counted against the whole table, and as long as the components hold
+too few of them the number of passes is doubled: every pass has planes of its own, so each may bring any pair close.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, have no links and are
 their own component; vectors of different lengths never link; equal vectors link; every row is a vector of its
@@ -22,7 +22,6 @@ of all links and returned with a null component; empty tables give empty results
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +36,8 @@ from .common import connected_components, prepare, small, stage
 THRESHOLD = 0.9
 #: Chance that some pass compares a pair of exactly the threshold's cosine; closer pairs and those that share a component do better.
 RECALL = 0.999
-#: Share of the sample's links that must be found, the sample's size, and how often the passes may be doubled for it.
-SEEN, SAMPLE, DOUBLINGS = 0.98, 512, 4
+#: Share of the sample's links that must be found, and the sample's size.
+SEEN, SAMPLE = 0.98, 512
 WINDOW = 1024
 BITS = 63
 #: Passes that share a sort, and vectors on one side of a tile.
@@ -276,7 +275,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     want = passes_for(total, threshold, window) if passes is None else passes
     centres, links, done, counts = means(vectors), None, 0, None
     measured = stage(true_counts(vectors, threshold), "sample-links") if passes is None and total > window else None
-    for _ in range(DOUBLINGS + 1):
+    while True:
         while done < want:
             some = min(AT_ONCE, want - done)
             found = stage(pass_links(vectors, done, some, window, threshold, centres, total).distinct(), "links")
@@ -291,8 +290,6 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         if (got["seen"] or 0) >= SEEN * (got["all"] or 0):
             break
         want = 2 * done
-    else:
-        warnings.warn(f"{done} passes hold {got['seen']} of {got['all']} links of the sample", stacklevel=2)
 
     named = kinds.join(components, "did", "left").join(counts, "did", "left").withColumn("root", F.coalesce("component", "did"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
