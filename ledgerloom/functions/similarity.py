@@ -129,21 +129,21 @@ def description_score(a: Column | str, b: Column | str) -> Column:
     return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 100.0).otherwise(F.round(F.least(F.lit(100.0), score + extra), 1))
 
 
+def matched_share(left, right) -> float:
+    """Share of the left numbers that find a right number within 0.2 percent, each used once, nearest first."""
+    free, hits = list(right), 0
+    for q in left:
+        if free:
+            near = min(range(len(free)), key=lambda j: (abs(q - free[j]), j))
+            if abs(q - free[near]) <= max(0.0001, abs(q) * 0.002):
+                hits += 1
+                del free[near]
+    return hits / max(1, len(left))
+
+
 @pandas_udf(DoubleType())
 def _numbers_matched(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of a's numbers that find a number of b's within 0.2 percent, each used once, nearest first."""
-
-    def share(left, right) -> float:
-        free, hits = list(right), 0
-        for q in left:
-            if free:
-                near = min(range(len(free)), key=lambda j: (abs(q - free[j]), j))
-                if abs(q - free[near]) <= max(0.0001, abs(q) * 0.002):
-                    hits += 1
-                    del free[near]
-        return hits / max(1, len(left))
-
-    return pd.Series([share(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([matched_share(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def budget_score(a: Column | str, b: Column | str) -> Column:

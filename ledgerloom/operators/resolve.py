@@ -1,7 +1,7 @@
 """Entity resolution of items against product and service catalogs.
 
-Exact matches are an equi-join. The rest is blocked: an item meets the catalog rows that share a token, a
-number or a tax class with it, every such pair is scored, and a window keeps the best. Catalog rows carry
+Exact matches are an equi-join. For the rest `topmatch` finds the catalog rows that share a token, a number or a tax
+class with an item and may be among its best; these pairs are scored, and a window keeps the best. Catalog rows carry
 `idx`, their place in the catalog, which decides between equal scores.
 """
 
@@ -17,13 +17,12 @@ from ..functions.numbers import clamp, description_confidence, field_confidence,
 from ..functions.similarity import budget_score, description_score, numbers_in, token_set_ratio, token_sort_ratio, weighted_ratio
 from ..functions.text import code_variants, digits, first_non_blank, normalize, normalize_description, public_text, tokens
 from .extract import NO_COMPANY, NO_NUMBER, arithmetic_confidence, transport_document
+from .topmatch import BUDGET, PRODUCT, best_pairs
 
 ACCEPT_SCORE = 58.0
 TRANSPORT_SERVICE = "780007"
 #: Alternatives shown, and ranks kept to find them.
 ALTERNATIVES, RANKS = 5, 8
-#: Pairs of one block that a task makes, and the most tasks a block is dealt over.
-BLOCK_PAIRS, MOST_PARTS = 1_000_000, 10_000
 
 
 def _texts(catalog: DataFrame) -> DataFrame:
@@ -31,13 +30,6 @@ def _texts(catalog: DataFrame) -> DataFrame:
     return catalog.select("idx", F.explode(F.array_distinct(F.array("match_text", "match_text_extra"))).alias("text")).where("text <> ''")
 
 
-def _blocks(rows: DataFrame, key: str, *texts: str) -> DataFrame:
-    """(key, block): tokens and numbers of the texts, and the tax class."""
-    parts = [tokens(F.coalesce(F.col(t), F.lit(""))) for t in texts] + [numbers_in(normalize(F.coalesce(F.col(t), F.lit("")))) for t in texts]
-    ncm = F.when(F.coalesce("ncm", F.lit("")) != "", F.array(F.concat(F.lit("ncm:"), F.col("ncm")))).otherwise(F.array().cast("array<string>"))
-    return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*parts, ncm)))).alias("block"))
-
-
 def _token_bonus(item: Column, row: Column, each: float, most: float) -> Column:
     return F.least(F.lit(most), F.size(F.array_intersect(F.array_distinct(item), F.array_distinct(row))) * each)
 
@@ -54,26 +46,13 @@ def exact_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return asked.join(_texts(catalog), "text").select("item_id", "idx").distinct()
 
 
-def token_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(item_id, idx): items(item_id, block) and catalog rows(idx, block) that share a block.
-
-    A common block would pair nearly everything with everything in one task. Blocks are therefore dealt over
-    as many tasks as their pairs ask for: its items are split by hash, and each part meets all its rows."""
-    weight = items.groupBy("block").agg(F.count("*").alias("n")).join(catalog.groupBy("block").agg(F.count("*").alias("m")), "block")
-    parts = weight.select("block", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") * F.col("m") / BLOCK_PAIRS)).cast("int").alias("parts"))
-    left = items.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")))
-    right = catalog.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-    return left.select("item_id", "block", "part").join(right.select("idx", "block", "part"), ["block", "part"]).select("item_id", "idx").distinct()
-
-
-def product_candidates(items: DataFrame, catalog: DataFrame, service: bool = False) -> DataFrame:
-    """(item_id, idx, score) for items(item_id, description, ncm): exact matches alone with 100, else scored pairs."""
+def product_candidates(items: DataFrame, catalog: DataFrame, service: bool = False, k: int = RANKS) -> DataFrame:
+    """(item_id, idx, score) for items(item_id, description, ncm): exact matches alone with 100, else scored pairs that hold the k best."""
     asked = items.select("item_id", "description", F.coalesce("ncm", F.lit("")).alias("ncm"))
     exact = exact_candidates(asked, catalog)
     rest = asked.join(exact.select("item_id").distinct(), "item_id", "left_anti")
-    pairs = token_pairs(_blocks(rest, "item_id", "description"), _blocks(catalog, "idx", "description", "description_extra"))
     facts = catalog.select("idx", F.col("description").alias("d1"), F.coalesce("description_extra", F.lit("")).alias("d2"), F.col("ncm").alias("row_ncm"))
-    both = pairs.join(rest, "item_id").join(facts, "idx")
+    both = best_pairs(rest, facts, PRODUCT, k).join(rest, "item_id").join(facts, "idx")
     score = F.greatest(description_score("description", "d1"), F.when(F.col("d2") != "", description_score("description", "d2")).otherwise(0.0))
     row_tokens = F.concat(tokens(F.coalesce("d1", F.lit(""))), tokens("d2"))
     score = score + _token_bonus(tokens(F.col("description")), row_tokens, 3.0, 10.0) + _number_bonus(F.col("description"), F.col("d1"), 8.0, True)
@@ -83,12 +62,11 @@ def product_candidates(items: DataFrame, catalog: DataFrame, service: bool = Fal
     return exact.select("item_id", "idx", F.lit(100.0).alias("score")).union(scored)
 
 
-def budget_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(item_id, idx, score) for budget items(item_id, description, ncm), the tax class counted for or against."""
+def budget_candidates(items: DataFrame, catalog: DataFrame, k: int = RANKS) -> DataFrame:
+    """(item_id, idx, score) for budget items(item_id, description, ncm), the tax class counted for or against; the k best are among them."""
     asked = items.select("item_id", "description", digits("ncm").alias("ncm"))
-    pairs = token_pairs(_blocks(asked, "item_id", "description"), _blocks(catalog, "idx", "description", "description_extra"))
     facts = catalog.select("idx", F.coalesce("description", F.lit("")).alias("d1"), F.coalesce("description_extra", F.lit("")).alias("d2"), digits("ncm").alias("row_ncm"))
-    both = pairs.join(asked, "item_id").join(facts, "idx")
+    both = best_pairs(asked, facts, BUDGET, k).join(asked, "item_id").join(facts, "idx")
     score = F.greatest(budget_score("description", "d1"), F.when(F.col("d2") != "", budget_score("description", "d2")).otherwise(0.0))
     score = score + _token_bonus(tokens("description"), tokens("d1"), 2.5, 10.0) + _number_bonus(F.col("description"), F.col("d1"), 6.0, False)
     base = F.round(clamp(score), 1)
