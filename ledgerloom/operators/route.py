@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.numbers import clamp, page_range
 from ..functions.text import clean_text, first_non_blank
-from .extract import NO_COMPANY, NO_NUMBER, budget_rows, order_totals
+from .extract import NO_COMPANY, NO_NUMBER, budget_line, order_total
 from .resolve import correlate_products, correlate_services, correlate_transport, override_services
 
 #: Columns that never leave the review, and those that an export leaves out besides.
@@ -74,15 +75,22 @@ def deep_budget(native: DataFrame, read: DataFrame, by: Sequence[str]) -> DataFr
     A file's own rows stand if it has some and states the order's total. Else the images' rows replace them where
     there are any, and give the total if the text doesn't. `source_confidence` is 96, else 92."""
     keys = list(by)
-    own_rows, read_rows = budget_rows(native, keys), budget_rows(read, keys)
-    facts = native.select(*keys).union(read.select(*keys)).distinct()
-    facts = facts.join(order_totals(native, keys).withColumnRenamed("order_total", "_own"), keys, "left").join(order_totals(read, keys).withColumnRenamed("order_total", "_read"), keys, "left")
-    for rows, name in ((own_rows, "_rows"), (read_rows, "_more")):
-        facts = facts.join(rows.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    stands = F.col("_rows") & F.col("_own").isNotNull()
-    plan = facts.select(*keys, (~stands & F.col("_more")).alias("_images"), F.coalesce("_own", F.when(~stands, F.col("_read"))).alias("order_total"), F.when(stands, 96.0).otherwise(92.0).alias("source_confidence"))
-    rows = own_rows.withColumn("_images", F.lit(False)).unionByName(read_rows.withColumn("_images", F.lit(True)))
-    return rows.join(plan, [*keys, "_images"]).drop("_images")
+    both = native.select(*keys, "page", "text", F.lit(False).alias("_images")).union(read.select(*keys, "page", "text", F.lit(True).alias("_images")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), budget_line(x).alias("b")))
+    parsed = both.select(*keys, "page", "_images", F.filter(lines, lambda x: x["b"].isNotNull()).alias("_rows"), order_total("text").alias("_total"))
+    file = W.partitionBy(*keys)
+
+    def of(images: bool) -> tuple[Column, Column]:
+        """Whether a file has rows there, and the total on the first page that states one."""
+        mine = F.col("_images") == images
+        return F.sum(F.when(mine, F.size("_rows"))).over(file) > 0, F.min_by("_total", F.when(mine & F.col("_total").isNotNull(), F.col("page"))).over(file)
+
+    (has_own, own), (has_read, other) = of(False), of(True)
+    known = parsed.withColumns({"_has_own": F.coalesce(has_own, F.lit(False)), "_own": own, "_has_read": F.coalesce(has_read, F.lit(False)), "_read": other})
+    stands = F.col("_has_own") & F.col("_own").isNotNull()
+    chosen = known.where(F.col("_images") == (~stands & F.col("_has_read")))
+    rows = chosen.select(*keys, "page", F.coalesce("_own", F.when(~stands, F.col("_read"))).alias("order_total"), F.when(stands, 96.0).otherwise(92.0).alias("source_confidence"), F.explode("_rows").alias("_r"))
+    return rows.select(*keys, "page", "_r.line_no", "_r.b.*", "order_total", "source_confidence")
 
 
 def merge_lines(native: DataFrame, read: DataFrame, by: Sequence[str], norm: Column, line_no: str = "line_no") -> DataFrame:
@@ -112,29 +120,42 @@ def last_wins(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.coalesce(F.map_contains_key(b, k), F.lit(False))), F.coalesce(b, F.create_map().cast("map<string,double>")))
 
 
-def edit_rows(rows: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """rows with the columns that edits(key, columns) gives; null leaves a value as it is."""
-    given = edits.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def latest(given: DataFrame, key: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: each column's last value that isn't null, by `order`; the largest value where there is no order."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c) for c in columns]
+    return given.groupBy(key).agg(*[x.alias(c) for x, c in zip(last, columns, strict=True)])
+
+
+def edit_rows(rows: DataFrame, edits: DataFrame, key: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """rows with the columns that edits(key, columns[, order]) gives; null leaves a value as it is.
+
+    Of several edits of a row the last one of each column counts."""
+    given = latest(edits, key, columns, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = rows.join(given, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def accept_candidates(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
-    """rows with the code, description and score of accepted(key, code, description, score)."""
-    chosen = accepted.select(key, F.struct("code", "description", "score").alias("_c"))
-    joined = rows.join(chosen, key, "left")
+def _latest_row(given: DataFrame, key: str, columns: Sequence[str], order: str | None, name: str) -> DataFrame:
+    """(key, name): the columns of each key's last row."""
+    row = F.struct(*columns)
+    return given.groupBy(key).agg((F.max_by(row, order) if order else F.max(row)).alias(name))
+
+
+def accept_candidates(rows: DataFrame, accepted: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """rows with the code, description and score of accepted(key, code, description, score[, order]), the last of each key."""
+    joined = rows.join(_latest_row(accepted, key, ("code", "description", "score"), order, "_c"), key, "left")
     score = F.create_map(F.lit("code"), F.col("_c.score").cast("double"), F.lit("catalog_description"), F.col("_c.score").cast("double"))
     hit = F.col("_c").isNotNull()
     new = {"code": F.coalesce("_c.code", "code"), "catalog_description": F.coalesce("_c.description", "catalog_description"), "confidence": F.coalesce("_c.score", "confidence"), "confidences": F.when(hit, last_wins(F.col("confidences"), score)).otherwise(F.col("confidences"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
-def apply_catalog(rows: DataFrame, found: DataFrame, key: str, least: float, budget: bool = False) -> DataFrame:
-    """rows with the code and description of found(key, code, description, cost_centre).
+def apply_catalog(rows: DataFrame, found: DataFrame, key: str, least: float, budget: bool = False, order: str | None = None) -> DataFrame:
+    """rows with the code and description of found(key, code, description, cost_centre[, order]), the last of each key.
 
     Their confidences become `least` at least: 90 for a search's result, 95 for a code that was typed. The
     catalog's cost centre is taken where it has one, but not for budgets."""
-    joined = rows.join(found.select(key, F.struct("code", "description", "cost_centre").alias("_f")), key, "left")
+    joined = rows.join(_latest_row(found, key, ("code", "description", "cost_centre"), order, "_f"), key, "left")
     hit = F.col("_f").isNotNull()
     raised = F.map_from_arrays(F.array(F.lit("code"), F.lit("catalog_description")), F.array(*[F.greatest(F.lit(least), F.coalesce(F.try_element_at("confidences", F.lit(k)), F.lit(0.0))) for k in ("code", "catalog_description")]))
     new = {"code": F.coalesce("_f.code", "code"), "catalog_description": F.coalesce("_f.description", "catalog_description"), "confidences": F.when(hit, last_wins(F.col("confidences"), raised)).otherwise(F.col("confidences"))}
@@ -143,6 +164,29 @@ def apply_catalog(rows: DataFrame, found: DataFrame, key: str, least: float, bud
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
+def replay_changes(rows: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """rows after a log of changes(key, seq, kind, field, value, description, score): for every field the last change that
+    touches it counts, whatever its kind.
+
+    kind `edit` sets `field` to value; `accept` and `search` set code and catalog_description, with a score of their
+    own: an accepted candidate's, or 90 at least. Scores of fields that were edited stay as they are. Equal numbers of a
+    row's changes are settled by kind and value."""
+    field = F.when(F.col("kind") == "edit", F.array(F.struct(F.col("field").alias("f"), F.col("value").alias("v"), F.lit(None).cast("double").alias("s"))))
+    both = F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).alias("v"), F.col("score").cast("double").alias("s")) for f, c in (("code", "value"), ("catalog_description", "description"))])
+    touched = changes.select(key, "seq", "kind", F.explode(F.coalesce(field, both)).alias("t")).select(key, "seq", "kind", "t.*").where(F.col("f").isin(*fields) & F.col("v").isNotNull())
+    order = F.struct("seq", "kind", "v")
+    last = touched.groupBy(key).agg(
+        *[F.max_by(F.struct("v"), F.when(F.col("f") == f, order)).alias(f"_v_{f}") for f in fields],
+        *[F.max_by(F.struct("kind", "s"), F.when((F.col("f") == f) & (F.col("kind") != "edit"), order)).alias(f"_s_{f}") for f in fields],
+    )
+    joined = rows.join(last, key, "left")
+    scores = F.col("confidences")
+    for f in fields:
+        now = F.when(F.col(f"_s_{f}.kind") == "accept", F.col(f"_s_{f}.s")).otherwise(F.greatest(F.lit(90.0), F.coalesce(F.try_element_at("confidences", F.lit(f)), F.lit(0.0))))
+        scores = F.when(F.col(f"_s_{f}").isNotNull(), last_wins(scores, F.create_map(F.lit(f), now))).otherwise(scores)
+    return joined.select(*[F.coalesce(f"_v_{c}.v", c).alias(c) if c in fields else scores.alias(c) if c == "confidences" else F.col(c) for c in rows.columns])
+
+
 def or_placeholder(rows: DataFrame, notice: str = "Sem registros") -> DataFrame:
     """rows, or a single one with `notice` alone where there are none; other rows have a null notice."""
     spark = rows.sparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import numbers, similarity, text
 from ..operators import assemble, extract, modeljson, resolve, route, rules, segment
 from ..sources import files
-from ..streaming import progress
+from ..streaming import progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -363,11 +363,38 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT range::INT AS attempt, least(60.0, 5 * pow(2.0, range)) AS pause, [30.0, 60.0, 120.0, 180.0][least(range, 3) + 1]::DOUBLE AS requeue_delay,
-       sum([30.0, 60.0, 120.0, 180.0][least(range, 3) + 1])  OVER (ORDER BY range)::DOUBLE AS elapsed FROM range(12)
+WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events WHERE event_type = 'error')
+SELECT user_id, event_id, k::INT AS attempt, least(60.0, 5 * pow(2.0, k)) AS pause, ([30.0, 60.0, 120.0, 180.0])[least(k, 3) + 1]::DOUBLE AS requeue_delay,
+       sum(([30.0, 60.0, 120.0, 180.0])[least(k, 3) + 1]) OVER (PARTITION BY user_id ORDER BY k)::DOUBLE AS elapsed FROM f
 """)
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.retry_schedule(spark, 12)
+    """Pauses and delays of every user's errors in order."""
+    errors = _table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id", "ts")
+    return progress.retry_schedule(errors, "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS since, max(value) AS progress, max(ts) AS at, count(*) AS events FROM events GROUP BY ALL")
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily progress of every user, of the events read as a stream in update mode."""
+    events = runs.read_files(spark, f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("progress"))
+    return runs.updated(progress.progress_by_span(events, "user_id", "ts"), ["user_id", "since"], "progress")
+
+
+@query("""
+WITH a AS (SELECT user_id, date_trunc('millisecond', ts) AS ts, event_type = 'purchase' AS ok, event_id FROM events WHERE event_type IN ('error', 'purchase')),
+b AS (SELECT *, lag(ok) OVER w AS ok_before, lag(ts) OVER w AS before, lead(ts) OVER w AS next FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, sum((before IS NULL OR ok_before OR ts - before >= INTERVAL 3 DAY)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b),
+n AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id)::BIGINT AS failures FROM c),
+d AS (SELECT *, ts + ([30, 60, 120, 180])[least(failures, 4)] * INTERVAL 1 SECOND AS due, coalesce(next, (SELECT max(ts) - INTERVAL 10 MINUTE FROM a)) AS seen FROM n)
+SELECT user_id::VARCHAR AS page_key, CASE WHEN ok THEN 'completed' ELSE 'deferred' END AS kind, ts AS at, failures::INT AS failures, CASE WHEN NOT ok THEN due END AS due FROM d
+UNION ALL SELECT user_id::VARCHAR, 'due', due, failures::INT, due FROM d WHERE NOT ok AND due <= seen
+UNION ALL SELECT user_id::VARCHAR, 'dropped', ts + INTERVAL 3 DAY, failures::INT, NULL FROM d WHERE NOT ok AND ts + INTERVAL 3 DAY <= seen
+""")
+def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and purchases as failed and successful attempts of a user's page: deferred, due, dropped and completed."""
+    events = runs.read_files(spark, f"{sf_dir}/events.parquet").where("event_type IN ('error', 'purchase')")
+    attempts = events.select(F.col("user_id").cast("string").alias("page_key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+    return runs.appended(progress.retry_queue(attempts, given_up=3 * 86_400_000), "queue")
 
 
 @query("SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events")
@@ -622,6 +649,27 @@ def review_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", "code", "confidence")
 
 
+@query("""
+WITH t AS (SELECT user_id, event_id, value, CASE event_type WHEN 'click' THEN 'edit' WHEN 'signup' THEN 'accept' ELSE 'search' END AS kind FROM events WHERE event_type IN ('click', 'signup', 'view')),
+c AS (SELECT user_id, arg_max(CASE kind WHEN 'edit' THEN 'E' WHEN 'accept' THEN 'A' ELSE 'S' END || event_id, event_id) FILTER (kind <> 'edit' OR event_id % 2 = 0) AS code,
+             arg_max(CASE kind WHEN 'edit' THEN 'E' ELSE 'D' END || event_id, event_id) FILTER (kind <> 'edit' OR event_id % 2 = 1) AS catalog_description,
+             arg_max(CASE kind WHEN 'accept' THEN value ELSE 90.0 END, event_id) FILTER (kind <> 'edit') AS code_score, arg_max(CASE kind WHEN 'accept' THEN value ELSE 95.0 END, event_id) FILTER (kind <> 'edit') AS description_score FROM t GROUP BY user_id)
+SELECT u.user_id, coalesce(code, 'x') AS code, coalesce(catalog_description, 'y') AS catalog_description, coalesce(code_score, 50.0) AS code_score, coalesce(description_score, 95.0) AS description_score
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c ON u.user_id = c.user_id
+""")
+def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows after a log of edits, accepted candidates and search results in which many touch the same row."""
+    events = _table(spark, sf_dir, "events")
+    rows = events.select("user_id").distinct().select("user_id", F.lit("x").alias("code"), F.lit("y").alias("catalog_description"), F.create_map(F.lit("code"), F.lit(50.0), F.lit("catalog_description"), F.lit(95.0)).alias("confidences"))
+    kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "signup", "accept").otherwise("search")
+    log = events.where("event_type IN ('click', 'signup', 'view')").select(
+        "user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 2 == 0, "code").otherwise("catalog_description").alias("field"), F.concat(F.upper(F.substring(kind, 1, 1)), "event_id").alias("value"),
+        F.concat(F.lit("D"), "event_id").alias("description"), F.when(kind == "accept", F.col("value")).alias("score"),
+    )
+    done = route.replay_changes(rows, log, "user_id", ["code", "catalog_description"])
+    return done.select("user_id", "code", "catalog_description", F.col("confidences")["code"].alias("code_score"), F.col("confidences")["catalog_description"].alias("description_score"))
+
+
 @query("""
 SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') > 20 THEN 'a' ELSE 'b' END AS seed,
        CASE WHEN count(*) FILTER (event_type = 'purchase' AND value > 60) > 0 THEN 'big' WHEN count(*) > 0 THEN 'small' END AS active

@@ -1,4 +1,4 @@
-"""Progress of jobs, retries and throttling: windows over events, and one stateful stream.
+"""Progress of jobs, retries and throttling: windows over events, and stateful streams.
 
 A queue that visits files in turn and puts failed pages back is expressed by order keys and schedules that
 follow from counts alone, so it needs no loop.
@@ -51,11 +51,13 @@ def retry_delay(failures: Column, delays: Sequence[float] = RETRY_DELAYS) -> Col
     return F.get(F.array(*map(F.lit, delays)), F.least(failures - 1, F.lit(len(delays) - 1)).cast("int"))
 
 
-def retry_schedule(spark: SparkSession, attempts: int, base: float = 5.0, delays: Sequence[float] = RETRY_DELAYS) -> DataFrame:
-    """(attempt, pause, requeue_delay, elapsed): both schedules and the seconds until an attempt's next try."""
-    rows = spark.range(attempts).select(F.col("id").cast("int").alias("attempt"))
+def retry_schedule(failures: DataFrame, key: str, order: Sequence[str], base: float = 5.0, delays: Sequence[float] = RETRY_DELAYS) -> DataFrame:
+    """failures with attempt (from 0), pause, requeue_delay and elapsed: both schedules of a key's failures in order, and the
+    seconds that its delays add up to."""
+    by_key = W.partitionBy(key).orderBy(*order)
+    rows = failures.withColumn("attempt", F.row_number().over(by_key) - 1)
     rows = rows.withColumn("pause", request_pause(F.col("attempt"), base)).withColumn("requeue_delay", retry_delay(F.col("attempt") + 1, delays))
-    return rows.withColumn("elapsed", F.sum("requeue_delay").over(W.orderBy("attempt")))  # as many rows as attempts
+    return rows.withColumn("elapsed", F.sum("requeue_delay").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
 def round_robin(pages: DataFrame, file_col: str, page_col: str) -> DataFrame:
@@ -106,6 +108,69 @@ def stream_progress(events: DataFrame, key: str, ts: str, delay: str = "10 minut
     return events.withWatermark(ts, delay).groupBy(key).agg(F.max("progress").alias("progress"), F.max(ts).alias("at"), F.count("*").alias("events"))
 
 
+def progress_by_span(events: DataFrame, key: str, ts: str, delay: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """Progress of every job and span of a stream: the largest seen, when, and how many events, with late ones of up to
+    `delay` counted. State ends with its span."""
+    found = events.withWatermark(ts, delay).groupBy(key, F.window(ts, span).alias("w")).agg(F.max("progress").alias("progress"), F.max(ts).alias("at"), F.count("*").alias("events"))
+    return found.select(key, F.col("w.start").alias("since"), "progress", "at", "events")
+
+
+QUEUE_SCHEMA = "page_key string, kind string, at timestamp, failures int, due timestamp"
+#: Milliseconds after its last failure until a page that was not tried again is given up.
+GIVEN_UP = 6 * 3_600_000
+
+
+def retry_queue(attempts: DataFrame, delays: Sequence[float] = RETRY_DELAYS, late: str = "10 minutes", given_up: int = GIVEN_UP) -> DataFrame:
+    """What a queue of pages does, of a stream of attempts(page_key string, ts timestamp, ok boolean).
+
+    A failed attempt is `deferred` until its delay is over; then a timer of event time makes the page `due`; one that is
+    not tried again within `given_up` is `dropped`, and its state ends; a success is `completed`, and its state ends too.
+    failures counts those since the last success. Timers fire as the watermark, `late` behind the newest attempt, passes
+    them; between two attempts of a page they fire at the later one, so rows do not depend on how batches were cut."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        failures, last, told = state.get if state.exists else (0, 0, False)
+        out: list[tuple] = []
+
+        def wait() -> int:
+            return int(delays[min(failures, len(delays)) - 1] * 1000)
+
+        def until(now: int) -> None:
+            """What timers up to now have to say."""
+            nonlocal failures, told
+            if failures and not told and last + wait() <= now:
+                out.append((key[0], "due", last + wait(), failures, last + wait()))
+                told = True
+            if failures and last + given_up <= now:
+                out.append((key[0], "dropped", last + given_up, failures, None))
+                failures = 0
+
+        if state.hasTimedOut:
+            until(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for at, ok in zip(rows["ts"].astype("int64") // 10 ** (3 if rows["ts"].dt.unit == "us" else 6), rows["ok"], strict=True):
+                until(at)
+                if ok:
+                    out.append((key[0], "completed", at, failures, None))
+                    failures = 0
+                else:
+                    failures, last, told = failures + 1, int(at), False
+                    out.append((key[0], "deferred", at, failures, last + wait()))
+        if failures:
+            state.update((failures, last, told))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last + (given_up if told else wait())))
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        found = pd.DataFrame(out, columns=["page_key", "kind", "at", "failures", "due"])
+        yield found.assign(at=pd.to_datetime(found["at"], unit="ms"), due=pd.to_datetime(found["due"], unit="ms"), failures=found["failures"].astype("int32"))
+
+    watched = attempts.withWatermark("ts", late)
+    return watched.groupBy("page_key").applyInPandasWithState(step, QUEUE_SCHEMA, "failures int, last long, told boolean", "append", "EventTimeTimeout")
+
+
 def retry_stream(attempts: DataFrame, delays: Sequence[float] = RETRY_DELAYS) -> DataFrame:
     """When to try each page again, of a stream of attempts(page_key string, ts timestamp, ok boolean).
 
