@@ -6,12 +6,15 @@ documents from a running sum; files are independent of each other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import page_range
-from ..functions.text import any_contained, compact, literal_array, page_words
+from ..sources.scratch import written
+from ..functions.text import any_contained, compact, let, literal_array, page_words
 from .extract import access_keys, number_candidates, tax_ids
 from .rules import classify_pages, header_tokens
 
@@ -44,12 +47,21 @@ def profile_similarity(a: Column, b: Column, scale: float = 255.0) -> Column:
     return F.coalesce(F.when(same, F.greatest(F.lit(0.0), 1 - total / F.size(a) / scale)), F.lit(0.0))
 
 
+def row_profile(raster: Column | str, width: int = 20) -> Column:
+    """Mean grey of every row of a raster of bytes, rounded down: a page's look, of its picture scaled to `width` by any height."""
+    raw = F.col(raster) if isinstance(raster, str) else raster
+    grey = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
+    def means(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.octet_length(raw) / width).cast("int") - 1), lambda r: F.floor(F.aggregate(F.slice(g, r * width + 1, F.lit(width)), F.lit(0), lambda a, b: a + b) / width).cast("int"))
+
+    return F.when(F.octet_length(raw) >= width, let(grey, means))
+
+
 def page_signatures(pages: DataFrame, text_col: str = "text") -> DataFrame:
     """pages(file_id, page, text[, profile]) with kind, confidence, ids, numbers, header tokens and words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = classify_pages(pages, text_col).withColumns(
-        {"tax_ids": tax_ids(text), "keys": access_keys(text), "numbers": number_candidates(text), "tokens": header_tokens(text), "words": page_words(text), "compact_text": compact(text), "lines": F.slice(lines, 1, 100)}
+        {"tax_ids": tax_ids(text), "keys": access_keys(text), "numbers": number_candidates(text), "tokens": header_tokens(text), "words": page_words(text), "compact_text": compact(text)}
     )
     return out if "profile" in pages.columns else out.withColumn("profile", F.lit(None).cast("array<int>"))
 
@@ -63,11 +75,18 @@ def _continues(kind: Column) -> Column:
     return F.when(kind == "NFE", any_contained(text, CONTINUES["NFE"])).when(kind == "NFSE", any_contained(text, CONTINUES["NFSE"])).otherwise(F.length(text) > 100)
 
 
+_SEEN = ("kind", "tax_ids", "keys", "numbers", "tokens", "words", "profile")
+
+
 def boundaries(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page") -> DataFrame:
     """signatures with `starts`: whether a page starts a document, and `score` of the link to the page before."""
     order = W.partitionBy(file_col).orderBy(page_col)
-    seen = ("kind", "tax_ids", "keys", "numbers", "tokens", "words", "profile")
-    paired = signatures.withColumn("_p", F.lag(F.struct(*seen)).over(order))
+    return _linked(signatures.withColumn("_p", F.lag(F.struct(*_SEEN)).over(order)))
+
+
+def _linked(paired: DataFrame) -> DataFrame:
+    """boundaries() of signatures with `_p`, what is known of the page before."""
+    seen = _SEEN
     paired = paired.select("*", *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in seen])
     kind, before = F.col("kind"), F.col("_p_kind")
     same_kind = kind == before
@@ -97,9 +116,39 @@ def islands(pages: DataFrame, starts: Column, file_col: str = "file_id", page_co
     return pages.withColumn(name, F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
-def group_pages(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page") -> DataFrame:
-    """signatures with the number of each page's document."""
-    return islands(boundaries(signatures, file_col, page_col), F.col("starts"), file_col, page_col)
+def group_pages(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page", range_pages: int | None = None) -> DataFrame:
+    """signatures with the number of each page's document.
+
+    With range_pages, files are dealt in ranges of so many page numbers, so that a file with a large part of all pages is
+    worked on by many tasks; the signatures are written first, as they are read twice."""
+    if range_pages is None:
+        return islands(boundaries(signatures, file_col, page_col), F.col("starts"), file_col, page_col)
+    ranged = written(signatures.withColumn("_range", F.floor(F.col(page_col) / range_pages)), "signatures")
+    linked = written(_linked(previous_row(ranged, "_p", _SEEN, file_col, page_col)), "boundaries")
+    return running_count(linked, F.col("starts"), file_col, page_col, "doc_index").drop("_range")
+
+
+def _same_range(left: DataFrame, right: DataFrame, file_col: str) -> DataFrame:
+    """left with what right(_f, _r, ...) knows of its range; a null file is a file."""
+    return left.join(right, left[file_col].eqNullSafe(right["_f"]) & (left["_range"] == right["_r"]), "left").drop("_f", "_r")
+
+
+def previous_row(rows: DataFrame, name: str, fields: Sequence[str], file_col: str, page_col: str) -> DataFrame:
+    """rows(file, page, _range) with `name`, the fields of the row before in the file: within a range by a window, across
+    ranges by each range's last row, of which a file has as many as ranges."""
+    row = F.struct(*fields)
+    ends = rows.groupBy(F.col(file_col).alias("_f"), F.col("_range").alias("_r")).agg(F.max_by(row, page_col).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(W.partitionBy("_f").orderBy("_r"))).drop("_end")
+    here = rows.withColumn(name, F.lag(row).over(W.partitionBy(file_col, "_range").orderBy(page_col)))
+    return _same_range(here, before, file_col).withColumn(name, F.coalesce(name, "_before")).drop("_before")
+
+
+def running_count(rows: DataFrame, flag: Column, file_col: str, page_col: str, name: str) -> DataFrame:
+    """rows(file, page, _range) with `name`, the flagged rows of the file so far."""
+    sums = rows.groupBy(F.col(file_col).alias("_f"), F.col("_range").alias("_r")).agg(F.sum(flag.cast("int")).alias("_sum"))
+    before = sums.withColumn("_so_far", F.sum("_sum").over(W.partitionBy("_f").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))).drop("_sum")
+    inside = F.sum(flag.cast("int")).over(W.partitionBy(file_col, "_range").orderBy(page_col).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return _same_range(rows.withColumn("_in", inside), before, file_col).withColumn(name, F.col("_in") + F.coalesce("_so_far", F.lit(0))).drop("_in", "_so_far")
 
 
 def segment_documents(grouped: DataFrame, file_col: str = "file_id", page_col: str = "page", name_col: str | None = None) -> DataFrame:
