@@ -72,8 +72,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Accented letters without their marks; marks of their own are removed."""
-    return F.regexp_replace(F.translate(_col(c), *_accents()), r"\p{Mn}+", "")
+    """Accented letters without their marks; marks of their own are removed. Text of single bytes has neither."""
+    text = _col(c)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", ""))
 
 
 def collapse(c: Column | str) -> Column:
