@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -197,9 +199,38 @@ def or_placeholder(rows: DataFrame, notice: str = "Sem registros") -> DataFrame:
 
 
 def export_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Write each table without its internal columns, a folder each; an empty one has its notice."""
-    for name, rows in tables.items():
-        or_placeholder(sanitize(rows, export=name != "outros")).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Write each table without its internal columns, a folder each; an empty one has its notice.
+
+    All tables are written beside the export first. Only when the last one is there do they take the places of the former
+    ones, and then a manifest names them with their rows; if a table fails, the export stays as it was."""
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = lambda name: jvm.Path(f"{path}/{name}")
+    files = place("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, counted = f"_staged-{uuid.uuid4().hex}", {}
+    try:
+        for name, rows in tables.items():
+            or_placeholder(sanitize(rows, export=name != "outros")).write.parquet(f"{path}/{staged}/{name}")
+            counted[name] = spark.read.parquet(f"{path}/{staged}/{name}").where("notice IS NULL").count()
+        files.delete(place("manifest.json"), False)  # while tables change places there is no whole export
+        for name in tables:
+            files.delete(place(name), True)
+            files.rename(place(f"{staged}/{name}"), place(name))
+        out = files.create(place("manifest.json"), True)
+        try:
+            out.write(bytearray(json.dumps({"tables": counted}).encode()))
+        finally:
+            out.close()
+    finally:
+        files.delete(place(staged), True)
+
+
+def exported(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that an export's manifest names; an export that was not finished has none."""
+    rows = spark.read.text(f"{path}/manifest.json", wholetext=True).first()
+    return {name: spark.read.parquet(f"{path}/{name}") for name in json.loads(rows["value"])["tables"]}
 
 
 def column_widths(rows: DataFrame, first: int = 100) -> DataFrame:

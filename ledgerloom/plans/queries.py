@@ -7,6 +7,7 @@ own fiscal patterns are covered by tests.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from ..functions import numbers, similarity, text
 from ..operators import assemble, extract, modeljson, resolve, route, rules, segment
 from ..sources import files
+from ..sources.scratch import shared_folder
 from ..streaming import progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,6 +477,24 @@ def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.unionByName(none)
 
 
+@query("""
+WITH t(name, k) AS (VALUES ('nfe', 0), ('nfse', 1), ('cte', 2), ('outros', 3), ('orcamento', 9)),
+o AS (SELECT o_orderkey % 4 AS k, o_orderkey, o_totalprice FROM orders)
+SELECT t.name AS "table", count(o_orderkey) AS n_rows, CASE WHEN t.name = 'outros' THEN 4 ELSE 3 END AS n_columns, CASE WHEN count(o_orderkey) = 0 THEN 'Sem registros' END AS notice, sum(o_orderkey)::BIGINT AS keys
+FROM t LEFT JOIN o ON o.k = t.k GROUP BY t.name
+""")
+def export_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five review tables exported together and read back by the manifest; one of them has no rows."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("kind"), "o_totalprice", F.lit("n").alias("notes"), F.lit(1).alias("_hidden"))
+    path = shared_folder(spark, "export")
+    route.export_tables({name: orders.where(F.col("kind") == k) for k, name in ((0, "nfe"), (1, "nfse"), (2, "cte"), (3, "outros"), (9, "orcamento"))}, path)
+    found = [
+        rows.agg(F.count("o_orderkey").alias("n_rows"), F.max("notice").alias("notice"), F.sum("o_orderkey").alias("keys")).select(F.lit(name).alias("table"), "n_rows", F.lit(len(rows.columns)).alias("n_columns"), "notice", "keys")
+        for name, rows in route.exported(spark, path).items()
+    ]
+    return reduce(DataFrame.union, found)
+
+
 @query("""
 SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' || c_nationkey ELSE c_mktsegment END AS code, CASE WHEN c_custkey % 10 = 0 THEN n_name ELSE c_name END AS catalog_description,
        CASE WHEN c_custkey % 10 = 0 THEN 90.0 ELSE 50.0 END AS code_confidence, 77.0 AS number_confidence

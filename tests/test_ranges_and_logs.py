@@ -78,3 +78,17 @@ def test_scanned_rows_of_odd_pages(spark):
     # no unit, no description, no code: no item
     assert items([word(5, 40, "12345"), word(5, 100, "PECA")]) == [] and items([word(5, 40, "12345"), word(5, 300, "PC")]) == [] and items([word(5, 40, "PECA"), word(5, 300, "PC")]) == []
     assert items([]) == []
+
+
+def test_an_export_that_fails_leaves_the_former_one(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, code string")
+    route.export_tables({"nfe": rows, "outros": rows.where("false")}, str(tmp_path))
+    failing = rows.select("k", F.raise_error(F.lit("broken")).cast("string").alias("code"))
+    try:
+        route.export_tables({"nfe": rows.limit(1), "outros": failing}, str(tmp_path))
+        raise AssertionError("the export should fail")
+    except Exception as error:  # noqa: BLE001
+        assert "broken" in str(error)
+    found = route.exported(spark, str(tmp_path))
+    assert sorted(found) == ["nfe", "outros"] and found["nfe"].count() == 2
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_staged")]
