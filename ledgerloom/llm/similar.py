@@ -44,7 +44,7 @@ LANES = 4
 FP_BITS = 64 * LANES
 #: Standard deviations by which a pair's distance may exceed what its similarity makes likely.
 SLACK = 4.0
-#: Sets of one key that are joined with each other; how often larger keys choose a pivot; fingerprints on one side of a tile of what is left.
+#: Sets of one key that are compared in one tile without pivots; how often larger keys choose a pivot; fingerprints on one side of a tile of what is left.
 FEW, PIVOTS, PRINTS = 16, 3, 1024
 #: Sets on one side of a tile.
 TILE = 256
@@ -122,7 +122,7 @@ def _distance(a: str, b: str, lanes: int = LANES) -> Column:
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0))
 
 
-def _grouped_links(near: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+def _grouped_links(near: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): every set that has a link, and the smallest set it reaches by links of the square matrix `near`."""
     i, j = np.nonzero(near)
     low = rep.copy()
@@ -131,7 +131,7 @@ def _grouped_links(near: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
         np.minimum.at(low, i, low[j])
         if (before == low).all():
             break
-    return pd.DataFrame({"a": rep[low != rep], "b": low[low != rep]})
+    return rep[low != rep], low[low != rep]
 
 
 def _print_links(similarity: float):
@@ -140,18 +140,22 @@ def _print_links(similarity: float):
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, tile in part.groupby(["key", "i", "j"], sort=False):
-            rep, side, n = (tile[c].to_numpy() for c in ("rep", "side", "n"))
-            lanes = tile[[f"f{k}" for k in range(LANES)]].to_numpy(np.int64).view(np.uint64)
+        part = part.sort_values(["key", "i", "j"])
+        at = part[["key", "i", "j"]].to_numpy()
+        firsts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+        whole = [part[c].to_numpy() for c in ("rep", "side", "n")]
+        prints = part[[f"f{k}" for k in range(LANES)]].to_numpy(np.int64).view(np.uint64)
+        for start, stop in zip([0, *firsts], [*firsts, len(part)], strict=True):
+            (rep, side, n), lanes = (c[start:stop] for c in whole), prints[start:stop]
             near = np.zeros((len(rep), len(rep)), bool)
-            for at in range(0, len(rep), 128):
-                rows = slice(at, at + 128)
+            for low in range(0, len(rep), 128):
+                rows = slice(low, low + 128)
                 bits = sum(np.bitwise_count(lanes[rows, None, k] ^ lanes[None, :, k]).astype(np.int16) for k in range(LANES))
                 near[rows] = (bits <= bound) & (np.minimum(n[rows, None], n) >= similarity * np.maximum(n[rows, None], n))
-            if tile["i"].iat[0] != tile["j"].iat[0]:
+            if at[start, 1] != at[start, 2]:
                 near &= side[:, None] != side[None, :]
             out.append(_grouped_links(near, rep))
-        return pd.concat(out)
+        return pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -178,28 +182,27 @@ def hot_links(many: DataFrame, similarity: float) -> list[DataFrame]:
         found.append(met.where(F.col("apart") <= bound + bound // 3).select(F.col("rep").alias("a"), F.col("p").alias("b")))
         rest = met.where(F.col("apart") > bound // 3).select("key", "rep", "n", *lanes)
         open_rows = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "hot-blocks")
-    tiles = _tiles(open_rows, "key", PRINTS)
+    return [*found, _tile_rows(open_rows, similarity)]
+
+
+def _tile_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each set of sets(key, rep, n, fingerprint, size) that may be similar to others of its key with the smallest it
+    reaches in a tile: fewer rows than sets, however many are alike."""
     # keys of one tile share groups of about PRINTS sets; each larger one has a group per tile
-    group = F.when(F.col("size") <= PRINTS, F.pmod(F.xxhash64("key"), F.lit(max(1, open_rows.count() // PRINTS)))).otherwise(F.xxhash64("key", "i", "j"))
-    tiled = tiles.withColumn("g", group).select("g", "key", "i", "j", "side", "rep", "n", *lanes)
-    return [*found, tiled.groupBy("g").applyInPandas(_print_links(similarity), "a long, b long")]
+    group = F.when(F.col("size") <= PRINTS, F.pmod(F.xxhash64("key"), F.lit(max(1, sets.count() // PRINTS)))).otherwise(F.xxhash64("key", "i", "j"))
+    tiled = _tiles(sets, "key", PRINTS).withColumn("g", group).select("g", "key", "i", "j", "side", "rep", "n", *[f"f{i}" for i in range(LANES)])
+    return tiled.groupBy("g").applyInPandas(_print_links(similarity), "a long, b long").distinct()
 
 
 def regions(sets: DataFrame, similarity: float) -> DataFrame:
     """(rep, region): what sets(rep, n, fingerprint, keys) that meet in a block are connected to, if their sizes and whole
     fingerprints allow the similarity."""
-    rows = sets.select(F.explode("keys").alias("key"), "rep", F.col("f0").alias("m0"))
+    rows = sets.select(F.explode("keys").alias("key"), "rep")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = stage(rows.join(shared, "key"), "blocks")
-    few = blocks.where(F.col("size") <= FEW)
-    x, y = (few.select("key", F.col("rep").alias(s), F.col("m0").alias(f"{s}0")) for s in ("x", "y"))
-    pairs = stage(x.join(y, "key").where((F.col("x") < F.col("y")) & (_distance("x", "y", 1) <= _bound(64, similarity))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    left, right = (sets.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), *[F.col(f"f{i}").alias(f"{s}{i}") for i in range(LANES)]) for s in ("a", "b"))
-    sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
-    near = pairs.join(left, "a").join(right, "b").where(sized & (_distance("a", "b") <= _bound(FP_BITS, similarity))).select("a", "b")
-    hot = blocks.where(F.col("size") > FEW).select("key", "rep", "size")
-    many = stage(hot.join(sets.select("rep", "n", *[f"f{i}" for i in range(LANES)]), "rep"), "hot-blocks")
-    found = reduce(DataFrame.union, [near, *(hot_links(many, similarity) if not many.isEmpty() else [])])
+    blocks = rows.join(shared, "key")
+    blocks = stage(blocks.join(sets.select("rep", "n", *[f"f{i}" for i in range(LANES)]), "rep"), "blocks")
+    few, many = blocks.where(F.col("size") <= FEW), blocks.where(F.col("size") > FEW)
+    found = reduce(DataFrame.union, [_tile_rows(few, similarity), *(hot_links(many, similarity) if not many.isEmpty() else [])])
     return stage(connected_components(found, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("region")), "regions")
 
 
@@ -235,7 +238,7 @@ def _tile_links(similarity: float):
             if tile["i"].iat[0] != tile["j"].iat[0]:
                 near &= side[:, None] != side[None, :]
             out.append(_grouped_links(near, rep))
-        return pd.concat(out)
+        return pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import similar
 from ledgerloom.operators import assemble, extract
 from ledgerloom.sources.scratch import spread
 
@@ -29,3 +30,9 @@ def test_lines_are_not_computed_again_for_every_use(spark):
 
 def test_few_rows_are_spread_over_tasks(spark):
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_sets_of_one_small_key_give_fewer_links_than_sets(spark):
+    lanes = [f"f{i}" for i in range(similar.LANES)]
+    sets = spark.createDataFrame([(1, r, 50, *[7] * similar.LANES, 12) for r in range(12)], f"key long, rep long, n long, {', '.join(f'{c} long' for c in lanes)}, size long")
+    assert sorted(map(tuple, similar._tile_rows(sets, 0.8).collect())) == [(r, 0) for r in range(1, 12)]
