@@ -29,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, prepare, small, stage
@@ -44,7 +44,7 @@ LANES = 4
 FP_BITS = 64 * LANES
 #: Standard deviations by which a pair's distance may exceed what its similarity makes likely.
 SLACK = 4.0
-#: Sets of one key that are compared in one tile without pivots; how often larger keys choose a pivot; fingerprints on one side of a tile of what is left.
+#: Sets of one key that are compared in one tile without pivots; how many pivots larger keys choose; fingerprints on one side of a tile of what is left.
 FEW, PIVOTS, PRINTS = 16, 3, 1024
 #: Sets on one side of a tile.
 TILE = 256
@@ -117,11 +117,6 @@ def _bound(bits: int, similarity: float) -> int:
     return math.ceil(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
-def _distance(a: str, b: str, lanes: int = LANES) -> Column:
-    """Differing bits of lanes a0, a1, ... and b0, b1, ..."""
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)), F.lit(0))
-
-
 def _grouped_links(near: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): every set that has a link, and the smallest set it reaches by links of the square matrix `near`."""
     i, j = np.nonzero(near)
@@ -170,19 +165,17 @@ def hot_links(many: DataFrame, similarity: float) -> list[DataFrame]:
     """(a, b): links of sets(key, rep, n, fingerprint, size) of large keys; what they connect holds all that may be similar.
 
     A pivot takes the sets within a third of the bound out of its key. Whatever may be similar to one of those is within
-    four thirds of the bound of the pivot, so all these join the pivot's region but stay in the key. What PIVOTS turns
-    leave is compared in tiles, by whole fingerprints and sizes."""
-    lanes, bound, found, open_rows = [f"f{i}" for i in range(LANES)], _bound(FP_BITS, similarity), [], many
-    for turn in range(PIVOTS):
-        order = F.xxhash64("rep", F.lit(turn))
-        pivots = open_rows.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("p"), *[F.col(c).alias(f"p{c[1:]}") for c in lanes]), order).alias("pivot")).select("key", "pivot.*")
-        met = stage(open_rows.join(pivots, "key").where("rep <> p").withColumn("apart", _distance("f", "p")).drop("size", *[f"p{i}" for i in range(LANES)]), "pivots")
-        if met.isEmpty():
-            return found
-        found.append(met.where(F.col("apart") <= bound + bound // 3).select(F.col("rep").alias("a"), F.col("p").alias("b")))
-        rest = met.where(F.col("apart") > bound // 3).select("key", "rep", "n", *lanes)
-        open_rows = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "hot-blocks")
-    return [*found, _tile_rows(open_rows, similarity)]
+    four thirds of the bound of the pivot, so all these join the pivot's region but stay in the key. What PIVOTS pivots
+    leave is compared in tiles, by whole fingerprints and sizes. A key's pivots are chosen in one pass, so that every set
+    meets them in one join and its key's rest in another, however many pivots there are."""
+    lanes, bound = [f"f{i}" for i in range(LANES)], _bound(FP_BITS, similarity)
+    pivots = many.groupBy("key").agg(*[F.min_by(F.struct("rep", *lanes), F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    apart = [sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{k}.{c}"))) for c in lanes), F.lit(0)).alias(f"apart{k}") for k in range(PIVOTS)]
+    met = stage(many.join(pivots, "key").select("key", "rep", "n", *lanes, *[F.col(f"p{k}.rep").alias(f"p{k}") for k in range(PIVOTS)], *apart), "pivots")
+    found = [met.where((F.col(f"apart{k}") <= bound + bound // 3) & (F.col("rep") != F.col(f"p{k}"))).select(F.col("rep").alias("a"), F.col(f"p{k}").alias("b")) for k in range(PIVOTS)]
+    rest = met.where(" AND ".join(f"apart{k} > {bound // 3}" for k in range(PIVOTS))).select("key", "rep", "n", *lanes)
+    left = stage(rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "hot-blocks")
+    return found if left.isEmpty() else [*found, _tile_rows(left, similarity)]
 
 
 def _tile_rows(sets: DataFrame, similarity: float) -> DataFrame:
