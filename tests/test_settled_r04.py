@@ -3,7 +3,10 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import similar
+from ledgerloom.operators import assemble
 
 
 def test_sets_of_a_hot_key_meet_its_pivots_in_one_join(spark, monkeypatch):
@@ -29,3 +32,25 @@ def test_sets_of_a_hot_key_meet_its_pivots_in_one_join(spark, monkeypatch):
         top[max(root(a), root(b))] = min(root(a), root(b))
     alike = [(a, b) for a, b in combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= bound]
     assert len(alike) > 300 and all(root(a) == root(b) for a, b in alike)
+
+
+def test_folds_take_sorted_streams_not_a_frame_for_each_group(spark):
+    """A page's or file's rows are folded as they come: no pandas frame is made for each of them."""
+    pages = spark.createDataFrame([("a", 1, "NFE", True)], "file_id string, page int, document_type string, is_continuation boolean").withColumn("confidence", F.lit(1.0))
+    words = spark.createDataFrame([("a", 1, "x", 1, 2, 3, 4)], "file_id string, page int, text string, left int, top int, width int, height int")
+    for found in (assemble.merge_pages(pages), assemble.word_rows(words)):
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_files_and_pages_that_cross_batches_are_whole(spark):
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pages = spark.createDataFrame([(f, p, "NFE", p > 1) for f in ("a", "b", None) for p in range(1, 9)], "file_id string, page int, document_type string, is_continuation boolean").withColumn("confidence", F.lit(1.0))
+        assert sorted((r.file_id or "", r.pages) for r in assemble.merge_pages(pages).collect()) == [(f, list(range(1, 9))) for f in ("", "a", "b")]
+        words = spark.createDataFrame([(f, 1, f"{f}{i}", 50 * (i % 4), 40 * (i // 4), 30, 10) for f in "ab" for i in range(8)], "file_id string, page int, text string, left int, top int, width int, height int")
+        rows = sorted((r.file_id, r.row_no, r.cy, r.top, r.bottom, r.text) for r in assemble.word_rows(words).collect())
+        assert rows == [(f, n, 40.0 * n + 5, 40 * n, 40 * n + 10, " ".join(f"{f}{4 * n + i}" for i in range(4))) for f in "ab" for n in (0, 1)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
