@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import similar
-from ledgerloom.operators import assemble
+from ledgerloom.operators import assemble, modeljson, scanned, segment
 
 
 def test_sets_of_a_hot_key_meet_its_pivots_in_one_join(spark, monkeypatch):
@@ -54,3 +54,44 @@ def test_files_and_pages_that_cross_batches_are_whole(spark):
         assert rows == [(f, n, 40.0 * n + 5, 40 * n, 40 * n + 10, " ".join(f"{f}{4 * n + i}" for i in range(4))) for f in "ab" for n in (0, 1)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+
+
+
+def test_scanned_rows_are_dealt_once(spark):
+    """Rows that lie by page stay there: neither head rows nor second readings deal rows with their words anew."""
+    flat = spark.createDataFrame([("p", 5, t, x, 10, 90.0) for t, x in (("12345", 40), ("PECA", 100), ("PC", 300), ("7", 400))], "page string, row_no int, text string, left int, width int, confidence double")
+    held = flat.groupBy("page", "row_no").agg(F.collect_list(F.struct("text", "left", "width", "confidence")).alias("words"))
+    assert scanned.placed_words(held).select("page", "row_no", "text", "words").collect() == scanned.row_words(flat, ["page"]).select("page", "row_no", "text", "words").collect()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame(held.collect(), held.schema).repartition(8, "page")
+        again = spark.createDataFrame([("p", 5, "3")], "page string, row_no int, quantity string").repartition(8, "page")
+        found = scanned.scanned_items(scanned.placed_words(rows).withColumn("page_width", F.lit(1000)), ["page"], again)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(page") == plan.count("REPARTITION_BY_NUM")
+        assert [(r.code, r.quantity) for r in found.collect()] == [("12345", "7")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_compact_text_is_not_dealt_with_pages(spark):
+    pages = spark.createDataFrame([("f", 1, "DANFE x"), ("f", 2, "y")], "file_id string, page int, text string")
+    signed = segment.page_signatures(pages)
+    for grouped in (segment.group_pages(signed), segment.group_pages(signed, range_pages=1, keep=["kind"])):
+        assert [r.doc_index for r in grouped.orderBy("page").collect()] == [1, 2]
+    assert sorted(segment.group_pages(signed, range_pages=1, keep=["kind"]).columns) == ["doc_index", "file_id", "kind", "page", "score", "starts"]
+
+
+def test_documents_of_a_file_stay_where_they_lie(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = spark.createDataFrame([(1, '{"documents":[{"pages":["3"],"notes":"b"},{"pages":["1","3"],"notes":"a"}]}'), (2, "{}")], "f long, json string").repartition(8, "f")
+        found = modeljson.normalize_documents(modeljson.explode_documents(answers, ["f"]), answers.select("f", F.lit(4).alias("total_pages")), ["f"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(f") == plan.count("REPARTITION_BY_NUM")
+        rows = sorted((r.f, r.doc_index, r.pages, r.notes[:1]) for r in found.collect())
+        assert rows == [(1, 1, [1], "a"), (1, 2, [2], "A"), (1, 3, [3], "b"), (1, 4, [4], "A"), *[(2, i, [i], "A") for i in range(1, 5)]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
