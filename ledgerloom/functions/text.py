@@ -101,8 +101,8 @@ def normalize_description(c: Column | str) -> Column:
 
 
 def compact(c: Column | str) -> Column:
-    """normalize(), with nothing but A-Z and 0-9 left."""
-    return F.regexp_replace(normalize(c), "[^A-Z0-9]", "")
+    """normalize(), with nothing but A-Z and 0-9 left; its spaces need not be collapsed first."""
+    return F.regexp_replace(F.upper(strip_accents(c)), "[^A-Z0-9]+", "")
 
 
 def clean_text(c: Column | str, fallback: str = "") -> Column:

@@ -71,17 +71,23 @@ def _strong(p: str) -> Column:
 
 
 def _continues(kind: Column) -> Column:
+    return F.when(kind == "NFE", F.col("_nfe")).when(kind == "NFSE", F.col("_nfse")).otherwise(F.col("_long"))
+
+
+def _facts(signatures: DataFrame) -> DataFrame:
+    """signatures with what is asked of a page's compact text, so that the text itself need not be dealt and sorted."""
     text = F.col("compact_text")
-    return F.when(kind == "NFE", any_contained(text, CONTINUES["NFE"])).when(kind == "NFSE", any_contained(text, CONTINUES["NFSE"])).otherwise(F.length(text) > 100)
+    return signatures.withColumns({"_nfe": any_contained(text, CONTINUES["NFE"]), "_nfse": any_contained(text, CONTINUES["NFSE"]), "_long": F.length(text) > 100, "_short": F.length(text) < 100})
 
 
+_FACTS = ("_nfe", "_nfse", "_long", "_short")
 _SEEN = ("kind", "tax_ids", "keys", "numbers", "tokens", "words", "profile")
 
 
 def boundaries(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page") -> DataFrame:
     """signatures with `starts`: whether a page starts a document, and `score` of the link to the page before."""
     order = W.partitionBy(file_col).orderBy(page_col)
-    return _linked(signatures.withColumn("_p", F.lag(F.struct(*_SEEN)).over(order)))
+    return _linked(_facts(signatures).withColumn("_p", F.lag(F.struct(*_SEEN)).over(order)))
 
 
 def _linked(paired: DataFrame) -> DataFrame:
@@ -99,7 +105,7 @@ def _linked(paired: DataFrame) -> DataFrame:
 
     identity = same_kind & (key | (number & tax))
     other = same_kind & (kind == "OUTRO") & ~strong & (F.array_contains(common, "LISTADEEMBARQUE") | ((F.size(common) >= 1) & (visual >= 0.84) & (text >= 0.10)) | (visual >= 0.93) | (text >= 0.25))
-    alike = F.when(invoice & (visual >= 0.88), goes_on | (F.length("compact_text") < 100)).otherwise(goes_on & (F.greatest(layout, text) >= 0.18))
+    alike = F.when(invoice & (visual >= 0.88), goes_on | F.col("_short")).otherwise(goes_on & (F.greatest(layout, text) >= 0.18))
     same = same_kind & (kind != "OUTRO") & ~strong & alike
     points = (
         key.cast("int") * KEY_POINTS + number.cast("int") * NUMBER_POINTS + tax.cast("int") * TAX_ID_POINTS + layout * LAYOUT_POINTS + goes_on.cast("int") * CONTENT_POINTS + (strong & ~(key | (number & tax))).cast("int") * NEW_HEADER_POINTS
@@ -107,7 +113,7 @@ def _linked(paired: DataFrame) -> DataFrame:
     score = F.when(same_kind, points).otherwise(-999.0)
     scored = same_kind & ~(invoice & strong) & (score >= F.when(invoice, INVOICE_THRESHOLD).otherwise(OTHER_THRESHOLD))
     starts = F.col("_p").isNull() | ~(identity | other | same | scored)
-    return paired.withColumn("score", F.when(F.col("_p").isNotNull(), score)).withColumn("starts", starts).drop("_p", *[f"_p_{c}" for c in seen])
+    return paired.withColumn("score", F.when(F.col("_p").isNotNull(), score)).withColumn("starts", starts).drop("_p", *[f"_p_{c}" for c in seen], *_FACTS)
 
 
 def islands(pages: DataFrame, starts: Column, file_col: str = "file_id", page_col: str = "page", name: str = "doc_index") -> DataFrame:
@@ -116,15 +122,17 @@ def islands(pages: DataFrame, starts: Column, file_col: str = "file_id", page_co
     return pages.withColumn(name, F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
-def group_pages(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page", range_pages: int | None = None) -> DataFrame:
-    """signatures with the number of each page's document.
+def group_pages(signatures: DataFrame, file_col: str = "file_id", page_col: str = "page", range_pages: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """signatures, or their columns `keep` beside file and page, with the number of each page's document.
 
     With range_pages, files are dealt in ranges of so many page numbers, so that a file with a large part of all pages is
     worked on by many tasks; the signatures are written first, as they are read twice."""
+    columns = list(dict.fromkeys([file_col, page_col, *keep])) if keep is not None else signatures.columns
     if range_pages is None:
-        return islands(boundaries(signatures, file_col, page_col), F.col("starts"), file_col, page_col)
-    ranged = written(signatures.withColumn("_range", F.floor(F.col(page_col) / range_pages)), "signatures")
-    linked = written(_linked(previous_row(ranged, "_p", _SEEN, file_col, page_col)), "boundaries")
+        return islands(boundaries(signatures, file_col, page_col), F.col("starts"), file_col, page_col).select(*columns, "score", "starts", "doc_index")
+    needed = list(dict.fromkeys([*columns, *_SEEN, *_FACTS, "_range"]))
+    ranged = written(_facts(signatures).withColumn("_range", F.floor(F.col(page_col) / range_pages)).select(*needed), "signatures")
+    linked = written(_linked(previous_row(ranged, "_p", _SEEN, file_col, page_col)).select(*columns, "_range", "score", "starts"), "boundaries")
     return running_count(linked, F.col("starts"), file_col, page_col, "doc_index").drop("_range")
 
 
