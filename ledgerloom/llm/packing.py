@@ -4,7 +4,7 @@ Documents are tokenised and cut into pieces; only documents longer than a sequen
 histogram (at most one row per possible length) describes the whole problem as a configuration linear
 program: how often to use each multiset of lengths that fits a sequence. Multiplicative weights solve it
 with a bounded-knapsack dynamic program as the pricing step; the fractions are rounded down, the program is
-solved again for what that leaves, and the rest is packed by best fit. Best fit alone is the floor of every
+solved again for what that leaves, and the rest is packed by best fit, or by the program's prices where that is shorter. Best fit alone is the floor of every
 plan. Pieces then find their place by their rank among
 the pieces of their length, so no task ever holds more than a slice of them.
 
@@ -15,7 +15,6 @@ each; null ids pass through; empty tables give empty results; other columns are
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 import math
 import zlib
@@ -40,8 +39,10 @@ PRICED = 250_000
 LEAN = 1.1
 #: Bounds of the step: the share of its demand that a round's most covered length gains.
 LEAST_STEP, MOST_STEP = 0.02, 1.0
-#: Shares of the fractional solution that are tried when rounding.
-ROUNDED_SHARES = (0.0, 1.0, 0.25)
+#: How often the program is solved: for all pieces, and for what rounding down leaves.
+SOLVES = 2
+#: Shares of the fractional solution that are tried when rounding; with none of it, its prices alone make the plan.
+ROUNDED_SHARES = (1.0, 0.0)
 
 _encodings: dict[str, object] = {}
 
@@ -203,8 +204,9 @@ def _sequences(plan: list[tuple[dict[int, int], int]]) -> int:
 def solve_configurations(histogram: dict[int, int], capacity: int = SEQUENCE_TOKENS, priced: int = PRICED) -> list[tuple[dict[int, int], int]]:
     """[(lengths of a sequence with their counts, number of such sequences)], using up the histogram exactly.
 
-    Shares of the fractional solution are rounded down and the rest in whole configurations, by the weights' starting
-    and mean prices; the first plan that reaches the bound of tokens or of halves ends the search.
+    The program's fractions are rounded down and it is solved again for what they leave; after each solve the rest is packed
+    by best fit or in whole configurations by the weights' starting and mean prices, whichever needs fewer sequences. The
+    first plan that reaches the bound of tokens or of halves ends the search; else one by prices alone is tried as well.
     priced bounds the work: few lengths get many rounds of small steps, many lengths fewer and larger ones."""
     sizes = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     demand = np.array([histogram[int(k)] for k in sizes], np.int64)
@@ -214,16 +216,16 @@ def solve_configurations(histogram: dict[int, int], capacity: int = SEQUENCE_TOK
     if not len(sizes):
         return full
     least = max(-(-int((sizes * demand).sum()) // capacity), int(demand[2 * sizes > capacity].sum()))
-    parcels = sum(int(x).bit_length() for x in np.minimum(demand, capacity // sizes))
-    rounds = max(1, min(priced // parcels, math.ceil(2 * len(sizes) / LEAST_STEP), 2 * int(demand.sum())))
-    fractions, mean = _fractions(sizes, demand, capacity, rounds, min(MOST_STEP, max(LEAST_STEP, 1.5 * len(sizes) / rounds)))
     lean = (sizes / capacity) ** LEAN
     best: list[tuple[dict[int, int], int]] | None = None
-    for share, price in itertools.product(ROUNDED_SHARES, (lean, mean * lean * capacity / sizes)):
-        head, left = _rounded(demand, fractions, share)
-        plan = head + _priced(sizes, left, capacity, price)
-        if best is None or _sequences(plan) < _sequences(best):
-            best = plan
+    for share in ROUNDED_SHARES:
+        for head, left, mean in _solved(sizes, demand, capacity, priced, share):
+            rests = (_best_fit(sizes, left, capacity), *(_priced(sizes, left, capacity, price) for price in (lean, mean * lean * capacity / sizes)))
+            plan = head + min(rests, key=_sequences)
+            if best is None or _sequences(plan) < _sequences(best):
+                best = plan
+            if _sequences(best) <= least:
+                break
         if _sequences(best) <= least:
             break
     plain = _best_fit(sizes, demand, capacity)
@@ -231,6 +233,29 @@ def solve_configurations(histogram: dict[int, int], capacity: int = SEQUENCE_TOK
     return full + [({int(sizes[i]): a for i, a in counts.items()}, n) for counts, n in chosen]
 
 
+def _solved(sizes: np.ndarray, demand: np.ndarray, capacity: int, priced: int, share: float) -> Iterator[tuple[list[tuple[dict[int, int], int]], np.ndarray, np.ndarray]]:
+    """(plan, demand left, mean prices) after each solve: `share` of the program's fractions is rounded down, and the program
+    is solved again for what that leaves, SOLVES times in all or until nothing can be rounded."""
+    left, plan, mean = demand.copy(), [], np.ones(len(sizes))
+    for _ in range(SOLVES):
+        if not left.any():
+            break
+        here = np.nonzero(left)[0]
+        parcels = sum(int(x).bit_length() for x in np.minimum(left[here], capacity // sizes[here]))
+        rounds = max(1, min(priced // parcels, math.ceil(2 * len(here) / LEAST_STEP), 2 * int(left.sum())))
+        fractions, mean[here] = _fractions(sizes[here], left[here], capacity, rounds, min(MOST_STEP, max(LEAST_STEP, 1.5 * len(here) / rounds)))
+        head, rest = _rounded(left[here], fractions, share)
+        if not head:
+            break
+        priced //= 2
+        plan = plan + [({int(here[i]): a for i, a in counts.items()}, n) for counts, n in head]
+        left = left.copy()
+        left[here] = rest
+        yield plan, left, mean
+    if not plan:
+        yield plan, left, mean
+
+
 def _slots(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, copies in a sequence, offset of the first copy), sorted."""
     rows, taken, sequence = [], {}, 0

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import similar
+from ledgerloom.llm import packing, similar
 from ledgerloom.operators import assemble, modeljson, scanned, segment
 
 
@@ -95,3 +95,19 @@ def test_documents_of_a_file_stay_where_they_lie(spark):
         assert rows == [(1, 1, [1], "a"), (1, 2, [2], "A"), (1, 3, [3], "b"), (1, 4, [4], "A"), *[(2, i, [i], "A") for i in range(1, 5)]]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_packing_solves_the_program_again_for_what_rounding_leaves(monkeypatch):
+    solved, fractions = [], packing._fractions
+
+    def counted(sizes, demand, *more):
+        solved.append(int(demand.sum()))
+        return fractions(sizes, demand, *more)
+
+    monkeypatch.setattr(packing, "_fractions", counted)
+    histogram = {600: 100, 300: 100, 400: 50, 124: 300}
+    plan = packing.solve_configurations(histogram)
+    # the first solve is of all pieces, the next of what its rounded configurations leave
+    assert solved[0] == 550 and 0 < solved[1] < 100
+    assert sum(n for _, n in plan) <= 145
+    assert {k: sum(c.get(k, 0) * n for c, n in plan) for k in histogram} == histogram
