@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.numbers import clamp, page_range
 from ..functions.text import clean_text, first_non_blank
-from .extract import NO_COMPANY, NO_NUMBER, budget_line, order_total
+from .extract import NO_COMPANY, NO_NUMBER, order_total, with_budget_line
 from .resolve import correlate_products, correlate_services, correlate_transport, override_services
 
 #: Columns that never leave the review, and those that an export leaves out besides.
@@ -78,21 +78,22 @@ def deep_budget(native: DataFrame, read: DataFrame, by: Sequence[str]) -> DataFr
     there are any, and give the total if the text doesn't. `source_confidence` is 96, else 92."""
     keys = list(by)
     both = native.select(*keys, "page", "text", F.lit(False).alias("_images")).union(read.select(*keys, "page", "text", F.lit(True).alias("_images")))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), budget_line(x).alias("b")))
-    parsed = both.select(*keys, "page", "_images", F.filter(lines, lambda x: x["b"].isNotNull()).alias("_rows"), order_total("text").alias("_total"))
+    totals = both.select(*keys, "page", "_images", order_total("text").alias("_total"), F.explode(F.array(F.split("text", "\n"))).alias("_lines"))
+    lines = totals.select(*keys, "page", "_images", "_total", F.posexplode("_lines").alias("line_no", "_line"))
+    # a page's first line stays for its total
+    parsed = with_budget_line(lines, "_line", "_b").where(F.col("_b").isNotNull() | (F.col("line_no") == 0))
     file = W.partitionBy(*keys)
 
     def of(images: bool) -> tuple[Column, Column]:
         """Whether a file has rows there, and the total on the first page that states one."""
         mine = F.col("_images") == images
-        return F.sum(F.when(mine, F.size("_rows"))).over(file) > 0, F.min_by("_total", F.when(mine & F.col("_total").isNotNull(), F.col("page"))).over(file)
+        return F.max(mine & F.col("_b").isNotNull()).over(file), F.min_by("_total", F.when(mine & F.col("_total").isNotNull(), F.col("page"))).over(file)
 
     (has_own, own), (has_read, other) = of(False), of(True)
-    known = parsed.withColumns({"_has_own": F.coalesce(has_own, F.lit(False)), "_own": own, "_has_read": F.coalesce(has_read, F.lit(False)), "_read": other})
+    known = parsed.withColumns({"_has_own": has_own, "_own": own, "_has_read": has_read, "_read": other})
     stands = F.col("_has_own") & F.col("_own").isNotNull()
-    chosen = known.where(F.col("_images") == (~stands & F.col("_has_read")))
-    rows = chosen.select(*keys, "page", F.coalesce("_own", F.when(~stands, F.col("_read"))).alias("order_total"), F.when(stands, 96.0).otherwise(92.0).alias("source_confidence"), F.explode("_rows").alias("_r"))
-    return rows.select(*keys, "page", "_r.line_no", "_r.b.*", "order_total", "source_confidence")
+    chosen = known.where((F.col("_images") == (~stands & F.col("_has_read"))) & F.col("_b").isNotNull())
+    return chosen.select(*keys, "page", "line_no", "_b.*", F.coalesce("_own", F.when(~stands, F.col("_read"))).alias("order_total"), F.when(stands, 96.0).otherwise(92.0).alias("source_confidence"))
 
 
 def merge_lines(native: DataFrame, read: DataFrame, by: Sequence[str], norm: Column, line_no: str = "line_no") -> DataFrame:
