@@ -579,11 +579,14 @@ def transport_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def goods_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item rows of whole invoices, an invoice per order."""
     line = F.concat_ws(" ", F.concat(F.lit("C"), F.col("l_partkey")), F.concat(F.lit("PECA "), F.col("l_suppkey")), F.lit("8481.80.99 060 5102 UN"), F.concat(F.col("l_quantity").cast("int"), F.lit(",000")), _br("l_extendedprice"))
-    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t"))))
-    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))
-    lines = F.concat(F.array(F.lit("DANFE"), F.lit("X1 FORA 84818099 060 5102 UN 1,000"), F.lit("Dados dos produtos")), F.transform("items", lambda x: x["t"]), F.array(F.lit("Dados adicionais"), F.lit("X2 FORA 84818099 060 5102 UN 1,000")))
-    found = orders.select("l_orderkey", "items", F.posexplode(extract.goods_items(lines)).alias("i", "g"))
-    return found.select("l_orderkey", F.get("items", F.col("i"))["l_linenumber"].alias("l_linenumber"), "g.*")
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # numbers are dealt, not texts, and over tasks that grow with them; then an order's rows lie together
+    dealt = items.repartition(tasks_for(items, ROWS_PER_TASK), "l_orderkey")
+    orders = dealt.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t")))).alias("items"))
+    head, tail = F.array(F.lit("DANFE"), F.lit("X1 FORA 84818099 060 5102 UN 1,000"), F.lit("Dados dos produtos")), F.array(F.lit("Dados adicionais"), F.lit("X2 FORA 84818099 060 5102 UN 1,000"))
+    invoices = orders.select("l_orderkey", F.col("items.l_linenumber").alias("numbers"), F.concat(head, F.col("items.t"), tail).alias("lines"))
+    found = extract.goods_item_rows(invoices, ["l_orderkey", "numbers"])
+    return found.select("l_orderkey", F.get("numbers", F.col("line_no") - F.size(head)).alias("l_linenumber"), "code", "description", "ncm", "unit", "quantity")
 
 
 _SERVICE_SQL = """
