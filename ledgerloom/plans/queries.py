@@ -582,7 +582,9 @@ def goods_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     # numbers are dealt, not texts, and over tasks that grow with them; then an order's rows lie together
     dealt = items.repartition(tasks_for(items, ROWS_PER_TASK), "l_orderkey")
-    orders = dealt.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t")))).alias("items"))
+    # written by compiled code: what is inside collect_list() is interpreted
+    written = dealt.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.explode(F.array(line)).alias("t"))
+    orders = written.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "t"))).alias("items"))
     head, tail = F.array(F.lit("DANFE"), F.lit("X1 FORA 84818099 060 5102 UN 1,000"), F.lit("Dados dos produtos")), F.array(F.lit("Dados adicionais"), F.lit("X2 FORA 84818099 060 5102 UN 1,000"))
     invoices = orders.select("l_orderkey", F.col("items.l_linenumber").alias("numbers"), F.concat(head, F.col("items.t"), tail).alias("lines"))
     found = extract.goods_item_rows(invoices, ["l_orderkey", "numbers"])
