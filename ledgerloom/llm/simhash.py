@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare, stage
+from .common import connected_components, prepare, shuffled, stage
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
@@ -88,15 +88,15 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE, blocks: int = BL
     masks = F.array(*[F.lit(_signed(m)) for m in block_masks(blocks, distance)])
     rows = fps.select("fp").distinct().select("fp", F.posexplode(masks).alias("tab", "mask")).select("tab", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     shared = rows.groupBy("tab", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("tab", "key", "pivot")
-    members = stage(rows.join(shared, ["tab", "key"]), "buckets")
+    members = stage(rows.join(shuffled(shared), ["tab", "key"]), "buckets")
 
     stars = members.where(F.col("fp") != F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), distance))
     first = stage(connected_components(stars, "fp", "pivot").select(F.col("id").alias("fp"), F.col("component").alias("root")), "stars")
 
-    labelled = members.select("tab", "key", "fp").join(first, "fp", "left").select("tab", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = members.select("tab", "key", "fp").join(shuffled(first), "fp", "left").select("tab", "key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = labelled.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tab", "key")
-    open_rows = stage(labelled.join(mixed, ["tab", "key"]), "mixed")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    open_rows = stage(labelled.join(shuffled(mixed), ["tab", "key"]), "mixed")
+    x, y = open_rows.alias("x"), shuffled(open_rows.alias("y"))
     pairs = x.join(
         y,
         (F.col("x.tab") == F.col("y.tab")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _near(F.col("x.fp"), F.col("y.fp"), distance),
@@ -104,19 +104,19 @@ def link_fingerprints(fps: DataFrame, distance: int = DISTANCE, blocks: int = BL
     second = connected_components(pairs, "a", "b").select(F.col("id").alias("root"), F.col("component").alias("top"))
 
     # ids that only the second round linked are their own first root
-    known = first.select("fp", "root").union(second.join(first.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("fp"), "root"))
-    return stage(known.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "links")
+    known = first.select("fp", "root").union(second.join(shuffled(first.select("root").distinct()), "root", "left_anti").select(F.col("root").alias("fp"), "root"))
+    return stage(known.join(shuffled(second), "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable by links, itself included."""
     marks = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     links = link_fingerprints(marks, distance, blocks)
-    lowest = marks.groupBy("fp").agg(F.min("doc_id").alias("low")).join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = marks.groupBy("fp").agg(F.min("doc_id").alias("low")).join(shuffled(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only linked fingerprints have more than one row per root
-    groups = links.select("root").distinct().join(lowest, "root").groupBy("root").agg(F.min("low").alias("group_low"))
-    by_fp = lowest.join(groups, "root", "left").select("fp", F.coalesce("group_low", "low").alias("component_id"))
-    return marks.join(by_fp, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = links.select("root").distinct().join(shuffled(lowest), "root").groupBy("root").agg(F.min("low").alias("group_low"))
+    by_fp = lowest.join(shuffled(groups), "root", "left").select("fp", F.coalesce("group_low", "low").alias("component_id"))
+    return marks.join(shuffled(by_fp), "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

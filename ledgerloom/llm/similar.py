@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare, small, stage
+from .common import connected_components, prepare, shuffled, small, stage
 from .words import mix, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -192,7 +192,7 @@ def regions(sets: DataFrame, similarity: float) -> DataFrame:
     fingerprints allow the similarity."""
     rows = sets.select(F.explode("keys").alias("key"), "rep")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = rows.join(shared, "key")
+    blocks = rows.join(shuffled(shared), "key")
     blocks = stage(blocks.join(sets.select("rep", "n", *[f"f{i}" for i in range(LANES)]), "rep"), "blocks")
     few, many = blocks.where(F.col("size") <= FEW), blocks.where(F.col("size") > FEW)
     found = reduce(DataFrame.union, [_tile_rows(few, similarity), *(hot_links(many, similarity) if not many.isEmpty() else [])])
