@@ -76,6 +76,11 @@ def first_index(values: Column, found) -> Column:
     return F.get(F.filter(F.transform(values, lambda x, i: F.when(found(x), i)), lambda i: i.isNotNull()), 0)
 
 
+def first_found(values: Column, kind: str, found) -> Column:
+    """The first of found(element) of type `kind` that isn't null; those after it are not computed."""
+    return F.aggregate(values, F.lit(None).cast(kind), lambda known, x: F.when(known.isNotNull(), known).otherwise(found(x)))
+
+
 def _groups(line: Column, pattern: str, n: int) -> Column:
     """The n groups of a pattern that begins at a line's start, by one match; null where it doesn't match.
 
@@ -234,28 +239,34 @@ def spelled(*keys: str) -> str:
     return f"[{''.join(sorted({k[0] for k in keys}))}](?:{rest})"
 
 
-def section(lines: Column, start, end, form=compact) -> Column:
-    """The lines between the first that fits `start` and the next that fits `end`, both left out; they see a line's form."""
+def section(lines: Column, start, end, form=compact, packed: Column | None = None) -> Column:
+    """The lines between the first that fits `start` and the next that fits `end`, both left out; they see a line's form,
+    which may be given for all lines."""
     def cut(packed: Column) -> Column:
         def after(first: Column) -> Column:
             return let(F.slice(packed, first + 2, F.size(packed)), lambda rest: _from(lines, first + 1, F.coalesce(first_index(rest, end), F.size(rest))))
 
         return let(first_index(packed, start), lambda first: F.when(first.isNotNull(), after(first)).otherwise(F.array().cast("array<string>")))
 
-    return let(F.transform(lines, lambda x: form(x)), cut)
+    return let(F.transform(lines, lambda x: form(x)), cut) if packed is None else cut(packed)
+
+
+def _with_compact(lines: Column | str, body) -> Column:
+    """body(lines, their compact forms), both computed once."""
+    return let(_col(lines), lambda ls: let(_compacted(ls), lambda packed: body(ls, packed)))
 
 
 def service_description(lines: Column | str) -> Column:
     """Text of the section on the service rendered: what follows its description label, else what precedes it."""
-    return let(_col(lines), _service_description)
+    return _with_compact(lines, _service_description)
 
 
-def _service_description(ls: Column) -> Column:
+def _service_description(ls: Column, packed: Column) -> Column:
     def starts(u: Column) -> Column:
         return any_contained(u, _SERVICE_START) | (u.startswith("DETALHA") & F.contains(u, F.lit("SERVI")))
 
-    inside = section(ls, starts, lambda u: u.rlike("^TRIBUTA[CG]AO") | any_contained(u, _SERVICE_END))
-    heading = F.get(F.filter(_compacted(ls), starts), 0)
+    inside = section(ls, starts, lambda u: u.rlike("^TRIBUTA[CG]AO") | any_contained(u, _SERVICE_END), packed=packed)
+    heading = F.get(F.filter(packed, starts), 0)
 
     def text(part: Column) -> Column:
         label = F.when(let(heading, lambda h: any_contained(h, _SERVICE_START[1:])), F.lit(-1)).otherwise(
@@ -320,10 +331,10 @@ def _pure_number(lines: Column) -> Column:
 
 def service_number(lines: Column | str) -> Column:
     """Number of a service invoice: beside or under its label, inside the 50-digit key, as "n / A", or by other labels."""
-    return let(_col(lines), _service_number)
+    return _with_compact(lines, _service_number)
 
 
-def _service_number(ls: Column) -> Column:
+def _service_number(ls: Column, packed: Column) -> Column:
     def dated(x: Column) -> Column:
         plain = F.regexp_extract(x, r"(?<![/\d])(\d{1,8})\s+(?:\d{2}/\d{2}/\d{4}|\d{2}/\d{4})", 1)
         dotted = F.regexp_extract(x, r"(?<![0-9A-Za-z])(\d{2,}\.\d{2,})(?=\s+\d{2}/(?:\d{2}/)?\d{4})", 1)
@@ -352,7 +363,7 @@ def _service_number(ls: Column) -> Column:
         others = first_of(F.transform(spots(packed, 35, _NUMBER_LABELS), near))
         return let(labelled, lambda n: F.coalesce(F.when(n.isNull() | (F.length(n) <= 1), from_key), n, series, others, F.lit(NO_NUMBER)))
 
-    return let(_compacted(ls), ladder)
+    return ladder(packed)
 
 
 #: Labels of the provider's block and of its name (as compact text).
@@ -364,53 +375,69 @@ def _wordy(c: Column) -> Column:
     return F.size(F.regexp_extract_all(normalize(c), F.lit("[A-Z]{2,}"), 0))
 
 
+#: What the normalised line of every legal company name contains: its ending, which no white space divides.
+_MAYBE_LEGAL = r"LTDA|EIRELI|EPP|S/A|(?<![A-Z])(?:S\.?A|ME)"
+
+
 def service_provider(lines: Column | str) -> Column:
     """Provider of a service invoice, from its own block only; names split over two lines are joined."""
-    return let(_col(lines), _service_provider)
+    return _with_compact(lines, _service_provider)
 
 
-def _service_provider(ls: Column) -> Column:
+def _service_provider(ls: Column, packed: Column) -> Column:
     none = F.array().cast("array<string>")
 
-    def named(packed: Column) -> Column:
+    def named() -> Column:
         def block(first: Column) -> Column:
             rest = F.when(F.size(ls) > first + 1, F.slice(packed, first + 2, F.size(ls))).otherwise(none)
             return _from(ls, first, F.least(F.coalesce(first_index(rest, lambda u: F.contains(u, F.lit("TOMADOR"))), F.lit(39)) + 1, F.size(ls)))
 
+        def name(x: Column) -> Column:
+            return let(F.regexp_extract(x, r"(?i)NOME\s*/?\s*RAZ\S*\s+SOCI\S*\s*[:|-]?\s*(.+)$", 1), lambda m: F.when(m != "", filled(company_candidate(m))))
+
         inside = let(F.coalesce(first_index(packed, lambda u: any_contained(u, _PROVIDER_LABELS)), F.lit(0)), block)
-        return first_of(F.transform(inside, lambda x: company_candidate(filled(F.regexp_extract(x, r"(?i)NOME\s*/?\s*RAZ\S*\s+SOCI\S*\s*[:|-]?\s*(.+)$", 1)))))
+        return first_found(inside, "string", name)
 
-    def inner(packed: Column) -> Column:
+    def inner() -> Column:
         def block(start: Column) -> Column:
             after = F.when(start.isNotNull(), F.slice(packed, start + 2, 23)).otherwise(none)
             return _from(ls, start + 1, F.coalesce(first_index(after, lambda u: any_contained(u, ("TOMADORDOSERVICOS", "DADOSDOTOMADOR", "TOMADORADQUIRENTE"))), F.lit(23)))
 
         return let(first_index(packed, lambda u: F.contains(u, F.lit("PRESTADOR")) | F.contains(u, F.lit("EMITENTEDANFSE"))), block)
 
-    def facts(block: Column) -> Column:
-        """Per line: its candidate, the candidate of it and the next line, and whether its label names a company."""
+    def is_label(x: Column) -> Column:
+        return let(compact(x), lambda c: any_contained(c, _NAME_LABELS) | (F.contains(c, F.lit("NOME")) & any_contained(c, ("RAZ", "SOCIAL", "EMPRES"))))
 
-        def fact(x: Column, i: Column) -> Column:
-            u = compact(x)
-            label = let(u, lambda c: any_contained(c, _NAME_LABELS) | (F.contains(c, F.lit("NOME")) & any_contained(c, ("RAZ", "SOCIAL", "EMPRES"))))
-            alone, pair = company_candidate(x), company_candidate(F.concat_ws(" ", x, F.get(block, i + 1)))
-            return let(F.struct(alone.alias("alone"), pair.alias("pair"), label.alias("label")), lambda f: F.struct(i.alias("i"), f["alone"].alias("alone"), looks_like_company(f["alone"]).alias("legal"), f["pair"].alias("pair"), looks_like_company(f["pair"]).alias("pair_legal"), f["label"].alias("label")))
+    def lines_of(block: Column) -> Column:
+        """A block's lines with what follows them, and whether their own or the pair's candidate can be a legal name."""
+        maybe = F.transform(block, lambda x: F.coalesce(normalize(x).rlike(_MAYBE_LEGAL), F.lit(False)))
+        return let(maybe, lambda may: F.transform(block, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.get(block, i + 1).alias("next"), F.get(may, i).alias("may"), (F.get(may, i) | F.coalesce(F.get(may, i + 1), F.lit(False))).alias("pair"))))
 
-        return F.transform(block, fact)
+    def legal_name(c: Column) -> Column:
+        return let(company_candidate(c), lambda n: F.when(looks_like_company(n), n))
 
     def by_lines(fs: Column) -> Column:
+        def legal(f: Column) -> Column:
+            """The line's legal name, else the one of it and the next line."""
+            name = F.coalesce(F.when(f["may"], legal_name(f["x"])), F.when(f["pair"], legal_name(F.concat_ws(" ", f["x"], f["next"]))))
+            return let(name, lambda n: F.when(n.isNotNull(), F.struct(f["i"].alias("i"), n.alias("name"))))
+
         def whole(f: Column) -> Column:
-            name = F.when(f["legal"], f["alone"]).otherwise(f["pair"])
+            # no line before the first legal name is one
             before = F.reverse(F.slice(fs, F.greatest(F.lit(1), f["i"] - 6), F.least(f["i"], F.lit(7))))
-            prefix = F.get(F.filter(before, lambda y: (y["alone"] != "") & ~y["legal"] & (_wordy(y["alone"]) >= 2)), 0)["alone"]
-            joined = company_candidate(F.concat_ws(" ", F.when((_wordy(name) <= 2) & (f["i"] > 0), prefix), name))
-            return let(joined, lambda j: F.when(looks_like_company(j), j).otherwise(name))
+            prefix = first_found(before, "string", lambda y: let(company_candidate(y["x"]), lambda n: F.when((n != "") & (_wordy(n) >= 2), n)))
+            joined = company_candidate(F.concat_ws(" ", F.when((_wordy(f["name"]) <= 2) & (f["i"] > 0), prefix), f["name"]))
+            return let(joined, lambda j: F.when(looks_like_company(j), j).otherwise(f["name"]))
+
+        def labelled() -> Column:
+            marked = F.transform(fs, lambda f: is_label(f["x"]))
+            near = lambda marks, f: F.exists(F.slice(marks, F.greatest(F.lit(1), f["i"] - 2), F.least(f["i"], F.lit(3))), lambda m: m)
+            return let(marked, lambda marks: first_found(fs, "string", lambda f: F.when(near(marks, f), filled(company_candidate(f["x"])))))
 
-        legal = F.get(F.filter(fs, lambda f: f["legal"] | f["pair_legal"]), 0)
-        under = F.filter(fs, lambda f: F.exists(F.slice(fs, F.greatest(F.lit(1), f["i"] - 2), F.least(f["i"], F.lit(3))), lambda y: y["label"]))
-        return F.coalesce(let(legal, lambda f: F.when(f.isNotNull(), whole(f))), first_of(F.transform(under, lambda f: f["alone"])))
+        found = first_found(F.filter(fs, lambda f: f["pair"]), "struct<i:int,name:string>", legal)
+        return let(found, lambda f: F.coalesce(F.when(f.isNotNull(), whole(f)), labelled()))
 
-    return let(_compacted(ls), lambda packed: F.coalesce(named(packed), let(let(inner(packed), facts), by_lines), F.lit(NO_COMPANY)))
+    return F.coalesce(named(), let(let(inner(), lines_of), by_lines), F.lit(NO_COMPANY))
 
 
 def nearest_value(words: DataFrame, by: Sequence[str], label: str = "LIQUID", up: float = 10.0, down: float = 180.0, aside: float = 280.0) -> DataFrame:
@@ -427,16 +454,16 @@ def nearest_value(words: DataFrame, by: Sequence[str], label: str = "LIQUID", up
 
 def service_total(lines: Column | str, positioned: Column | None = None) -> Column:
     """Total of a service invoice: by position, as net value, on the service's row, or under a label of totals."""
-    return let(_col(lines), lambda ls: _service_total(ls, positioned))
+    return _with_compact(lines, lambda ls, packed: _service_total(ls, packed, positioned))
 
 
-def _service_total(ls: Column, positioned: Column | None) -> Column:
+def _service_total(ls: Column, packed: Column, positioned: Column | None) -> Column:
     net = first_match(ls, r"(?i)(?:VLR\s+LIQ(?:UIDO)?(?:\s+DUP)?|VALOR\s+LIQUIDO)\s*[:=]?\s*(?:R\$\s*)?([\d.]+[,.]\d{2})")
     net = let(net, lambda n: F.when(n.isNotNull(), format_number(parse_number(n), 2)))
     amounts = r"(?<!\d)(\d{1,3}(?:\.\d{3})*,\d{2})(?!\d)"
     on_row = first_of(F.transform(ls, lambda x: F.when(F.contains(normalize(x), F.lit("SERVICOS")), F.try_element_at(F.regexp_extract_all(x, F.lit(amounts), 1), F.lit(-1)))))
 
-    def labelled(packed: Column) -> Column:
+    def labelled() -> Column:
         def under(keys: Sequence[str], n: int) -> Column:
             spots = F.filter(F.transform(packed, lambda u, i: F.when(any_contained(u, keys), i)), lambda i: i.isNotNull())
             return first_of(F.transform(spots, lambda i: F.regexp_extract(F.array_join(_from(ls, i, n), " "), r"R\$\s*([\d.]+,\d{2,4})", 1)))
@@ -449,7 +476,7 @@ def _service_total(ls: Column, positioned: Column | None) -> Column:
         return F.coalesce(under(("VALORDAOPERACAOSERVICO", "VALORDOSERVICO"), 7), under(("VALORTOTALDANFSE",), 10), let(first_index(packed, lambda u: F.contains(u, F.lit("VALORTOTALDANOTA"))), last))
 
     given = F.nullif(positioned, F.lit("")) if positioned is not None else F.lit(None).cast("string")
-    return F.coalesce(given, net, on_row, let(_compacted(ls), labelled), F.lit("-"))
+    return F.coalesce(given, net, on_row, labelled(), F.lit("-"))
 
 
 def service_hours(lines: Column | str) -> Column:
@@ -461,20 +488,20 @@ def service_hours(lines: Column | str) -> Column:
 
 def service_invoice(lines: Column | str, positioned: Column | None = None) -> Column:
     """struct(number, company, description, quantity, total): a service order's fields if it is one, else the invoice's."""
-    return let(_col(lines), lambda ls: F.coalesce(service_order(ls), _service_invoice(ls, positioned)))
+    return let(_col(lines), lambda ls: F.coalesce(service_order(ls), let(_compacted(ls), lambda packed: _service_invoice(ls, packed, positioned))))
 
 
-def _service_invoice(ls: Column, positioned: Column | None) -> Column:
+def _service_invoice(ls: Column, packed: Column, positioned: Column | None) -> Column:
     labelled = F.array_join(
-        F.slice(F.filter(section(ls, lambda u: any_contained(u, _SERVICE_LABEL + ("DETALHAMENTODOSERVICO",)), lambda u: any_contained(u, ("TRIBUTACAOMUNICIPAL", "TRIBUTACAOFEDERAL", "TRIBUTACAOIBSCBS", "VALORTOTALDANFSE", "VALORDAOPERACAOSERVICO"))), lambda x: F.trim(x) != ""), 1, 7),
+        F.slice(F.filter(section(ls, lambda u: any_contained(u, _SERVICE_LABEL + ("DETALHAMENTODOSERVICO",)), lambda u: any_contained(u, ("TRIBUTACAOMUNICIPAL", "TRIBUTACAOFEDERAL", "TRIBUTACAOIBSCBS", "VALORTOTALDANFSE", "VALORDAOPERACAOSERVICO")), packed=packed), lambda x: F.trim(x) != ""), 1, 7),
         " ",
     )
     named = lambda u: F.contains(u, F.lit("SERVICOS")) & ~F.contains(u, F.lit("NOTA FISCAL")) & (F.length(F.regexp_replace(u, "[^A-Z]", "")) >= 12)
     row = first_of(F.transform(ls, lambda x: F.when(let(normalize(x), named), F.btrim(F.regexp_replace(x, r"(?iu)\s+(?:SIM|N[AÃ]O)\s+\d+[,.]\d+\s+\d.*$", ""), F.lit(" |-_")))))
-    described = collapse(F.coalesce(filled(service_description(ls)), filled(collapse(labelled)), row, F.lit(NO_SERVICE)))
+    described = collapse(F.coalesce(filled(_service_description(ls, packed)), filled(collapse(labelled)), row, F.lit(NO_SERVICE)))
     described = let(described, lambda d: F.when(d.rlike(r"(?i)\bRETIDO\b") & d.rlike(r"(?i)VALOR\s+TOTA"), F.trim(F.regexp_replace(d, r"(?is)^.*?VALOR\s+TOTA(?:L)?\s+", ""))).otherwise(d))
     described = collapse(F.regexp_replace(described, r"(?iu)^servi[cç]os?de", "serviço de "))
-    return F.struct(service_number(ls).alias("number"), service_provider(ls).alias("company"), described.alias("description"), service_hours(ls).alias("quantity"), service_total(ls, positioned).alias("total"))
+    return F.struct(_service_number(ls, packed).alias("number"), _service_provider(ls, packed).alias("company"), described.alias("description"), service_hours(ls).alias("quantity"), _service_total(ls, packed, positioned).alias("total"))
 
 
 #: A budget's row, and the numbers at its end.

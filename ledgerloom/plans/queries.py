@@ -610,7 +610,9 @@ def service_invoices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _service_invoices(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    rows = spread(orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice"))
+    # texts are written and read in a task: over tasks that grow with the table
+    named = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice")
+    rows = named.repartition(tasks_for(orders, ROWS_PER_TASK))
     lines = F.array(
         F.lit("DANFSe v1.0"), F.lit("Número da NFS-e"), F.concat(F.col("o_orderkey") + 1000, F.lit(" 01/02/2025")), F.lit("PRESTADOR DO SERVIÇO"), F.lit("Nome / Razão Social"), F.concat(F.translate("c_name", "#", " "), F.lit(" SERVICOS LTDA")), F.lit("TOMADOR DO SERVIÇO"), F.lit("OUTRA EMPRESA LTDA"),
         F.lit("SERVIÇO PRESTADO"), F.lit("Descrição do Serviço"), F.concat(F.lit("manutencao "), F.lower("c_mktsegment")), F.lit("TRIBUTAÇÃO MUNICIPAL"), F.concat(F.lit("Quantidade: "), 1 + F.col("o_orderkey") % 9), F.lit("VALOR TOTAL DA NFS-E"), F.concat(F.lit("R$ "), _br("o_totalprice")),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import assemble
+from ledgerloom.operators import assemble, extract
 
 
 def test_a_mean_of_half_a_unit_is_rounded_up_in_any_order(spark):
@@ -13,3 +13,15 @@ def test_a_mean_of_half_a_unit_is_rounded_up_in_any_order(spark):
         assert [r.score for r in assemble.reader_lines(words, decimals=0).collect()] == [67.0]
     odd = words.withColumn("confidence", F.when(F.col("left") == 1, float("inf")).otherwise(1e300))
     assert [r.score for r in assemble.reader_lines(odd).collect()] == [float("inf")]
+
+
+def test_a_service_invoice_makes_its_lines_compact_once(spark):
+    lines = spark.createDataFrame([(["DANFSe", "PRESTADOR DO SERVIÇO", "Nome / Razão Social", "MARCENARIA", "SÃO JOSÉ LTDA", "OUTRA LTDA"],)], "lines array<string>")
+    found = lines.select(extract.service_invoice("lines").alias("s"))
+    assert found._jdf.queryExecution().analyzed().toString().count("[^A-Z0-9]+") < 20
+    assert found.first().s.company == "MARCENARIA SÃO JOSÉ LTDA"
+
+
+def test_what_follows_the_first_found_is_not_computed(spark):
+    stop = lambda x: F.when(x == 3, F.raise_error(F.lit("computed")).cast("int")).when(x > 1, x)
+    assert spark.range(1).select(extract.first_found(F.array(*map(F.lit, (1, 2, 3))), "int", stop).alias("x")).first().x == 2
