@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,14 +50,28 @@ def profile_similarity(a: Column, b: Column, scale: float = 255.0) -> Column:
     return F.coalesce(F.when(same, F.greatest(F.lit(0.0), 1 - total / F.size(a) / scale)), F.lit(0.0))
 
 
+def row_means(rasters: pa.BinaryArray, width: int) -> pa.ListArray:
+    """Means of the rows of rasters of `width` bytes a row, rounded down; null for nulls and rasters of less than a row."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(rasters), 0), np.int64)
+    starts, rows = np.cumsum(lengths) - lengths, lengths // width
+    sums = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(rasters.drop_null().to_pylist()), np.uint8), dtype=np.int64)])
+    ends = np.cumsum(rows)
+    first = np.repeat(starts, rows) + width * (np.arange(rows.sum()) - np.repeat(ends - rows, rows))
+    means = pa.array(((sums[first + width] - sums[first]) // width).astype(np.int32))
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(rows == 0, False))
+    return pa.ListArray.from_arrays(offsets, means)
+
+
 def row_profile(raster: Column | str, width: int = 20) -> Column:
-    """Mean grey of every row of a raster of bytes, rounded down: a page's look, of its picture scaled to `width` by any height."""
-    raw = F.col(raster) if isinstance(raster, str) else raster
-    grey = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
-    def means(g: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), (F.octet_length(raw) / width).cast("int") - 1), lambda r: F.floor(F.aggregate(F.slice(g, r * width + 1, F.lit(width)), F.lit(0), lambda a, b: a + b) / width).cast("int"))
+    """Mean grey of every row of a raster of bytes, rounded down: a page's look, of its picture scaled to `width` by any height.
+
+    A batch of pages is added up at once: a higher-order function would be interpreted for every byte."""
+
+    @F.arrow_udf("array<int>")
+    def means(rasters: pa.Array) -> pa.Array:
+        return row_means(rasters, width)
 
-    return F.when(F.octet_length(raw) >= width, let(grey, means))
+    return means(F.col(raster) if isinstance(raster, str) else raster)
 
 
 def page_signatures(pages: DataFrame, text_col: str = "text") -> DataFrame:

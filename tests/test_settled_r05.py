@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import assemble, extract
+from ledgerloom.operators import assemble, extract, segment
 
 
 def test_a_mean_of_half_a_unit_is_rounded_up_in_any_order(spark):
@@ -25,3 +25,11 @@ def test_a_service_invoice_makes_its_lines_compact_once(spark):
 def test_what_follows_the_first_found_is_not_computed(spark):
     stop = lambda x: F.when(x == 3, F.raise_error(F.lit("computed")).cast("int")).when(x > 1, x)
     assert spark.range(1).select(extract.first_found(F.array(*map(F.lit, (1, 2, 3))), "int", stop).alias("x")).first().x == 2
+
+
+def test_grey_rows_are_added_up_in_batches(spark):
+    """No function is interpreted for every byte of a raster; the means are those of the bytes, odd rasters' are null."""
+    rasters = [bytes(range(200)), None, b"", b"short", bytes([255] * 39)]
+    found = spark.createDataFrame([(i, r) for i, r in enumerate(rasters)], "i int, r binary").coalesce(1).withColumn("p", segment.row_profile("r"))
+    assert "lambdafunction" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r.p for r in found.orderBy("i").collect()] == [[20 * i + 9 for i in range(10)], None, None, None, [255]]
